@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from marlstone.llm.batches import list_array, sliced, text_column
 
 #: Distinct words a task remembers before it forgets them all.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Bytes of text encoded at a time.
+SLICE = 1 << 20
 SPACE = "▁"
 _NONE = np.iinfo(np.int32).max
 
@@ -237,37 +239,46 @@ class _WordTable:
         return ids, np.diff(upto)
 
 
+def _mapped(df: DataFrame, model_path: str, text: str | None, ids: str, decoded: str | None) -> DataFrame:
+    """One pass that encodes (with ``text``) and decodes (with ``decoded``), so that a task has one Python worker."""
+    base = df.drop(*([ids] if text else []), *([decoded] if decoded else []))
+    added = ([f"`{ids}` array<int>"] if text else []) + ([f"`{decoded}` string"] if decoded else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(model_path)
+        for part in sliced(batches, text, SLICE) if text else (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            columns, names = list(part.columns), list(part.schema.names)
+            if text:
+                flat, counts = table.encode(text_column(part, text).to_pylist())
+                columns.append(list_array(flat.astype(np.int32), counts, pa.int32()))
+                names.append(ids)
+            else:
+                column = part.column(part.schema.get_field_index(ids))
+                flat, counts = np.asarray(column.flatten(), dtype=np.int64), np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
+            if decoded:
+                columns.append(pa.array(table.model.decode_ids(flat, counts), type=pa.string()))
+                names.append(decoded)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return base.mapInArrow(run, _extended(base, ", ".join(added)))
+
+
 def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with a column ``ids`` of array<int>: the piece ids of ``text``, without begin or end ids.
 
     A column already named ``ids`` is replaced. ``model_path`` must be readable on every executor.
     """
-    base = df.drop(ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(model_path)
-        for batch in sliced(batches, text):
-            flat, counts = table.encode(text_column(batch, text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, list_array(flat.astype(np.int32), counts, pa.int32())], names=[*batch.schema.names, ids])
-
-    return base.mapInArrow(run, _extended(base, f"`{ids}` array<int>"))
+    return _mapped(df, model_path, text, ids, None)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with a column ``decoded``: the text of ``ids``. Byte pieces that are no UTF-8 become U+FFFD each."""
-    base = df.drop(decoded)
+    return _mapped(df, model_path, None, ids, decoded)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(model_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                column = part.column(part.schema.get_field_index(ids))
-                counts = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
-                texts = model.decode_ids(np.asarray(column.flatten(), dtype=np.int64), counts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, type=pa.string())], names=[*part.schema.names, decoded])
 
-    return base.mapInArrow(run, _extended(base, f"`{decoded}` string"))
+def round_trip(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode``, then ``decode`` of what it gave, in one pass."""
+    return _mapped(df, model_path, text, ids, decoded)
 
 
 def _extended(df: DataFrame, more: str):
@@ -282,7 +293,7 @@ def op3_query(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = decode(encode(docs, path).drop("text"), path)
+    done = round_trip(docs, path).drop("text")
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

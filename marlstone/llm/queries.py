@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from marlstone.llm.idstore import op10_query
 from marlstone.llm.pieces import op3_query
 
 QUERIES = {
     "op3_sentencepiece": op3_query,
+    "op10_id_store": op10_query,
 }
 ORACLE_SQL: dict[str, str] = {}
