@@ -4,9 +4,9 @@ The symbols of all new words of a batch lie in one flat numpy array. A round loo
 takes the smallest rank of each word (a segmented minimum), merges its leftmost non-overlapping occurrences in all words
 at once and compacts the arrays; the rounds end when no word has a pair left.
 
-A word here is a run of meta spaces with the characters after it. No piece of a model may hold a character other than
-the meta space before a meta space (checked when the model is read), so merges never cross words and each distinct word
-is encoded once per task and remembered in a bounded table.
+A word here is a run of meta spaces with the characters after it, cut further where no piece of the model spans. No
+piece may hold a character other than the meta space before a meta space (checked when the model is read), so merges
+never cross words and each distinct word is encoded once per task and remembered in a bounded table.
 
 Defined results: null text encodes as the empty text, to no ids; null ids decode to the empty text; repeated rows and
 ties are encoded alike; other columns pass through unchanged.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,7 +66,11 @@ class PieceModel:
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         self.bytes = np.frombuffer(b"".join(shown), dtype=np.uint8)
         joints = re.escape("".join(c for c in "\n\t" if c not in self.char and not any(c in p for p in ids)))
-        self.splitter = re.compile(f"{SPACE}*[^{SPACE}{joints}]+|{SPACE}+" + (f"|[{joints}]" if joints else ""))
+# A word is also cut after Latin letters where a character follows that no piece holds behind such a letter.
+        latin = "A-Za-zÀ-ÖØ-öø-ɏ"
+        behind = {c for p in ids for c in re.findall(f"(?<=[{latin}])[^{latin}]", p)}
+        enders = re.escape("".join(c for c in string.punctuation if c not in behind))
+        self.splitter = re.compile(f"{SPACE}*[{latin}]+(?=[{SPACE}{enders}{joints}]|\\Z)|{SPACE}*[^{SPACE}{joints}]+|{SPACE}+" + (f"|[{joints}]" if joints else ""))
 
     def _index(self) -> None:
         """Direct tables of places in ``pairs``; each holds the pairs whose slots in the tables before it are taken."""
