@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from marlstone.llm.batches import list_array, sliced, text_column
 
 #: Distinct words a task remembers before it forgets them all.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Bytes of text encoded at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 SPACE = "▁"
 _NONE = np.iinfo(np.int32).max
 
