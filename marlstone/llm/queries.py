@@ -5,10 +5,12 @@ from __future__ import annotations
 from marlstone.llm.idstore import op10_query
 from marlstone.llm.langid import op8_query
 from marlstone.llm.mainpage import op9_query
+from marlstone.llm.parity import op4_query
 from marlstone.llm.pieces import op3_query
 
 QUERIES = {
     "op3_sentencepiece": op3_query,
+    "op4_jaccard_join": op4_query,
     "op8_language_id": op8_query,
     "op9_main_text": op9_query,
     "op10_id_store": op10_query,
