@@ -18,7 +18,9 @@ with a level 2 digest of the empty string; other columns don't enter the store.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from marlstone.llm.batches import mixed, sliced, text_column
 from marlstone.llm.shared import new_path, remove
 
 #: Distinct text units a task remembers; the older half is forgotten beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 240_000
 #: A chunk ends where the hash of the last WINDOW ids has MEAN_BITS zero bits; LEAST and MOST bound its ids.
 WINDOW, MEAN_BITS, LEAST, MOST = 8, 11, 512, 16384
 FAN = 1024
@@ -39,10 +41,29 @@ FAN = 1024
 #: A unit: white space with a Latin word that ASCII punctuation, white space or the end follows, or with what is left
 #: up to the next white space. The byte-level pattern ends a token at each of these places, whatever stands around.
 _UNITS = re.compile(r"[ \n]*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[ \n!-/:-@\[-`{-~]|\Z)|[ \n]*[^ \n]+|[ \n]+")
+_LATIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: The byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
 #: White space other than the space and the line feed, as either library may see it.
 _ODD_SPACE = "[\t\x0b\x0c\r\x1c-\x1f\u0085  ᠎ -‍    ⁠　﻿]"
 
 
+class _Units(dict):
+    """Ids of text units as bytes, encoded when first asked for; ``older`` holds the half that is forgotten next."""
+
+    def __init__(self, encoder: _Encoder, older: dict[str, bytes]):
+        super().__init__()
+        self.encoder, self.older = encoder, older
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.older.get(unit)
+        if found is None:
+            found = self.encoder.direct(unit)
+        self[unit] = found
+        return found
+
+
 class _Encoder:
     """Ids of texts by the tokenizers library; a text is cut at places that the byte-level pattern never crosses, and
     each distinct unit is encoded once while it is remembered."""
@@ -53,39 +74,29 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.specials = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.mark, self.mark_id = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)), (None, None))
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [u for u in new if not any(s in u for s in self.specials)] if self.mark else []
-        known = set(plain)
-        self.units.update((u, self._direct(u)) for u in new if u not in known)
-        groups = [plain[at : at + 500] for at in range(0, len(plain), 500)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, dtype=self.kind)
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            if len(ends) != len(group):
-                raise ValueError("the tokenizer lost a unit")
-            raw, w = ids.tobytes(), self.width
-            begins = np.concatenate([[0], ends[:-1] + 1])
-            self.units.update((u, raw[a * w : b * w]) for u, a, b in zip(group, begins.tolist(), ends.tolist(), strict=True))
+        self.merge, self.code = self.tokenizer.model.tokenize, "<%dH" if self.width == 2 else "<%dI"
+        setup = json.loads(self.tokenizer.to_str())
+        before = setup["pre_tokenizer"] or {}
+        added = [t["content"] for t in setup["added_tokens"]]
+        self.byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not setup["normalizer"] and not any(_LATIN.fullmatch(s) or any(c in " \n" for c in s) for s in added)
+        self.units = _Units(self, {})
+
+    def direct(self, text: str) -> bytes:
+        # A Latin word with at most a space before it is one token of the byte-level pattern: its merges alone are asked for.
+        if self.byte_level and _LATIN.fullmatch(text):
+            ids = [t.id for t in self.merge(text.encode().decode("latin-1").translate(_SHOWN))]
+        elif self.byte_level and text[0] == "\n" and _LATIN.fullmatch(text, 1) and text[1] != " ":
+            return self.units["\n"] + self.units[text[1:]]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(self.code % len(ids), *ids)
 
     def encode(self, column: pa.Array) -> list[bytes]:
-        odd = pc.match_substring_regex(column, _ODD_SPACE).to_pylist()
-        texts = column.to_pylist()
-        cut = [None if o else _UNITS.findall(t) for t, o in zip(texts, odd, strict=True)]
+        odd = [True] * len(column) if not self.byte_level else pc.match_substring_regex(column, _ODD_SPACE).to_pylist()
         if len(self.units) > REMEMBERED // 2:
-            self.older, self.units = self.units, {}
-        known, older = self.units, self.older
-        if missing := {u for c in cut if c for u in c if u not in known}:
-            known.update((u, older[u]) for u in missing if u in older)
-            self._learn([u for u in missing if u not in older])
-        return [self._direct(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+            self.units = _Units(self, dict(self.units))
+        ids = self.units.__getitem__
+        return [(self.direct(t) if t else b"") if o else b"".join(map(ids, _UNITS.findall(t))) for t, o in zip(column.to_pylist(), odd, strict=True)]
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -103,7 +114,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         end = b"" if end_id is None else np.array([end_id], dtype=encoder.kind).tobytes()
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1 << 20):
             ids = [x + end for x in encoder.encode(text_column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "width", "ids"])
 
