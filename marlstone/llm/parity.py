@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import gram_hashes, gram_valid, list_array, mixed, sliced, text_column, word_hashes, words_of
+from marlstone.llm.batches import gram_hashes, gram_valid, mixed, sliced, text_column, word_hashes, words_of
 from marlstone.llm.components import components
 from marlstone.llm.shared import written
 
@@ -35,6 +35,8 @@ from marlstone.llm.shared import written
 BAND, SPARE, FEW = 1.6, 0.08, 3
 #: Star rounds before documents that are still apart are compared with each other.
 STARS = 2
+#: A class of copies with at least one in HOT of all rows is hot.
+HOT = 1000
 
 
 def bands(percent: int, most: int = 1 << 40) -> list[tuple[int, int, int]]:
@@ -104,61 +106,131 @@ def block_keys(flat: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.nda
     return np.concatenate(keys)[order], np.bincount(owner, minlength=len(ends))
 
 
-def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, keys array<long> of ``docs`` (doc_id, text)."""
+def sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, n_shingles and a 128-bit fingerprint of the set (f1, f2) of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             flat, ends = shingle_sets(text_column(batch, "text"), shingle)
+            sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(flat + np.uint64(salt)), dtype=np.uint64)]) for salt in (3, 5)]
+            begins = np.concatenate([[0], ends[:-1]])
+            prints = [(x[ends] - x[begins]).view(np.int64) for x in sums]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - begins, pa.int64()), *map(pa.array, prints)], names=["doc_id", "n_shingles", "f1", "f2"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+
+
+def block_rows(docs: DataFrame, shingle: int, percent: int, hot: dict[tuple[int, int, int], int]) -> DataFrame:
+    """(key, doc_id) of every used block; of the sets in ``hot`` only the named document gives rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            flat, ends = shingle_sets(text_column(batch, "text"), shingle)
+            ids = np.asarray(batch.column(0), dtype=np.int64)
             keys, counts = block_keys(flat, ends, percent)
-            sizes = np.diff(np.concatenate([[0], ends]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), list_array(keys.view(np.int64), counts, pa.int64())], names=["doc_id", "n_shingles", "keys"])
+            if hot:
+                begins = np.concatenate([[0], ends[:-1]])
+                known = {n for n, _, _ in hot}
+                drop = np.zeros(len(ids), dtype=bool)
+                for i in np.flatnonzero(np.isin(ends - begins, list(known))).tolist():
+                    part = flat[begins[i] : ends[i]]
+                    prints = [int(mixed(part + np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for salt in (3, 5)]
+                    drop[i] = hot.get((len(part), *prints), ids[i]) != ids[i]
+                keys = keys[~np.repeat(drop, counts)]
+                counts = np.where(drop, 0, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(ids, counts))], names=["key", "doc_id"])
+
+    return docs.mapInArrow(run, "key long, doc_id long")
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, keys array<long>")
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """The rows whose key several documents have. A partition is read in key order with one row held back, so a key's
+    group is never gathered."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row so far, and whether its key was met before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, doc = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            before = False
+            if held is not None:
+                key, doc, before = np.concatenate([[held[0]], key]), np.concatenate([[held[1]], doc]), held[2]
+            same = key[1:] == key[:-1]
+            with_last = np.concatenate([[before], same])
+            out = with_last[:-1] | same
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][out]), pa.array(doc[:-1][out])], names=["key", "doc_id"])
+            held = key[-1], doc[-1], bool(with_last[-1])
+        if held is not None and held[2]:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["key", "doc_id"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "key long, doc_id long")
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, packed: the texts compressed, so that they move as little as they can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in sliced(batches, "text"):
+            packed = [press.compress(t.encode()) for t in text_column(batch, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.join(wanted, "doc_id", "left_semi"), "texts")
+    return docs.mapInArrow(run, "doc_id long, packed binary")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity; ``texts`` as from ``packed_texts``."""
     left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor()
         kept_id, kept = None, None
-        for batch in sliced(batches, "text_b"):
-            flat, ends = shingle_sets(text_column(batch, "text_b"), shingle)
+        for batch in sliced(batches, "text_b", 1 << 19):
+            flat, ends = shingle_sets(pa.array([expand.decompress(x).decode() for x in batch.column(3).to_pylist()], pa.string()), shingle)
             a, b, linked = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            column, begin = text_column(batch, "text_a"), 0
+            begin = 0
             for i, end in enumerate(ends.tolist()):
                 if a[i] != kept_id:
-                    kept_id, kept = a[i], shingle_sets(column.slice(i, 1), shingle)[0]
+                    kept_id = a[i]
+                    kept = shingle_sets(pa.array([expand.decompress(batch.column(2)[i].as_py()).decode()], pa.string()), shingle)[0]
                 common = len(kept) + end - begin - len(np.union1d(kept, flat[begin:end])) if end > begin and len(kept) else 0
                 linked.append(common > 0 and 100 * common >= percent * (len(kept) + end - begin - common))
                 begin = end
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked)], names=["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return rows.mapInArrow(run, "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
 def linked_components(docs: DataFrame, shingle: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; documents link at a Jaccard similarity of ``percent`` or more."""
+    """doc_id, n_shingles, component_id of every document; documents link at a Jaccard similarity of ``percent`` or more.
+
+    Documents with one set are a class, for which its smallest document stands. A class of at least one in ``HOT`` rows
+    (there are at most ``HOT`` such classes) is known before blocks are dealt out, and only its document gives any.
+    """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    sketched = written(sketches(docs, shingle, percent), "sketches")
-    rows = sketched.select(F.explode("keys").alias("key"), "doc_id")
-    several = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    shared = written(rows.join(several.hint("shuffle_hash"), "key").distinct(), "shared")
-    sizes = sketched.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-
-    links = None
-    labels = None
+    known = written(sets(docs, shingle), "sets")
+    classes = known.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    total = known.count()
+    hot = {(r["n_shingles"], r["f1"], r["f2"]): r["first"] for r in classes.where(F.col("n") * HOT >= max(total, 2 * HOT)).collect()}
+    copies = written(known.join(classes.where("n > 1").drop("n"), ["n_shingles", "f1", "f2"]).where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
+    first = F.coalesce("first", "doc_id")
+    met = written(shared_keys(block_rows(docs, shingle, percent, hot)), "met")
+    shared = written(met.join(copies, "doc_id", "left").select("key", first.alias("doc_id")).distinct(), "shared")
+    sizes = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    texts = written(packed_texts(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+    links = labels = None
     for star in range(STARS):
-        end = "low" if star == 0 else "high"
-        now = shared
-        if labels is not None:
-            now = _apart(now, labels)
-        pairs = now.where(F.col(end) != F.col("doc_id")).select(F.least(end, "doc_id").alias("a"), F.greatest(end, "doc_id").alias("b")).distinct()
-        found = verified(_alike(written(pairs, "pairs"), sizes, percent), docs, shingle, percent)
+        now = shared if labels is None else _apart(shared, labels).drop("label")
+        ends = now.groupBy("key").agg((F.max if star else F.min)("doc_id").alias("end"))
+        pairs = now.join(ends, "key").where("doc_id <> end").select(F.least("end", "doc_id").alias("a"), F.greatest("end", "doc_id").alias("b")).distinct()
+        found = verified(_alike(pairs, sizes, percent), texts, shingle, percent)
         links = written(found if links is None else links.unionByName(found), "found")
         labels = written(components(links), "labels")
     # What is left in a group with several components: documents of different components, each pair once.
@@ -166,8 +238,9 @@ def linked_components(docs: DataFrame, shingle: int, percent: int, doc_id: str =
     pairs = rest.alias("x").join(rest.alias("y"), "key").where("x.doc_id < y.doc_id and x.label <> y.label").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     pairs = written(_alike(pairs, sizes, percent), "pairs")
     if not pairs.isEmpty():
-        labels = components(links.unionByName(verified(pairs, docs, shingle, percent)))
-    return sizes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        labels = components(links.unionByName(verified(pairs, texts, shingle, percent)))
+    named = sizes.join(copies, "doc_id", "left").withColumn("node", first)
+    return named.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
 def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
