@@ -7,12 +7,17 @@ from marlstone.llm.langid import op8_query
 from marlstone.llm.mainpage import op9_query
 from marlstone.llm.parity import op4_query
 from marlstone.llm.pieces import op3_query
+from marlstone.llm.topk import ORACLE as TOPK_SQL
+from marlstone.llm.topk import op6_query
 
 QUERIES = {
     "op3_sentencepiece": op3_query,
     "op4_jaccard_join": op4_query,
+    "op6_exact_topk": op6_query,
     "op8_language_id": op8_query,
     "op9_main_text": op9_query,
     "op10_id_store": op10_query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_topk": TOPK_SQL,
+}
