@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marlstone.llm.decontaminate import op1_query
 from marlstone.llm.idstore import op10_query
 from marlstone.llm.langid import op8_query
 from marlstone.llm.mainpage import op9_query
@@ -9,15 +10,20 @@ from marlstone.llm.parity import op4_query
 from marlstone.llm.pieces import op3_query
 from marlstone.llm.topk import ORACLE as TOPK_SQL
 from marlstone.llm.topk import op6_query
+from marlstone.llm.urllist import ORACLE as URL_SQL
+from marlstone.llm.urllist import op5_query
 
 QUERIES = {
+    "op1_decontaminate": op1_query,
     "op3_sentencepiece": op3_query,
     "op4_jaccard_join": op4_query,
+    "op5_url_filter": op5_query,
     "op6_exact_topk": op6_query,
     "op8_language_id": op8_query,
     "op9_main_text": op9_query,
     "op10_id_store": op10_query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": URL_SQL,
     "op6_exact_topk": TOPK_SQL,
 }
