@@ -33,9 +33,9 @@ from marlstone.llm.batches import mixed, sliced, text_column
 from marlstone.llm.shared import new_path, remove
 
 #: Distinct text units a task remembers; the older half is forgotten beyond that.
-REMEMBERED = 240_000
+REMEMBERED = 1_000_000
 #: A chunk ends where the hash of the last WINDOW ids has MEAN_BITS zero bits; LEAST and MOST bound its ids.
-WINDOW, MEAN_BITS, LEAST, MOST = 8, 11, 512, 16384
+WINDOW, MEAN_BITS, LEAST, MOST = 4, 11, 512, 16384
 FAN = 1024
 
 #: A unit: white space with a Latin word that ASCII punctuation, white space or the end follows, or with what is left
@@ -84,7 +84,8 @@ class _Encoder:
     def direct(self, text: str) -> bytes:
         # A Latin word with at most a space before it is one token of the byte-level pattern: its merges alone are asked for.
         if self.byte_level and _LATIN.fullmatch(text):
-            ids = [t.id for t in self.merge(text.encode().decode("latin-1").translate(_SHOWN))]
+            shown = text.replace(" ", "Ġ") if text.isascii() else text.encode().decode("latin-1").translate(_SHOWN)
+            ids = [t.id for t in self.merge(shown)]
         elif self.byte_level and text[0] == "\n" and _LATIN.fullmatch(text, 1) and text[1] != " ":
             return self.units["\n"] + self.units[text[1:]]
         else:
@@ -154,7 +155,7 @@ def _chunked(ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
+        press = zstandard.ZstdCompressor(level=1)
         for batch in sliced(batches, "ids"):
             counts, digests, packed, leaves = [], [], [], []
             for doc, width, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
