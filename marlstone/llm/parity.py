@@ -6,9 +6,12 @@ differ in at most D shingles; the sketch is cut into more than D blocks, so some
 long and kept sparse: a block's fingerprint is the XOR of a random word for each set bit. Documents that share a block of
 a band are candidates; candidates are verified on their whole sets.
 
-``SPARE`` blocks beyond D + 1 let blocks of fewer than ``FEW`` shingles, which many documents share, go unused: two
-linked documents share at least ``blocks - D`` blocks, all with the same shingles, so unless a document has that many
-small blocks (then it uses them too, and so does its partner, which has them as well) one larger block is shared.
+Common shingles (lines and passages that many documents hold) would make blocks equal that say nothing, so the
+fingerprint of a block covers its other shingles, and a block with fewer than ``FEW`` of these is small and goes unused.
+No link is lost: ``SPARE`` blocks beyond D + 1 are dealt, so linked documents have more than that many blocks with the
+same shingles. Either one of them is not small, or both documents have more small blocks than spare ones; then both use
+their small blocks as well, with all shingles in the fingerprint. Which shingles count as common is found by counting in
+each task and adding up; it decides speed, never results.
 
 Only components are wanted, so a group of documents with a common block is not paired out: everyone is compared with
 the group's smallest document, then, where several components are left in a group, with its largest, and only documents
@@ -32,11 +35,13 @@ from marlstone.llm.components import components
 from marlstone.llm.shared import written
 
 #: Ratio of the ends of a size band; blocks beyond those that differences can touch; shingles of a small block.
-BAND, SPARE, FEW = 1.6, 0.08, 3
+BAND, SPARE, FEW = 1.3, 0.12, 2
 #: Star rounds before documents that are still apart are compared with each other.
 STARS = 2
 #: A class of copies with at least one in HOT of all rows is hot.
 HOT = 1000
+#: A shingle in about one of COMMON documents or more is common; shingles a task counts at a time.
+COMMON, BUFFER = 2000, 1_000_000
 
 
 def bands(percent: int, most: int = 1 << 40) -> list[tuple[int, int, int]]:
@@ -69,11 +74,12 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.cumsum(np.bincount(owner, minlength=len(column)))
 
 
-def block_keys(flat: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed (band, block, fingerprint) keys of each set, flat, and their number."""
+def block_keys(flat: np.ndarray, ends: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed (band, block, fingerprint) keys of each set, flat, and their number; ``common``: shingles, ascending."""
     sizes = np.diff(np.concatenate([[0], ends]))
     row = np.repeat(np.arange(len(ends)), sizes)
     place, bit = mixed(flat + np.uint64(0x51)), mixed(flat ^ np.uint64(0xA5A5A5A5))
+    rare = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] != flat if len(common) else np.ones(len(flat), bool)
     keys, owners = [], []
     for number, (low, high, most) in enumerate(bands(percent, int(sizes.max(initial=0)) + 1)):
         part = np.flatnonzero((sizes >= low) & (sizes <= 100 * high // percent))
@@ -81,23 +87,29 @@ def block_keys(flat: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.nda
             continue
         spare = int(np.ceil(SPARE * most))
         blocks = most + 1 + spare
-        at = np.flatnonzero(np.isin(row, part))
+        inside = np.zeros(len(ends), dtype=bool)
+        inside[part] = True
+        at = np.flatnonzero(inside[row])
         cell = row[at] * blocks + (place[at] % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
-        cell, bits = cell[order], bit[at][order]
+        at, cell = at[order], cell[order]
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        prints, counts, cell = np.bitwise_xor.reduceat(bits, first), np.diff(np.append(first, len(cell))), cell[first]
-        # Blocks without a shingle are equal in many documents; they are small blocks too.
-        owner = cell // blocks
+        whole = np.bitwise_xor.reduceat(bit[at], first)
+        sparse = np.bitwise_xor.reduceat(np.where(rare[at], bit[at], np.uint64(0)), first)
+        counts, cell = np.add.reduceat(rare[at].astype(np.int64), first), cell[first]
+        owner, block = cell // blocks, (cell % blocks).astype(np.uint64)
+        # Blocks without a shingle are small too.
         small = np.bincount(owner[counts < FEW], minlength=len(ends)) + (blocks - np.bincount(owner, minlength=len(ends)))
-        all_used = small > spare
-        used = (counts >= FEW) | all_used[owner]
-        keys.append(mixed(prints[used] + mixed((cell % blocks)[used].astype(np.uint64) + np.uint64(number << 40) + np.uint64(1))))
-        owners.append(owner[used])
-        empty = [(r, b) for r in part[all_used[part]].tolist() for b in np.setdiff1d(np.arange(blocks), cell[owner == r] % blocks).tolist()]
+        every = small > spare
+        salt = np.uint64(number << 40)
+        big = counts >= FEW
+        tiny = ~big & every[owner]
+        keys += [mixed(sparse[big] + mixed(block[big] + salt + np.uint64(1))), mixed(whole[tiny] + mixed(block[tiny] + salt + np.uint64(1 << 32)))]
+        owners += [owner[big], owner[tiny]]
+        empty = [(r, b) for r in part[every[part]].tolist() for b in np.setdiff1d(np.arange(blocks), block[owner == r].astype(np.int64)).tolist()]
         if empty:
             r, b = np.array(empty).T
-            keys.append(mixed(mixed(b.astype(np.uint64) + np.uint64(number << 40) + np.uint64(1))))
+            keys.append(mixed(mixed(b.astype(np.uint64) + salt + np.uint64(1 << 32))))
             owners.append(r)
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
@@ -106,28 +118,59 @@ def block_keys(flat: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.nda
     return np.concatenate(keys)[order], np.bincount(owner, minlength=len(ends))
 
 
+class _Frequent:
+    """Shingles that keep coming up in a task: counted over buffers, of which those met several times are kept."""
+
+    def __init__(self):
+        self.buffer, self.size, self.docs, self.found = [], 0, 0, []
+
+    def add(self, flat: np.ndarray, docs: int) -> None:
+        self.buffer.append(flat)
+        self.size, self.docs = self.size + len(flat), self.docs + docs
+        if self.size > BUFFER:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.buffer:
+            keys, counts = np.unique(np.concatenate(self.buffer), return_counts=True)
+            self.found.append((keys[counts > 2], counts[counts > 2]))
+            self.buffer, self.size = [], 0
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        self.flush()
+        keys, inverse = np.unique(np.concatenate([k for k, _ in self.found]), return_inverse=True) if self.found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        counts = np.bincount(inverse, weights=np.concatenate([c for _, c in self.found]) if self.found else None, minlength=len(keys)).astype(np.int64)
+        kept = counts * COMMON >= self.docs
+        return keys[kept], counts[kept]
+
+
 def sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit fingerprint of the set (f1, f2) of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles and a 128-bit fingerprint of the set (f1, f2) of ``docs`` (doc_id, text); then, with a null
+    doc_id, shingles (f1) that are frequent in a task and their number there (n_shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, frequent = ["doc_id", "n_shingles", "f1", "f2"], _Frequent()
         for batch in sliced(batches, "text"):
             flat, ends = shingle_sets(text_column(batch, "text"), shingle)
+            frequent.add(flat, len(ends))
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(flat + np.uint64(salt)), dtype=np.uint64)]) for salt in (3, 5)]
             begins = np.concatenate([[0], ends[:-1]])
             prints = [(x[ends] - x[begins]).view(np.int64) for x in sums]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - begins, pa.int64()), *map(pa.array, prints)], names=["doc_id", "n_shingles", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - begins, pa.int64()), *map(pa.array, prints)], names=names)
+        keys, counts = frequent.result()
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.array(counts), pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.int64())], names=names)
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
 
 
-def block_rows(docs: DataFrame, shingle: int, percent: int, hot: dict[tuple[int, int, int], int]) -> DataFrame:
+def block_rows(docs: DataFrame, shingle: int, percent: int, hot: dict[tuple[int, int, int], int], common) -> DataFrame:
     """(key, doc_id) of every used block; of the sets in ``hot`` only the named document gives rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             flat, ends = shingle_sets(text_column(batch, "text"), shingle)
             ids = np.asarray(batch.column(0), dtype=np.int64)
-            keys, counts = block_keys(flat, ends, percent)
+            keys, counts = block_keys(flat, ends, percent, common.value)
             if hot:
                 begins = np.concatenate([[0], ends[:-1]])
                 known = {n for n, _, _ in hot}
@@ -214,13 +257,17 @@ def linked_components(docs: DataFrame, shingle: int, percent: int, doc_id: str =
     (there are at most ``HOT`` such classes) is known before blocks are dealt out, and only its document gives any.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    known = written(sets(docs, shingle), "sets")
+    found = written(sets(docs, shingle), "sets")
+    known = found.where("doc_id is not null")
     classes = known.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     total = known.count()
     hot = {(r["n_shingles"], r["f1"], r["f2"]): r["first"] for r in classes.where(F.col("n") * HOT >= max(total, 2 * HOT)).collect()}
+    # Each document has few shingles beside a table of this size: at most COMMON times the mean set size.
+    often = found.where("doc_id is null").groupBy("f1").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= max(20, total // (2 * COMMON))).select("f1")
+    common = docs.sparkSession.sparkContext.broadcast(np.sort(often.toPandas()["f1"].to_numpy(dtype=np.int64).view(np.uint64)))
     copies = written(known.join(classes.where("n > 1").drop("n"), ["n_shingles", "f1", "f2"]).where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
     first = F.coalesce("first", "doc_id")
-    met = written(shared_keys(block_rows(docs, shingle, percent, hot)), "met")
+    met = written(shared_keys(block_rows(docs, shingle, percent, hot, common)), "met")
     shared = written(met.join(copies, "doc_id", "left").select("key", first.alias("doc_id")).distinct(), "shared")
     sizes = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     texts = written(packed_texts(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
