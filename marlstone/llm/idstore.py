@@ -122,12 +122,15 @@ def tokenize(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, width int, ids binary")
 
 
+_SALTED = mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one document."""
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    salted = mixed(ids.astype(np.uint64) + np.uint64(1))
+    salted = _SALTED[ids] if ids.itemsize == 2 else mixed(ids.astype(np.uint64) + np.uint64(1))
     rolled = salted[: n - WINDOW + 1].copy()
     for j in range(1, WINDOW):
         rolled = rolled * np.uint64(0x9FB21C651E98DF25) + salted[j : n - WINDOW + 1 + j]
@@ -146,9 +149,10 @@ def pack(raw: bytes, width: int, press) -> bytes:
     return bytes([width]) + press.compress(raw)
 
 
-def unpack(packed: bytes, expand) -> np.ndarray:
-    """The ids of a packed chunk, as little-endian unsigned 32-bit integers."""
-    return np.frombuffer(expand.decompress(packed[1:]), dtype=f"<u{packed[0]}").astype("<u4")
+def unpack(packed: bytes, expand) -> tuple[np.ndarray, bytes]:
+    """The ids of a packed chunk as little-endian unsigned 32-bit integers, and its digest."""
+    raw = expand.decompress(packed[1:])
+    return np.frombuffer(raw, dtype=f"<u{packed[0]}").astype("<u4"), hashlib.sha256(packed[:1] + raw).digest()
 
 
 def _chunked(ids: DataFrame) -> DataFrame:
@@ -259,9 +263,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                     for p in parts:
                         if p["digest"] is None:
                             continue
-                        one = unpack(p["packed"], expand)
-                        width = p["packed"][0]
-                        if hashlib.sha256(bytes([width]) + one.astype(f"<u{width}").tobytes()).digest() != p["digest"]:
+                        one, digest = unpack(p["packed"], expand)
+                        if digest != p["digest"]:
                             raise ValueError(f"a chunk of document {doc} does not have its digest")
                         digests += p["digest"]
                         flat.append(one.tobytes())
