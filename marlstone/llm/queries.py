@@ -5,6 +5,7 @@ from __future__ import annotations
 from marlstone.llm.decontaminate import op1_query
 from marlstone.llm.idstore import op10_query
 from marlstone.llm.langid import op8_query
+from marlstone.llm.lines import op7_query
 from marlstone.llm.mainpage import op9_query
 from marlstone.llm.parity import op4_query
 from marlstone.llm.pieces import op3_query
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_jaccard_join": op4_query,
     "op5_url_filter": op5_query,
     "op6_exact_topk": op6_query,
+    "op7_line_dedup": op7_query,
     "op8_language_id": op8_query,
     "op9_main_text": op9_query,
     "op10_id_store": op10_query,
