@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: A batch is cut so that a slice holds about this many bytes of text (one row at least).
 SLICE_BYTES = 2 << 20
@@ -157,3 +158,68 @@ def list_array(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.L
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
+
+
+class Runs:
+    """Hashes of runs of words: the same words have the same hash wherever they stand."""
+
+    FACTOR = 0x9FB21C651E98DF25
+
+    def __init__(self, hashes: np.ndarray, salts: tuple[int, ...] = (1, 2)):
+        n = len(hashes)
+        up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, self.FACTOR, np.uint64)]))
+        self.down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, pow(self.FACTOR, -1, 1 << 64), np.uint64)]))
+        self.sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes + np.uint64(s)) * up[:n])]) for s in salts]
+
+    def of(self, begin: np.ndarray, size: np.ndarray, which: int = 0) -> np.ndarray:
+        return mixed((self.sums[which][begin + size] - self.sums[which][begin]) * self.down[begin] + size.astype(np.uint64))
+
+
+def packed(df: DataFrame, text: str = "text", column: str = "packed") -> DataFrame:
+    """``df`` with its text column compressed into ``column``, so that texts move as little as they can."""
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    kept = [f for f in df.schema.fields if f.name != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in sliced(batches, text):
+            texts = pa.array([press.compress(t.encode()) for t in text_column(batch, text).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), texts], names=[*(f.name for f in kept), column])
+
+    return df.mapInArrow(run, StructType([*kept, StructField(column, BinaryType())]))
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor()
+    return pa.array([expand.decompress(x).decode() for x in column.to_pylist()], pa.string())
+
+
+def repeated_keys(rows: DataFrame) -> DataFrame:
+    """The rows of ``rows`` (columns of type long, the first one the key) whose key comes several times.
+
+    A partition is read in key order with one row held back, so the rows of a key are never gathered.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, False  # the last row so far, and whether its key was met before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [np.asarray(c, dtype=np.int64) for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate([[h], c]) for h, c in zip(held, columns, strict=True)]
+            same = columns[0][1:] == columns[0][:-1]
+            with_last = np.concatenate([[before], same])
+            out = np.flatnonzero(with_last[:-1] | same)
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], names=names)
+            held, before = [c[-1] for c in columns], bool(with_last[-1])
+        if before:
+            yield pa.RecordBatch.from_arrays([pa.array([h]) for h in held], names=names)
+
+    return rows.repartition(names[0]).sortWithinPartitions(*names).mapInArrow(run, ", ".join(f"{n} long" for n in names))

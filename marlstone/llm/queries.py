@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from marlstone.llm.decontaminate import op1_query
+from marlstone.llm.fmindex import op2_query
 from marlstone.llm.idstore import op10_query
 from marlstone.llm.langid import op8_query
 from marlstone.llm.lines import op7_query
@@ -16,6 +17,7 @@ from marlstone.llm.urllist import op5_query
 
 QUERIES = {
     "op1_decontaminate": op1_query,
+    "op2_substring_dedup": op2_query,
     "op3_sentencepiece": op3_query,
     "op4_jaccard_join": op4_query,
     "op5_url_filter": op5_query,
