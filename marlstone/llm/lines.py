@@ -26,12 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import list_array, mixed, sliced, text_column, word_hashes, words_of
+from marlstone.llm.batches import Runs, list_array, mixed, packed, sliced, text_column, unpacked, word_hashes, words_of
 from marlstone.llm.shared import written
 
 LEAST_WORDS, LEAST_NEAR = 3, 5
-_P = 0x9FB21C651E98DF25
-_MASK = (1 << 64) - 1
 
 
 class _Lines:
@@ -48,14 +46,7 @@ class _Lines:
         self.row = np.repeat(np.arange(len(texts)), counts)[self.at]
         self.number = (np.arange(len(self.texts)) - np.repeat(np.cumsum(counts) - counts, counts))[self.at]
         self.begin, self.size = words.rows[:-1][self.at], size[self.at]
-        n = len(hashes)
-        self.up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _P, np.uint64)]))
-        self.down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, pow(_P, -1, 1 << 64), np.uint64)]))
-        self.sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes + np.uint64(salt)) * self.up[:n])]) for salt in (1, 2)]
-
-    def run(self, begin: np.ndarray, size: np.ndarray, which: int = 0) -> np.ndarray:
-        """Hash of runs of words (the same words give the same hash wherever they stand)."""
-        return mixed((self.sums[which][begin + size] - self.sums[which][begin]) * self.down[begin] + size.astype(np.uint64))
+        self.runs = Runs(hashes)
 
     def halves(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the halves of each line that can have near copies, cut as if it had its length or one word more."""
@@ -65,7 +56,7 @@ class _Lines:
         for total in (self.size, self.size + 1):
             for side, half in ((1, total // 2), (2, total - total // 2)):
                 begin = self.begin if side == 1 else self.begin + self.size - half
-                out.append(mixed(self.run(begin, half) ^ mixed(total.astype(np.uint64) * np.uint64(4) + np.uint64(side))))
+                out.append(mixed(self.runs.of(begin, half) ^ mixed(total.astype(np.uint64) * np.uint64(4) + np.uint64(side))))
         keys = np.stack(out, axis=1)
         counts = np.where(self.size >= LEAST_NEAR, 4, 0)
         return keys[self.size >= LEAST_NEAR].ravel(), counts
@@ -73,11 +64,11 @@ class _Lines:
     def variants(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of line i and of its variants, and the place left out (-1: none)."""
         b, n = int(self.begin[i]), int(self.size[i])
-        s = self.sums[0]
+        s = self.runs.sums[0]
         p = np.arange(b, b + n)
         with np.errstate(over="ignore"):
-            less = (s[p] - s[b]) + (s[b + n] - s[p + 1]) * np.uint64(pow(_P, -1, 1 << 64))
-            keys = mixed(np.concatenate([[s[b + n] - s[b]], less]) * self.down[b] + np.concatenate([[n], np.full(n, n - 1)]).astype(np.uint64))
+            less = (s[p] - s[b]) + (s[b + n] - s[p + 1]) * np.uint64(pow(Runs.FACTOR, -1, 1 << 64))
+            keys = mixed(np.concatenate([[s[b + n] - s[b]], less]) * self.runs.down[b] + np.concatenate([[n], np.full(n, n - 1)]).astype(np.uint64))
         return keys, np.arange(-1, n)
 
 
@@ -86,40 +77,20 @@ def _lines(docs: DataFrame) -> DataFrame:
         for batch in sliced(batches, "text"):
             lines, ids = _Lines(text_column(batch, "text").to_pylist()), np.asarray(batch.column(0), dtype=np.int64)
             keys, counts = lines.halves()
-            h = [lines.run(lines.begin, lines.size, k).view(np.int64) for k in (0, 1)]
+            h = [lines.runs.of(lines.begin, lines.size, k).view(np.int64) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(ids[lines.row]), pa.array(lines.number), pa.array(h[0]), pa.array(h[1]), list_array(keys.view(np.int64), counts, pa.int64())], names=["doc_id", "line", "h1", "h2", "halves"])
 
     return docs.mapInArrow(run, "doc_id long, line long, h1 long, h2 long, halves array<long>")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, packed and the other columns: texts are compressed while they move."""
-    from pyspark.sql.types import BinaryType, StructField, StructType
-
-    schema = StructType([*(f for f in docs.schema.fields if f.name != "text"), StructField("packed", BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in sliced(batches, "text"):
-            packed = [press.compress(t.encode()) for t in text_column(batch, "text").to_pylist()]
-            others = [batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*others, pa.array(packed, pa.binary())], names=schema.fieldNames())
-
-    return docs.mapInArrow(run, schema)
-
-
 def _variants(rows: DataFrame) -> DataFrame:
     """key, place, doc_id, line of the variants of the chosen lines, and, with a null key, their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        expand, names = zstandard.ZstdDecompressor(), ["key", "place", "doc_id", "line", "words"]
+        names = ["key", "place", "doc_id", "line", "words"]
         for whole in batches:
             for batch in (whole.slice(at, 64) for at in range(0, whole.num_rows, 64)):
-                texts = [expand.decompress(p).decode() for p in batch.column(2).to_pylist()]
+                texts = unpacked(batch.column(2)).to_pylist()
                 lines, ids = _Lines(texts), batch.column(0).to_pylist()
                 wanted = [set(x) for x in batch.column(1).to_pylist()]
                 keys, places, docs, numbers, words = [], [], [], [], []
@@ -189,7 +160,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     shared = halves.groupBy("half").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).where("low < high").select("half")
     chosen = halves.join(shared.hint("shuffle_hash"), "half", "left_semi").select("pos.doc_id", "pos.line").distinct()
     of_doc = chosen.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
-    variants = written(_variants(of_doc.join(_packed(docs), "doc_id").select("doc_id", "lines", "packed")), "variants")
+    variants = written(_variants(of_doc.join(packed(docs), "doc_id").select("doc_id", "lines", "packed")), "variants")
     pairs = _joined(variants.where("key is not null")).distinct()
     texts = variants.where("key is null").select("doc_id", "line", "words").distinct()
     both = pairs.join(texts.toDF("by_doc", "by_line", "by_words"), ["by_doc", "by_line"]).join(texts, ["doc_id", "line"])
@@ -217,19 +188,17 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc_id", "_doc")
     base = df.drop("n_lines", "n_removed").withColumnRenamed(text, "text") if text != "text" else df.drop("n_lines", "n_removed")
-    rows = _packed(base).join(gone, F.col(doc_id).cast("long") == F.col("_doc"), "left").drop("_doc")
+    rows = packed(base).join(gone, F.col(doc_id).cast("long") == F.col("_doc"), "left").drop("_doc")
     kept = [f for f in base.schema.fields if f.name != "text"]
     schema = StructType(kept + StructType.fromDDL(f"`{text}` string, n_lines long, n_removed long").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        expand = zstandard.ZstdDecompressor()
         for whole in batches:
             for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
                 texts, lines, removed = [], [], []
-                for packed, out in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("packed", "_gone")), strict=True):
-                    own, out = expand.decompress(packed).decode().split("\n"), set(out or ())
+                at = batch.schema.get_field_index
+                for text, out in zip(unpacked(batch.column(at("packed"))).to_pylist(), batch.column(at("_gone")).to_pylist(), strict=True):
+                    own, out = text.split("\n"), set(out or ())
                     lines.append(len(own)), removed.append(len(out))
                     texts.append("\n".join(x for i, x in enumerate(own) if i not in out) if out else "\n".join(own))
                 others = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import gram_hashes, gram_valid, mixed, sliced, text_column, word_hashes, words_of
+from marlstone.llm.batches import gram_hashes, gram_valid, mixed, packed, repeated_keys, sliced, text_column, unpacked, word_hashes, words_of
 from marlstone.llm.components import components
 from marlstone.llm.shared import written
 
@@ -186,62 +186,21 @@ def block_rows(docs: DataFrame, shingle: int, percent: int, hot: dict[tuple[int,
     return docs.mapInArrow(run, "key long, doc_id long")
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """The rows whose key several documents have. A partition is read in key order with one row held back, so a key's
-    group is never gathered."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row so far, and whether its key was met before it
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, doc = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            before = False
-            if held is not None:
-                key, doc, before = np.concatenate([[held[0]], key]), np.concatenate([[held[1]], doc]), held[2]
-            same = key[1:] == key[:-1]
-            with_last = np.concatenate([[before], same])
-            out = with_last[:-1] | same
-            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][out]), pa.array(doc[:-1][out])], names=["key", "doc_id"])
-            held = key[-1], doc[-1], bool(with_last[-1])
-        if held is not None and held[2]:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["key", "doc_id"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "key long, doc_id long")
-
-
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, packed: the texts compressed, so that they move as little as they can."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in sliced(batches, "text"):
-            packed = [press.compress(t.encode()) for t in text_column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
-
-    return docs.mapInArrow(run, "doc_id long, packed binary")
-
-
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity; ``texts`` as from ``packed_texts``."""
+    """The pairs (a, b) whose sets reach the similarity; ``texts`` as from ``packed``."""
     left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        expand = zstandard.ZstdDecompressor()
         kept_id, kept = None, None
         for batch in sliced(batches, "text_b", 1 << 19):
-            flat, ends = shingle_sets(pa.array([expand.decompress(x).decode() for x in batch.column(3).to_pylist()], pa.string()), shingle)
+            flat, ends = shingle_sets(unpacked(batch.column(3)), shingle)
             a, b, linked = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             begin = 0
             for i, end in enumerate(ends.tolist()):
                 if a[i] != kept_id:
                     kept_id = a[i]
-                    kept = shingle_sets(pa.array([expand.decompress(batch.column(2)[i].as_py()).decode()], pa.string()), shingle)[0]
+                    kept = shingle_sets(unpacked(batch.column(2).slice(i, 1)), shingle)[0]
                 common = len(kept) + end - begin - len(np.union1d(kept, flat[begin:end])) if end > begin and len(kept) else 0
                 linked.append(common > 0 and 100 * common >= percent * (len(kept) + end - begin - common))
                 begin = end
@@ -267,10 +226,10 @@ def linked_components(docs: DataFrame, shingle: int, percent: int, doc_id: str =
     common = docs.sparkSession.sparkContext.broadcast(np.sort(often.toPandas()["f1"].to_numpy(dtype=np.int64).view(np.uint64)))
     copies = written(known.join(classes.where("n > 1").drop("n"), ["n_shingles", "f1", "f2"]).where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
     first = F.coalesce("first", "doc_id")
-    met = written(shared_keys(block_rows(docs, shingle, percent, hot, common)), "met")
+    met = written(repeated_keys(block_rows(docs, shingle, percent, hot, common)), "met")
     shared = written(met.join(copies, "doc_id", "left").select("key", first.alias("doc_id")).distinct(), "shared")
     sizes = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    texts = written(packed_texts(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = written(packed(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     links = labels = None
     for star in range(STARS):
