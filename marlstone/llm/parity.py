@@ -15,7 +15,8 @@ each task and adding up; it decides speed, never results.
 
 Only components are wanted, so a group of documents with a common block is not paired out: everyone is compared with
 the group's smallest document, then, where several components are left in a group, with its largest, and only documents
-that are still apart are compared with each other.
+that are still apart are compared with each other, by whole sketches first: those of a large group in cells that give
+only the pairs that pass. A whole sketch has a bit for each hash place; longer ones are folded to the shorter's size.
 
 Defined results: null or empty text, or text without words, has the empty set and no link; a text of fewer words than a
 shingle is one shingle; rows with the same id are one document with the union of their keys; ids must not be null.
@@ -38,6 +39,9 @@ from marlstone.llm.shared import written
 BAND, SPARE, FEW = 1.3, 0.12, 2
 #: Star rounds before documents that are still apart are compared with each other.
 STARS = 2
+#: Bits of a whole sketch; documents of a group that is paired by a join, and of a chunk of a larger one.
+LEAST_BITS, MOST_BITS = 256, 2048
+SMALL, CHUNK = 12, 1024
 #: A class of copies with at least one in HOT of all rows is hot.
 HOT = 1000
 #: A shingle in about one of COMMON documents or more is common; shingles a task counts at a time.
@@ -186,6 +190,100 @@ def block_rows(docs: DataFrame, shingle: int, percent: int, hot: dict[tuple[int,
     return docs.mapInArrow(run, "key long, doc_id long")
 
 
+def parity_sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, size, sketch of ``texts`` (doc_id, packed): a bit for each place that an odd number of shingles hash to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                flat, ends = shingle_sets(unpacked(batch.column(1)), shingle)
+                place, out, begin = mixed(flat ^ np.uint64(0x5BD1E995)), [], 0
+                sizes = np.diff(np.concatenate([[0], ends]))
+                for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):
+                    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * size).bit_length()))
+                    out.append(np.packbits((np.bincount((place[begin:end] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes())
+                    begin = end
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(out, pa.binary())], names=["doc_id", "size", "sketch"])
+
+    return texts.mapInArrow(run, "doc_id long, size long, sketch binary")
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """Rows of sketches cut to a shorter size: parities of places that become one are added."""
+    while sketch.shape[1] > size:
+        sketch = sketch[:, : sketch.shape[1] // 2] ^ sketch[:, sketch.shape[1] // 2 :]
+    return sketch
+
+
+def allowed(size_a, size_b, percent: int):
+    """The largest difference of linked sets of these sizes."""
+    return (100 - percent) * (size_a + size_b) // (100 + percent)
+
+
+def _alike(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes and sketches allow the similarity."""
+    rows = pairs.join(sketched.toDF("a", "size_a", "sketch_a"), "a").join(sketched.toDF("b", "size_b", "sketch_b"), "b")
+    rows = rows.where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                if len(x) != len(y):
+                    short = min(len(x), len(y))
+                    x, y = (folded(np.frombuffer(z, np.uint8)[None], short).tobytes() for z in (x, y))
+                keep.append((int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count() <= allowed(n, m, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
+def _within_groups(rest: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents of different labels that share a key, as far as sizes and sketches allow the similarity.
+
+    Groups of up to ``SMALL`` documents are paired by a join. The documents of a larger group are dealt to chunks of about
+    ``CHUNK``; a cell holds two chunks, compares their sketches, and gives only the pairs that may be linked.
+    """
+    sized = rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key")
+    few = sized.where(F.col("n") <= SMALL).select("key", "doc_id", "label")
+    joined = few.alias("x").join(few.alias("y"), "key").where("x.doc_id < y.doc_id and x.label <> y.label").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), chunks).cast("int")
+    dealt = sized.where(F.col("n") > SMALL).select("key", "doc_id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    cells = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label").join(sketched, "doc_id")
+    columns = ["key", "i", "j", "own", "doc_id", "label", "size", "sketch"]
+
+    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+        own, doc, label, size = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4, 5, 6))
+        short = min(len(r[7]) for r in rows)
+        bits = np.concatenate([folded(np.frombuffer(r[7], np.uint8)[None], short) for r in rows]).view(np.uint64)
+        cross, out = rows[0][1] != rows[0][2], []
+        for x in range(len(rows) - 1):
+            y = slice(x + 1, None)
+            far = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1)
+            good = (far <= allowed(size[y], size[x], percent)) & (label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))
+            if cross:
+                good &= own[y] != own[x]
+            out += [(min(doc[x], d), max(doc[x], d)) for d in doc[y][good].tolist() if d != doc[x]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and r[:3] != rows[0][:3]:
+                    out += compare(rows)
+                    rows = []
+                rows.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        out = compare(rows) if rows else []
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    found = cells.select(columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    return _alike(joined, sketched, percent).unionByName(found).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity; ``texts`` as from ``packed``."""
     left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
@@ -230,19 +328,19 @@ def linked_components(docs: DataFrame, shingle: int, percent: int, doc_id: str =
     shared = written(met.join(copies, "doc_id", "left").select("key", first.alias("doc_id")).distinct(), "shared")
     sizes = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     texts = written(packed(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    sketched = written(parity_sketches(texts, shingle), "bits")
 
     links = labels = None
     for star in range(STARS):
         now = shared if labels is None else _apart(shared, labels).drop("label")
         ends = now.groupBy("key").agg((F.max if star else F.min)("doc_id").alias("end"))
         pairs = now.join(ends, "key").where("doc_id <> end").select(F.least("end", "doc_id").alias("a"), F.greatest("end", "doc_id").alias("b")).distinct()
-        found = verified(_alike(pairs, sizes, percent), texts, shingle, percent)
+        found = verified(_alike(pairs, sketched, percent), texts, shingle, percent)
         links = written(found if links is None else links.unionByName(found), "found")
         labels = written(components(links), "labels")
-    # What is left in a group with several components: documents of different components, each pair once.
-    rest = _apart(shared, labels).select("key", "doc_id", "label")
-    pairs = rest.alias("x").join(rest.alias("y"), "key").where("x.doc_id < y.doc_id and x.label <> y.label").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    pairs = written(_alike(pairs, sizes, percent), "pairs")
+    # What is left in a group with several components: documents of different components.
+    rest = written(_apart(shared, labels).select("key", "doc_id", "label"), "rest")
+    pairs = written(_within_groups(rest, sketched, percent), "pairs")
     if not pairs.isEmpty():
         labels = components(links.unionByName(verified(pairs, texts, shingle, percent)))
     named = sizes.join(copies, "doc_id", "left").withColumn("node", first)
@@ -256,13 +354,6 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(several, "key", "left_semi")
 
 
-def _alike(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow the similarity."""
-    a, b = sizes.toDF("a", "size_a"), sizes.toDF("b", "size_b")
-    both = pairs.join(a, "a").join(b, "b")
-    return both.where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent).select("a", "b")
-
-
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85)
