@@ -6,7 +6,7 @@ come from backward search, one word at a time for all passages at once: extend t
 match has the threshold's length, report its interval and shorten it on the right by one word.
 
 Passages are routed so that a shard sees all places of its windows: each window of ``window`` words has an anchor, the
-gram of ``GRAM`` words with the least hash in it, and a run of windows with one anchor is a passage. Equal windows have
+gram of ``GRAM`` words (a window, if shorter) with the least hash in it, and a run of windows with one anchor is a passage. Equal windows have
 equal anchors, so only passages whose anchor comes several times go on, each distinct one once, to the shard of the anchor.
 
 A word is removed if a window that covers it also starts earlier; windows are judged on the input.
@@ -41,8 +41,8 @@ def anchored(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
     none = np.zeros(0, np.int64)
     if count <= 0:
         return none, none, none
-    grams = gram_hashes(hashes, GRAM)
-    anchor = np.lib.stride_tricks.sliding_window_view(grams, window - GRAM + 1).argmin(axis=1) + np.arange(count)
+    grams = gram_hashes(hashes, min(GRAM, window))
+    anchor = np.lib.stride_tricks.sliding_window_view(grams, window - min(GRAM, window) + 1).argmin(axis=1) + np.arange(count)
     row_end = np.repeat(words.rows[1:], np.diff(words.rows))
     valid = np.flatnonzero(np.arange(count) + window <= row_end[:count])
     if not len(valid):
@@ -59,7 +59,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
             hashes = word_hashes(words)
             _, _, anchor = anchored(words, hashes, window)
             row = np.searchsorted(words.rows, anchor, side="right") - 1
-            keys = gram_hashes(hashes, GRAM)[anchor].view(np.int64) if len(anchor) else np.zeros(0, np.int64)
+            keys = gram_hashes(hashes, min(GRAM, window))[anchor].view(np.int64) if len(anchor) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.asarray(batch.column(0), dtype=np.int64)[row]), pa.array(anchor - words.rows[row])], names=["key", "doc_id", "place"])
 
     return docs.mapInArrow(run, "key long, doc_id long, place long")
@@ -90,7 +90,7 @@ def _passages(rows: DataFrame, window: int) -> DataFrame:
                     sent.add(k)
                 if len(sent) > REMEMBERED:
                     sent.clear()
-                keys = gram_hashes(hashes, GRAM)[anchor].view(np.int64) if len(anchor) else np.zeros(0, np.int64)
+                keys = gram_hashes(hashes, min(GRAM, window))[anchor].view(np.int64) if len(anchor) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys), pa.array(h1), pa.array(h2), pa.array(np.asarray(batch.column(0), dtype=np.int64)[row]), pa.array(begin - words.rows[row]), pa.array(size), pa.array(texts, pa.string())],
                     names=["key", "h1", "h2", "doc_id", "start", "n_windows", "words"],
