@@ -14,8 +14,8 @@ their small blocks as well, with all shingles in the fingerprint. Which shingles
 each task and adding up; it decides speed, never results.
 
 Only components are wanted, so a group of documents with a common block is not paired out: everyone is compared with
-the group's smallest document, then, where several components are left in a group, with its largest, and only documents
-that are still apart are compared with each other, by whole sketches first: those of a large group in cells that give
+the group's smallest document, then, where several components seem to be left in a group, with its largest, and only
+documents that are still apart are compared with each other, by whole sketches first: those of a large group in cells that give
 only the pairs that pass. A whole sketch has a bit for each hash place; longer ones are folded to the shorter's size.
 
 Defined results: null or empty text, or text without words, has the empty set and no link; a text of fewer words than a
@@ -337,7 +337,7 @@ def linked_components(docs: DataFrame, shingle: int, percent: int, doc_id: str =
         pairs = now.join(ends, "key").where("doc_id <> end").select(F.least("end", "doc_id").alias("a"), F.greatest("end", "doc_id").alias("b")).distinct()
         found = verified(_alike(pairs, sketched, percent), texts, shingle, percent)
         links = written(found if links is None else links.unionByName(found), "found")
-        labels = written(components(links), "labels")
+        labels = written(components(links, rounds=1), "labels")
     # What is left in a group with several components: documents of different components.
     rest = written(_apart(shared, labels).select("key", "doc_id", "label"), "rest")
     pairs = written(_within_groups(rest, sketched, percent), "pairs")
