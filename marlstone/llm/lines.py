@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import Runs, list_array, mixed, packed, sliced, text_column, unpacked, word_hashes, words_of
+from marlstone.llm.batches import Runs, list_array, mixed, packed, repeated_keys, sliced, text_column, unpacked, word_hashes, words_of
 from marlstone.llm.shared import written
 
 LEAST_WORDS, LEAST_NEAR = 3, 5
@@ -156,9 +156,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     pos = F.struct("doc_id", "line")
     firsts = written(lines.groupBy("h1", "h2").agg(F.min(pos).alias("pos"), F.count("*").alias("n"), F.min("halves").alias("halves")), "firsts")
     copies = lines.join(firsts.where("n > 1").select("h1", "h2", "pos"), ["h1", "h2"]).where(pos != F.col("pos")).select("doc_id", "line")
-    halves = firsts.select(F.explode("halves").alias("half"), "pos").distinct()
-    shared = halves.groupBy("half").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).where("low < high").select("half")
-    chosen = halves.join(shared.hint("shuffle_hash"), "half", "left_semi").select("pos.doc_id", "pos.line").distinct()
+    halves = firsts.select(F.explode("halves").alias("half"), "pos.doc_id", "pos.line")
+    chosen = repeated_keys(halves).select("doc_id", "line").distinct()
     of_doc = chosen.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
     variants = written(_variants(of_doc.join(packed(docs), "doc_id").select("doc_id", "lines", "packed")), "variants")
     pairs = _joined(variants.where("key is not null")).distinct()
