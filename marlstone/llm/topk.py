@@ -28,6 +28,8 @@ from marlstone.llm.shared import written
 SLICES = 2
 #: Rows of a vector block and of a query block; queries scored at a time.
 VECTORS, QUERIES, AT_ONCE = 8192, 2048, 128
+#: Of a query with fewer than k entries in its lists: no score is smaller.
+NO_CUTOFF = -(1 << 62)
 
 
 def integers(embedding: str, scale: int = 1024):
@@ -93,7 +95,7 @@ def _pairs(batch: pa.RecordBatch):
         cutoffs = dict(zip(row["cut_ids"], row["cutoffs"], strict=True)) if row.get("cut_ids") else {}
         for at in range(0, len(q_ids), AT_ONCE):
             some = q_ids[at : at + AT_ONCE]
-            yield some, np.array([cutoffs.get(i, np.iinfo(np.int64).min) for i in some.tolist()]), v_ids, _parts(q[at : at + AT_ONCE], v)
+            yield some, np.array([cutoffs.get(i, NO_CUTOFF) for i in some.tolist()], dtype=np.int64), v_ids, _parts(q[at : at + AT_ONCE], v)
 
 
 def _met(vectors: DataFrame, queries: DataFrame) -> DataFrame:
