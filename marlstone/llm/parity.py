@@ -39,8 +39,9 @@ from marlstone.llm.shared import written
 BAND, SPARE, FEW = 1.3, 0.12, 2
 #: Star rounds before documents that are still apart are compared with each other.
 STARS = 2
-#: Bits of a whole sketch; documents of a group that is paired by a join, and of a chunk of a larger one.
-LEAST_BITS, MOST_BITS = 256, 2048
+#: Bits of a whole sketch, between which it has one or two for each shingle (unrelated sets then differ in far more bits
+#: than linked ones can); documents of a group that is paired by a join, and of a chunk of a larger one.
+LEAST_BITS, MOST_BITS = 256, 1 << 18
 SMALL, CHUNK = 12, 1024
 #: A class of copies with at least one in HOT of all rows is hot.
 HOT = 1000
@@ -200,7 +201,7 @@ def parity_sketches(texts: DataFrame, shingle: int) -> DataFrame:
                 place, out, begin = mixed(flat ^ np.uint64(0x5BD1E995)), [], 0
                 sizes = np.diff(np.concatenate([[0], ends]))
                 for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):
-                    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * size).bit_length()))
+                    bits = min(MOST_BITS, max(LEAST_BITS, 1 << size.bit_length()))
                     out.append(np.packbits((np.bincount((place[begin:end] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes())
                     begin = end
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(out, pa.binary())], names=["doc_id", "size", "sketch"])
@@ -342,7 +343,7 @@ def linked_components(docs: DataFrame, shingle: int, percent: int, doc_id: str =
     rest = written(_apart(shared, labels).select("key", "doc_id", "label"), "rest")
     pairs = written(_within_groups(rest, sketched, percent), "pairs")
     if not pairs.isEmpty():
-        labels = components(links.unionByName(verified(pairs, texts, shingle, percent)))
+        labels = components(written(links.unionByName(verified(pairs, texts, shingle, percent)), "found"))
     named = sizes.join(copies, "doc_id", "left").withColumn("node", first)
     return named.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
