@@ -54,15 +54,19 @@ def member_edges(df: DataFrame, key: str, members: Column, names: DataFrame, nam
 
 
 def containing(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str) -> DataFrame:
-    """(needle_key, key) where the text holds the needle, ignoring case.
+    """(needle_key, key) where the text holds the needle, ignoring case, and has the needle's first word as a whole one.
 
-    Needles are matched by their first word: texts are exploded to distinct words and joined on it, and only those pairs
-    are tested for the whole needle. A needle must begin at a word.
+    Texts that hold a needle hold its inner words as whole ones. Texts are exploded to keys and distinct words, joined on
+    the longest such word of each needle, and only the texts of those pairs are tested for the whole needle.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    first = needles.select(needle_key, F.lower(needle).alias("_needle"), F.get(words(F.col(needle)), F.lit(0)).alias("_word")).where("_word is not null")
-    exploded = texts.select(key, F.lower(text).alias("_text"), F.explode(F.array_distinct(words(F.col(text)))).alias("_word"))
-    return exploded.join(first, "_word").where(F.contains("_text", F.col("_needle"))).select(needle_key, key).distinct()
+    own = words(F.col(needle))
+    whole = F.slice(own, F.lit(1), F.greatest(F.lit(1), F.size(own) - 1))
+    longest = F.array_max(F.transform(whole, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    wanted = needles.select(needle_key, F.lower(needle).alias("_needle"), F.get(own, F.lit(0)).alias("_first"), longest.alias("_word")).where("_word is not null")
+    met = texts.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("_word")).join(wanted, "_word").drop("_word")
+    rows = met.join(texts.select(key, F.lower(text).alias("_text")), key).where(F.contains("_text", F.col("_needle")))
+    return rows.where(F.array_contains(words(F.col("_text")), F.col("_first"))).select(needle_key, key).distinct()
 
 
 def not_yet(new: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
