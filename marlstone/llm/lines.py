@@ -9,7 +9,7 @@ that is judged on the input, not on what is left.
 Variants are only made for lines that may have a partner: one edit leaves the first or the second half of a line as it
 was, so a line takes part if it shares such a half with a different line. Copies of a line are one row from the start.
 
-Lines of fewer than ``LEAST_WORDS`` words are kept; lines of fewer than ``LEAST_NEAR`` words go only as exact copies.
+Lines without a word are kept; lines of fewer than ``LEAST_NEAR`` words go only as exact copies.
 Words are runs of characters other than white space, A-Z folded, so white space and case don't tell lines apart.
 
 Defined results: null text counts as empty and stays as one empty line; kept lines stay as they are, joined by line
@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from marlstone.llm.batches import Runs, list_array, mixed, packed, repeated_keys, sliced, text_column, unpacked, word_hashes, words_of
 from marlstone.llm.shared import written
 
-LEAST_WORDS, LEAST_NEAR = 3, 5
+LEAST_NEAR = 5
 
 
 class _Lines:
-    """Lines of the rows of a slice with at least LEAST_WORDS words: row, number, and the words' sums for run hashes."""
+    """Lines of the rows of a slice that have words: row, number, and the words' sums for run hashes."""
 
     def __init__(self, texts: list[str]):
         split = [t.split("\n") for t in texts]
@@ -42,7 +42,7 @@ class _Lines:
         words = words_of(pa.array(self.texts, pa.string()), lower=True)
         hashes = word_hashes(words)
         size = np.diff(words.rows)
-        self.at = np.flatnonzero(size >= LEAST_WORDS)
+        self.at = np.flatnonzero(size)
         self.row = np.repeat(np.arange(len(texts)), counts)[self.at]
         self.number = (np.arange(len(self.texts)) - np.repeat(np.cumsum(counts) - counts, counts))[self.at]
         self.begin, self.size = words.rows[:-1][self.at], size[self.at]

@@ -91,6 +91,15 @@ def test_line_dedup(spark):
     assert all(r.extra == f"x{r.doc_id}" and r.n_lines == len((docs[r.doc_id] or "").split("\n")) for r in rows)
 
 
+def test_line_dedup_short_lines(spark):
+    """Lines of one and two words go as exact copies, those of three and four too; none of them goes as a near copy."""
+    docs = {1: "one\ntwo words\na b c\n\na b c d", 2: "ONE\n two  words\nwords two\na b x\nA B C\na b c d\n \none more", 3: None, 4: "other\nother", 5: "one"}
+    rows = lines.dedup_lines(frame(spark, docs)).collect()
+    assert {r.doc_id: r.text for r in rows} == {1: docs[1], 2: "words two\na b x\n \none more", 3: "", 4: "other", 5: ""}
+    docs = corpus(21, 40) | {1000 + i: t for i, t in docs.items()}
+    assert {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, docs)).collect()} == brute.line_dedup(docs, least=1)
+
+
 @pytest.mark.parametrize("window", [4, 20])
 def test_substring_dedup(spark, window):
     docs = corpus(5 + window) | {95: "a b a b a b a b a b a b a b", 96: "b a b a b a"}
