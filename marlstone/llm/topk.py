@@ -11,7 +11,7 @@ Vectors and queries travel in blocks that meet on a pair key, so no task holds a
 
 Defined results: vectors that are null or hold null or non-finite components, and null ids, take no part; only vectors of
 one length score with each other; rows with the query's id are its own; a query id that is repeated asks once, with its
-smallest vector; ties go to the smaller id; an empty table gives no rows. Scores must fit 63 bits (else an error).
+smallest vector; rows with one id are answers of their own; ties go to the smaller id; an empty table gives no rows. Scores must fit 63 bits (else an error).
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def _parts(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _pairs(batch: pa.RecordBatch):
-    """(query ids, cutoffs, vector ids, partial scores) of each pair of blocks, some queries at a time."""
+    """(query ids, cutoffs, vector block, vector ids, partial scores) of each pair of blocks, some queries at a time."""
     for row in batch.to_pylist():
         dim = row["dim"]
         v_ids, v = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["matrix"], "<i8").reshape(-1, dim)
@@ -95,7 +95,7 @@ def _pairs(batch: pa.RecordBatch):
         cutoffs = dict(zip(row["cut_ids"], row["cutoffs"], strict=True)) if row.get("cut_ids") else {}
         for at in range(0, len(q_ids), AT_ONCE):
             some = q_ids[at : at + AT_ONCE]
-            yield some, np.array([cutoffs.get(i, NO_CUTOFF) for i in some.tolist()], dtype=np.int64), v_ids, _parts(q[at : at + AT_ONCE], v)
+            yield some, np.array([cutoffs.get(i, NO_CUTOFF) for i in some.tolist()], dtype=np.int64), row["block"], v_ids, _parts(q[at : at + AT_ONCE], v)
 
 
 def _met(vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def top_k(df: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embeddin
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, _, v_ids, parts in _pairs(batch):
+            for q_ids, _, block, v_ids, parts in _pairs(batch):
                 own = q_ids[:, None] == v_ids[None, :]
                 for s in range(SLICES):
                     p = np.where(own, np.iinfo(np.int64).min, parts[s])
@@ -124,19 +124,19 @@ def top_k(df: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embeddin
                     kept = ~np.take_along_axis(own, best, 1)
                     q, at = np.repeat(q_ids, kept.sum(1)), best[kept]
                     score = np.take_along_axis(p, best, 1)[kept]
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), s, np.int32)), pa.array(v_ids[at]), pa.array(score), pa.array(np.repeat(parts[s].min(1), kept.sum(1)))], names=["query_id", "slice", "vec_id", "part", "least"])
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), s, np.int32)), pa.array(np.full(len(q), block, np.int64)), pa.array(at.astype(np.int32)), pa.array(v_ids[at]), pa.array(score), pa.array(np.repeat(parts[s].min(1), kept.sum(1)))], names=["query_id", "slice", "block", "at", "vec_id", "part", "least"])
 
     met = _met(vectors, queries)
-    lists = met.mapInArrow(gather, "query_id long, slice int, vec_id long, part long, least long")
+    lists = met.mapInArrow(gather, "query_id long, slice int, block long, at int, vec_id long, part long, least long")
     ranked = Window.partitionBy("query_id", "slice").orderBy(F.desc("part"), "vec_id")
     least = Window.partitionBy("query_id", "slice")
     local = lists.withColumn("least", F.min("least").over(least)).withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k)
     floors = local.groupBy("query_id").pivot("slice", list(range(SLICES))).agg(F.min("least"))
     floor_sum = sum((F.col(str(s)) for s in range(SLICES)), F.lit(0))
-    # An entry known in some lists only has at least the smallest score of the others.
-    entries = local.groupBy("query_id", "vec_id").agg(F.sum(F.col("part") - F.col("least")).alias("over"))
+    # An entry known in some lists only has at least the smallest score of the others. It is a row, as ids may be repeated.
+    entries = local.groupBy("query_id", "block", "at").agg(F.sum(F.col("part") - F.col("least")).alias("over"))
     bounds = entries.join(floors.select("query_id", floor_sum.alias("floor")), "query_id").withColumn("bound", F.col("over") + F.col("floor"))
-    kth = Window.partitionBy("query_id").orderBy(F.desc("bound"), "vec_id")
+    kth = Window.partitionBy("query_id").orderBy(F.desc("bound"))
     cutoffs = bounds.withColumn("n", F.row_number().over(kth)).where(F.col("n") == k).select("query_id", F.col("bound").alias("cutoff"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def top_k(df: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embeddin
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, cut, v_ids, parts in _pairs(batch):
+            for q_ids, cut, _, v_ids, parts in _pairs(batch):
                 # part >= cutoff / SLICES, in whole numbers
                 share = -((-cut) // SLICES) if len(cut) else cut
                 enough = (parts >= share[None, :, None]).any(0) & (q_ids[:, None] != v_ids[None, :])

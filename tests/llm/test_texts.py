@@ -104,6 +104,16 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_top_k_repeated_candidates(spark):
+    """Rows with one id don't add up to a bound; each is an answer of its own."""
+    vectors = [(0, (1.0, 1.0))] + [(i, (100.0, 100.0)) for i in range(1, 9)] + [(9, (0.0, 100.0))] + [(i, (0.0, 10.0)) for i in range(10, 30)] + [(30, (110.0, -50.0))] * 2
+    df = spark.createDataFrame([(i, list(v)) for i, v in vectors], "vec_id long, embedding array<double>")
+    for k in (10, 11, 12):
+        got = [(r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0, k, scale=1).orderBy("rank").collect()]
+        scores = sorted((-int(sum(v)), i) for i, v in vectors if i)[:k]
+        assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+
+
 def test_url_list_is_the_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from read_parquet('{SMALL}/pages.parquet')")
