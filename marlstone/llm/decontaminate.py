@@ -5,18 +5,21 @@ not matter. Seeds of the test items and of the training documents are joined; ea
 position minus item position), on which the words around the hit are compared one by one. An item is in a document where
 some window of ``WINDOW`` words (the whole item, if shorter) has at least ``percent`` equal words on one diagonal.
 
-The masks hit every window of ``WINDOW`` words with at most two substitutions (tested). Documents give a row only where
+The masks hit every window of ``WINDOW`` words with at most two substitutions (tested). A shorter item also has masks of
+its own length, each without one set of words that may be substituted in it, where no mask hits what is left. Documents give a row only where
 a seed may be one of the items: a Bloom filter of the test seeds, built by grouping and of a size set by their number,
 is held against theirs first.
 
 Words are runs of characters other than white space, A-Z folded, punctuation kept. Defined results: null or empty texts
-and items without words match nothing; an item of fewer words than a mask takes part as a whole, exactly; repeated rows
+and items without words match nothing; repeated rows
 give their matches once; ids must not be null; a tie between overlaps goes to the first place in the document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +48,29 @@ def masked(hashes: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mixed(out)
 
 
-def seeds_of(hashes: np.ndarray, rows: np.ndarray, short: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, seeds) of each mask, and of a full mask for each length in ``short``."""
+@cache
+def short_masks(n: int, percent: int) -> tuple[str, ...]:
+    """Of items of n words, fewer than WINDOW: the masks of full length that find what MASKS don't, one for each set of
+    as many substituted words as ``percent`` allows."""
+    out = []
+    # Without any word equal, nothing is left to find an item by.
+    for bad in combinations(range(n), min(n - 1, n * (100 - percent) // 100)):
+        if not any(all(at + j not in bad for j, bit in enumerate(m) if bit == "1") for m in MASKS for at in range(n - len(m) + 1)):
+            out.append("".join("0" if j in bad else "1" for j in range(n)))
+    return tuple(out)
+
+
+def seeds_of(hashes: np.ndarray, rows: np.ndarray, short: tuple[str, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, seeds) of each mask, and of those in ``short``."""
     row_end = np.repeat(rows[1:], np.diff(rows))
-    masks = [*((m, i) for i, m in enumerate(MASKS)), *(("1" * n, 100 + n) for n in short)]
+    masks = [*((m, i) for i, m in enumerate(MASKS)), *((m, 100 + int(f"1{m}", 2)) for m in short)]
     for mask, number in masks:
         found = masked(hashes, mask, number)
         at = np.flatnonzero(np.arange(len(found)) + len(mask) <= row_end[: len(found)])
         yield at, found[at]
 
 
-def _item_rows(items: DataFrame) -> DataFrame:
+def _item_rows(items: DataFrame, percent: int) -> DataFrame:
     """item_id, words array<long>, places array<int>, seeds array<long>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,8 +80,7 @@ def _item_rows(items: DataFrame) -> DataFrame:
             places, seeds = [], []
             for i, size in enumerate(sizes.tolist()):
                 own = hashes[words.rows[i] : words.rows[i + 1]]
-                whole = (size,) if 0 < size < SPAN else ()
-                found = list(seeds_of(own, np.array([0, size]), whole))[0 if size >= SPAN else len(MASKS) :]
+                found = list(seeds_of(own, np.array([0, size]), short_masks(size, percent) if 0 < size < WINDOW else ()))
                 places.append(np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64))
                 seeds.append(np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.uint64))
             counts = np.array([len(x) for x in places], dtype=np.int64)
@@ -93,7 +107,7 @@ def _filter(seeds: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _segments(docs: DataFrame, table, short: tuple[int, ...]) -> DataFrame:
+def _segments(docs: DataFrame, table, short: tuple[str, ...]) -> DataFrame:
     """doc_id, start, words array<long>, places array<int>, seeds array<long>: stretches of a document with the words
     around seeds that pass the filter; places count from start."""
 
@@ -149,11 +163,12 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, doc_id: s
     """doc_id, item_id, begin, end (word places in the document), n_equal, n_item: the longest overlap of each pair."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    items = written(_item_rows(items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("item_id is not null")), "items")
+    items = written(_item_rows(items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("item_id is not null"), percent), "items")
     seeds = items.select("item_id", F.explode(F.arrays_zip("places", "seeds")).alias("s")).select("item_id", F.col("s.places").alias("q"), F.col("s.seeds").alias("seed"))
-    sizes = items.where((F.size("words") < SPAN) & (F.size("words") > 0)).select(F.size("words").alias("n")).distinct().collect()
+    sizes = items.where((F.size("words") < WINDOW) & (F.size("words") > 0)).select(F.size("words").alias("n")).distinct().collect()
+    short = tuple(m for n in sorted(r["n"] for r in sizes) for m in short_masks(n, percent))
     table = spark.sparkContext.broadcast(_filter(seeds, seeds.count()))
-    segments = written(_segments(docs, table, tuple(sorted(r["n"] for r in sizes))), "segments")
+    segments = written(_segments(docs, table, short), "segments")
     hits = segments.select("doc_id", "start", F.explode(F.arrays_zip("places", "seeds")).alias("s")).select("doc_id", "start", F.col("s.places").alias("p"), F.col("s.seeds").alias("seed"))
     diagonals = hits.join(seeds, "seed").select("doc_id", "start", "item_id", (F.col("p") - F.col("q")).alias("shift")).distinct()
     rows = diagonals.join(segments.select("doc_id", "start", "words"), ["doc_id", "start"]).join(items.select("item_id", F.col("words").alias("item")), "item_id")

@@ -127,6 +127,22 @@ def test_decontamination(spark):
     assert exact <= got
 
 
+def test_decontamination_short_items(spark):
+    """Items of every length up to a window and one more, with every set of substituted words that is allowed, and one more."""
+    from itertools import combinations
+
+    items = {n: " ".join(f"i{n}x{j}" for j in range(n)) for n in range(1, 15)}
+    docs = {}
+    for n, item in items.items():
+        for most in range(n // 5 + 2):
+            for bad in list(combinations(range(n), most))[: None if most <= n // 5 else 20]:
+                docs[len(docs)] = "before it " + " ".join("other" if j in bad else w for j, w in enumerate(item.split(" "))) + " after"
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for percent in (80, 100):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench, percent).collect()}
+        assert got == brute.contaminated(docs, items, percent)
+
+
 def test_masks_hit_two_substitutions():
     from itertools import combinations
 
