@@ -53,20 +53,33 @@ def member_edges(df: DataFrame, key: str, members: Column, names: DataFrame, nam
     return edges.join(names.select(F.col(name).alias("_member"), F.col(other).alias("other")), "_member").where(F.col(key) != F.col("other")).select(key, "other").distinct()
 
 
-def containing(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str) -> DataFrame:
-    """(needle_key, key) where the text holds the needle, ignoring case, and has the needle's first word as a whole one.
-
-    Texts that hold a needle hold its inner words as whole ones. Texts are exploded to keys and distinct words, joined on
-    the longest such word of each needle, and only the texts of those pairs are tested for the whole needle.
+def containing(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str, first_whole: bool = False) -> DataFrame:
+    """(needle_key, key) where the text holds the needle, ignoring case; with ``first_whole`` also the needle's first word
+    as a whole one somewhere. Null and empty needles are in no text.
+
+    Texts that hold a needle hold its inner words as whole ones, and its others within words. Texts are exploded to keys and
+    distinct words, joined on the longest inner word of each needle, or else on all words of the texts around its longest
+    one, found by a gram of up to three characters; needles without a word are joined on their first character. Only the
+    texts of those pairs are tested for the whole needle.
     """
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
     own = words(F.col(needle))
-    whole = F.slice(own, F.lit(1), F.greatest(F.lit(1), F.size(own) - 1))
-    longest = F.array_max(F.transform(whole, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
-    wanted = needles.select(needle_key, F.lower(needle).alias("_needle"), F.get(own, F.lit(0)).alias("_first"), longest.alias("_word")).where("_word is not null")
-    met = texts.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("_word")).join(wanted, "_word").drop("_word")
+    inner = F.slice(own, F.lit(2), F.greatest(F.lit(0), F.size(own) - 2))
+    wanted = needles.where(F.col(needle) != "").select(needle_key, F.lower(needle).alias("_needle"), F.get(own, F.lit(0)).alias("_first"), longest(inner).alias("_word"), longest(own).alias("_part"))
+    keyed = texts.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("_word"))
+    grams = lambda w: F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, n)))))
+    around = keyed.select("_word").distinct().select("_word", F.explode(grams(F.col("_word"))).alias("_gram"))
+    partly = wanted.where("_word is null and _part is not null").drop("_word").withColumn("_gram", F.substring("_part", 1, 3))
+    found = partly.join(around, "_gram").where(F.contains("_word", F.col("_part")))
+    routed = wanted.where("_word is not null").drop("_part").unionByName(found.drop("_gram", "_part"))
+    signs = texts.select(key, F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower(text), r"[\p{L}\p{N}]+", ""), ""))).alias("_sign"))
+    wordless = wanted.where("_part is null").drop("_word", "_part").withColumn("_sign", F.substring("_needle", 1, 1))
+    met = keyed.join(routed, "_word").drop("_word").unionByName(signs.join(wordless, "_sign").drop("_sign"))
     rows = met.join(texts.select(key, F.lower(text).alias("_text")), key).where(F.contains("_text", F.col("_needle")))
-    return rows.where(F.array_contains(words(F.col("_text")), F.col("_first"))).select(needle_key, key).distinct()
+    if first_whole:
+        rows = rows.where(F.array_contains(words(F.col("_text")), F.col("_first")))
+    return rows.select(needle_key, key).distinct()
 
 
 def not_yet(new: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

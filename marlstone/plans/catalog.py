@@ -143,7 +143,7 @@ select item_id, doc_id from needles join documents on needle <> '' and contains(
 def contains_join(spark, sf_dir):
     """Documents with the first three words of a benchmark item."""
     needles = _t(spark, sf_dir, "benchmark").select("item_id", F.trim(F.regexp_extract("text", "^[^ ]+ [^ ]+ [^ ]+", 0)).alias("needle")).where("needle <> ''")
-    return relations.containing(_t(spark, sf_dir, "documents"), "doc_id", "text", needles, "item_id", "needle")
+    return relations.containing(_t(spark, sf_dir, "documents"), "doc_id", "text", needles, "item_id", "needle", first_whole=True)
 
 
 @query("""
