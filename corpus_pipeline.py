@@ -55,7 +55,7 @@ STAGES = [
     ("decontamination", decontamination),
     ("sentencepiece", tokens),
 ]
-#: Language classifiers and tokenizers are not SQL; the pipeline is tested against a brute-force version.
+#: Language classifiers and tokenizers are not SQL; of the stages, line_dedup and near_copies are tested against plain versions.
 ORACLE_SQL = None
 
 
