@@ -141,6 +141,61 @@ def test_best_run():
         assert sum(scores[a:b]) == max(0, best)
 
 
+PARAGRAPHS = "".join(f"<p>Paragraph {i} holds some words of real content and goes on for quite a while.</p>" for i in range(4))
+LINES = [f"Paragraph {i} holds some words of real content and goes on for quite a while." for i in range(4)]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<html><body><form action='/x'>{PARAGRAPHS}</form></body></html>", LINES),
+        (f"<html><body><div class='share'>{PARAGRAPHS}</body></html>", LINES),
+        (f"<html><body><div class='related-topics-page'>{PARAGRAPHS}</div></body></html>", LINES),
+        (f"<html><body><form><nav><a href='/'>Home</a></nav><div class='sidebar'><p>Some words beside it</p></div>{PARAGRAPHS}</form></body></html>", LINES),
+        (f"<article><div class='hd'><div><h1>Short Title</h1></div></div>{PARAGRAPHS}</article>", ["Short Title", *LINES]),
+        (f"<article>{PARAGRAPHS}<ul><li><a href='a'>Source one</a></li><li><a href='b'>Source two</a></li></ul></article>", [*LINES, "Source one", "Source two"]),
+        (f"<article>{PARAGRAPHS}<div><div><em>The end.</em></div></div></article>", [*LINES, "The end."]),
+        (f"<body><article>{PARAGRAPHS}</article><div>Words between them</div><article><h2>Other</h2><p>More text.</p></article></body>", [*LINES, "Other", "More text."]),
+        (f"<article>{PARAGRAPHS}<div class='article-comments'><p>{'I disagree. ' * 30}</p></div></article>", LINES),
+        (f"<article><p>{LINES[0]}</p><div class='content-ad'>Buy now</div>{PARAGRAPHS}<footer>Filed under x</footer></article>", [LINES[0], *LINES]),
+        (f"<body>Menu words<article>{PARAGRAPHS}</article>words after it that are quite a few and not marked at all</body>", LINES),
+        (f"<body><div id='w'><div><h1>The Title</h1></div>{PARAGRAPHS}<p>End.</p></div><div class='sidebar'>Side words</div><footer>c</footer></body>", ["The Title", *LINES, "End."]),
+        (f"<main><h1>Title</h1><div class='content with-sidebar'>{PARAGRAPHS}</div><aside>Beside</aside></main>", ["Title", *LINES]),
+        (f"<section class='comments'><article class='comment'><p>First!</p></article></section><article>{PARAGRAPHS}</article>", LINES),
+        ("<article><ul><li>One<li>Two</ul><p>x<p>y &lt;z&gt; <br>end<table><tr><td>a<td>b</table></article>", ["One", "Two", "x", "y <z> end", "a b"]),
+    ],
+)
+def test_main_text_of_page_shapes(spark, page, want):
+    """With weights fitted on pages that never have a div, a list or a table in the article, and with the default ones."""
+    fitted = mainpage.fit(spark.read.parquet(f"{SMALL}/pages.parquet"))
+    assert mainpage.extract(page, fitted).split("\n") == want
+    assert mainpage.extract(page, mainpage.DEFAULT).split("\n") == want
+
+
+def test_region_is_the_best_run():
+    """The run that the region grows from has the largest sum of all, and the text holds all of its words."""
+    rng = random.Random(12)
+    parts = ["<div>", "</div>", "<p>", "</p>", "<a href='x'>", "</a>", "<nav>", "</nav>", "<article>", "</article>", "<div class='ad'>", "<h1>", "</h1>", "words of text ", "one ", "<br>", "<form>", "</form>", "<b>", "</b>", "<!-- c -->", "<script>x</script>"]
+    for _ in range(300):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        scored = mainpage.Scored(page, mainpage.DEFAULT)
+        a, b = mainpage.best_run(scored.scores)
+        assert sum(scored.scores[a:b]) == pytest.approx(max([sum(scored.scores[i:j]) for i in range(len(scored.scores)) for j in range(i, len(scored.scores) + 1)], default=0))
+        begin, end = scored.region()
+        assert begin <= a and b <= end
+        run = [w for t in range(a, b) if scored.page.texts[t] and scored.counted[t] and not scored.dropped[t] for w in scored.page.texts[t].split()]
+        assert len(scored.text().split()) >= len(run)
+
+
+def test_main_text_long_and_deep():
+    """Long pages, deep nesting and unclosed tags take linear time."""
+    deep = "<div>" * 50_000 + PARAGRAPHS + "</div>" * 50_000
+    assert mainpage.extract(deep, mainpage.DEFAULT).split("\n") == LINES
+    unclosed = "<span class='ad'>x" * 50_000
+    mainpage.extract(unclosed, mainpage.DEFAULT)
+    assert mainpage.extract("<article>" + "<p>word</p>" * 100_000 + "</article>", mainpage.DEFAULT).count("word") == 100_000
+
+
 def test_main_text(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     scores = mainpage.fit(pages)
