@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: A batch is cut so that a slice holds about this many bytes of text (one row at least).
 SLICE_BYTES = 2 << 20
@@ -180,6 +181,8 @@ def packed(df: DataFrame, text: str = "text", column: str = "packed") -> DataFra
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     kept = [f for f in df.schema.fields if f.name != text]
+    if column in (f.name for f in kept):
+        raise ValueError(f"there is a column {column} already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -199,12 +202,21 @@ def unpacked(column: pa.Array) -> pa.Array:
     return pa.array([expand.decompress(x).decode() for x in column.to_pylist()], pa.string())
 
 
-def repeated_keys(rows: DataFrame) -> DataFrame:
+def hot_keys(sample: DataFrame, key: str, least: int = 8, most: int = 4096) -> np.ndarray:
+    """The most frequent keys of a sample, in order: a hint where to deal rows, of bounded size; results don't hang on it."""
+    rows = sample.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), key).limit(most).collect()
+    return np.sort(np.array([r[key] for r in rows], dtype=np.int64))
+
+
+def repeated_keys(rows: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
     """The rows of ``rows`` (columns of type long, the first one the key) whose key comes several times.
 
-    A partition is read in key order with one row held back, so the rows of a key are never gathered.
+    A partition is read in key order with one row held back, so the rows of a key are never gathered. Rows of the keys in
+    ``hot`` all pass, and are dealt to all partitions.
     """
     names = rows.columns
+    hot = np.zeros(0, np.int64) if hot is None else hot
+    salt = F.when(F.col(names[0]).isin(hot.tolist()), F.pmod(F.xxhash64(*names[1:]), F.lit(9973))).otherwise(0) if len(hot) else F.lit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, before = None, False  # the last row so far, and whether its key was met before it
@@ -216,10 +228,14 @@ def repeated_keys(rows: DataFrame) -> DataFrame:
                 columns = [np.concatenate([[h], c]) for h, c in zip(held, columns, strict=True)]
             same = columns[0][1:] == columns[0][:-1]
             with_last = np.concatenate([[before], same])
-            out = np.flatnonzero(with_last[:-1] | same)
+            kept = with_last[:-1] | same
+            if len(hot):
+                kept |= np.isin(columns[0][:-1], hot)
+            out = np.flatnonzero(kept)
             yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], names=names)
             held, before = [c[-1] for c in columns], bool(with_last[-1])
-        if before:
+        if before or held is not None and len(hot) and np.isin(held[0], hot):
             yield pa.RecordBatch.from_arrays([pa.array([h]) for h in held], names=names)
 
-    return rows.repartition(names[0]).sortWithinPartitions(*names).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    dealt = rows.repartition(names[0], salt) if len(hot) else rows.repartition(names[0])
+    return dealt.sortWithinPartitions(*names).mapInArrow(run, ", ".join(f"{n} long" for n in names))

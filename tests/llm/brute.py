@@ -49,15 +49,15 @@ def edits(a, b):
     return row[-1]
 
 
-def line_dedup(docs, least=3, least_near=5):
-    """doc_id -> kept text: a line goes if an earlier one is its copy or, from five words on, one word edit away."""
+def line_dedup(docs, least_near=5):
+    """doc_id -> kept text: a line goes if an earlier one is its copy or, from ``least_near`` words on, one word edit away."""
     lines = [(i, n, line) for i, t in sorted(docs.items()) for n, line in enumerate((t or "").split("\n"))]
     gone = set()
     for at, (i, n, line) in enumerate(lines):
         a = words(fold(line))
         for _, _, other in lines[:at]:
             b = words(fold(other))
-            if len(a) >= least and (a == b or (min(len(a), len(b)) >= least_near and edits(a, b) <= 1)):
+            if a and b and (a == b or (min(len(a), len(b)) >= least_near and edits(a, b) <= 1)):
                 gone.add((i, n))
                 break
     return {i: "\n".join(x for n, x in enumerate((t or "").split("\n")) if (i, n) not in gone) for i, t in docs.items()}
@@ -86,3 +86,27 @@ def contaminated(docs, items, percent=80, window=13):
         if size and any(100 * sum(x == y for x, y in zip(a[p : p + size], b[q : q + size])) >= percent * size for p in range(len(a) - size + 1) for q in range(len(b) - size + 1)):
             found.add((i, j))
     return found
+
+
+def decided(captures, entries):
+    """For each (url, time): action, rule and start of the most specific entry that holds then; entries (rule, action, time)."""
+    from urllib.parse import urlsplit
+
+    held = {}
+    for rule, action, at in entries:
+        if None not in (rule, action, at):
+            held.setdefault(rule, {})[at] = max(action, held.get(rule, {}).get(at, ""))
+    out = []
+    for url, at in captures:
+        best = None
+        if url and at is not None and "://" in url:
+            parts = urlsplit(url)
+            host, segments = parts.hostname or "", [x for x in parts.path.split("/") if x]
+            labels = host.split(".")
+            keys = [".".join(labels[i:]) for i in range(len(labels))] + ["/".join([host, *segments[: i + 1]]) for i in range(len(segments))]
+            for rule in keys:
+                begun = [t for t in held.get(rule, {}) if t <= at]
+                if begun and held[rule][max(begun)] in ("block", "allow"):
+                    best = max(best or (), ("/" in rule, len(rule), rule, held[rule][max(begun)], max(begun)))
+        out.append((best[3], best[2], best[4]) if best else ("none", None, None))
+    return out
