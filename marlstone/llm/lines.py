@@ -9,12 +9,14 @@ that is judged on the input, not on what is left.
 Variants are only made for lines that may have a partner: one edit leaves the first or the second half of a line as it
 was, so a line takes part if it shares such a half with a different line. Copies of a line are one row from the start.
 
-Lines without a word are kept; lines of fewer than ``LEAST_NEAR`` words go only as exact copies.
+Lines without a word are kept; lines of fewer than ``least_near`` words (``LEAST_NEAR``, if not given) go only as exact
+copies: one word of three or four is no small difference. With 1, all lines with a word go as near copies.
 Words are runs of characters other than white space, A-Z folded, so white space and case don't tell lines apart.
 
 Defined results: null text counts as empty and stays as one empty line; kept lines stay as they are, joined by line
-feeds; rows with one doc_id share their lines' places, so none is the other's copy; ids must not be null; other columns
-pass through (n_lines, n_removed are replaced); an empty table gives no rows.
+feeds; rows with one doc_id share their lines' places, so none is the other's copy; rows without an id stay as they are,
+with no line removed; other columns pass through, whatever their names (n_lines, n_removed are replaced); an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import Runs, list_array, mixed, packed, repeated_keys, sliced, text_column, unpacked, word_hashes, words_of
-from marlstone.llm.shared import written
+from marlstone.llm.batches import Runs, hot_keys, list_array, mixed, packed, repeated_keys, sliced, text_column, unpacked, word_hashes, words_of
+from marlstone.llm.shared import SAMPLE, joined_by_key, unused, written
 
 LEAST_NEAR = 5
 
@@ -48,7 +50,7 @@ class _Lines:
         self.begin, self.size = words.rows[:-1][self.at], size[self.at]
         self.runs = Runs(hashes)
 
-    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+    def halves(self, least_near: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the halves of each line that can have near copies, cut as if it had its length or one word more."""
         if not len(self.at):
             return np.zeros(0, np.uint64), self.size
@@ -58,8 +60,8 @@ class _Lines:
                 begin = self.begin if side == 1 else self.begin + self.size - half
                 out.append(mixed(self.runs.of(begin, half) ^ mixed(total.astype(np.uint64) * np.uint64(4) + np.uint64(side))))
         keys = np.stack(out, axis=1)
-        counts = np.where(self.size >= LEAST_NEAR, 4, 0)
-        return keys[self.size >= LEAST_NEAR].ravel(), counts
+        counts = np.where(self.size >= least_near, 4, 0)
+        return keys[self.size >= least_near].ravel(), counts
 
     def variants(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of line i and of its variants, and the place left out (-1: none)."""
@@ -72,11 +74,11 @@ class _Lines:
         return keys, np.arange(-1, n)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, least_near: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             lines, ids = _Lines(text_column(batch, "text").to_pylist()), np.asarray(batch.column(0), dtype=np.int64)
-            keys, counts = lines.halves()
+            keys, counts = lines.halves(least_near)
             h = [lines.runs.of(lines.begin, lines.size, k).view(np.int64) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(ids[lines.row]), pa.array(lines.number), pa.array(h[0]), pa.array(h[1]), list_array(keys.view(np.int64), counts, pa.int64())], names=["doc_id", "line", "h1", "h2", "halves"])
 
@@ -150,14 +152,15 @@ def near(a: list[str], b: list[str]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least_near: int = LEAST_NEAR) -> DataFrame:
     """doc_id, line (from 0) of the lines that go, of ``docs`` (doc_id, text)."""
-    lines = written(_lines(docs), "lines")
+    lines = written(_lines(docs, least_near), "lines")
     pos = F.struct("doc_id", "line")
     firsts = written(lines.groupBy("h1", "h2").agg(F.min(pos).alias("pos"), F.count("*").alias("n"), F.min("halves").alias("halves")), "firsts")
-    copies = lines.join(firsts.where("n > 1").select("h1", "h2", "pos"), ["h1", "h2"]).where(pos != F.col("pos")).select("doc_id", "line")
+    copies = joined_by_key(lines.drop("halves"), firsts.where("n > 1").select("h1", "h2", "pos", "n"), ["h1", "h2"], "n").where(pos != F.col("pos")).select("doc_id", "line")
     halves = firsts.select(F.explode("halves").alias("half"), "pos.doc_id", "pos.line")
-    chosen = repeated_keys(halves).select("doc_id", "line").distinct()
+    some = firsts.where(F.pmod("h1", F.lit(SAMPLE)) == 0).select(F.explode("halves").alias("half"))
+    chosen = repeated_keys(halves, hot_keys(some, "half")).select("doc_id", "line").distinct()
     of_doc = chosen.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
     variants = written(_variants(of_doc.join(packed(docs), "doc_id").select("doc_id", "lines", "packed")), "variants")
     pairs = _joined(variants.where("key is not null")).distinct()
@@ -171,7 +174,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["doc_id", "line"]).filter(keep)
 
     found = both.select("doc_id", "line", "words", "by_words").mapInArrow(verify, "doc_id long, line long")
-    return written(copies.unionByName(found).distinct(), "removed")
+    return written(copies.unionByName(found).distinct(), "removed", (lines, firsts, variants))
 
 
 def _words(text: str) -> list[str]:
@@ -180,28 +183,29 @@ def _words(text: str) -> list[str]:
     return [raw[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist(), strict=True)]
 
 
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least_near: int = LEAST_NEAR) -> DataFrame:
     """``df`` with the lines that go taken out of ``text``, n_lines (of the input) and n_removed."""
     from pyspark.sql.types import StructType
 
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_list("line").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    base = df.drop("n_lines", "n_removed").withColumnRenamed(text, "text") if text != "text" else df.drop("n_lines", "n_removed")
-    rows = packed(base).join(gone, F.col(doc_id).cast("long") == F.col("_doc"), "left").drop("_doc")
-    kept = [f for f in base.schema.fields if f.name != "text"]
-    schema = StructType(kept + StructType.fromDDL(f"`{text}` string, n_lines long, n_removed long").fields)
+    base = df.drop("n_lines", "n_removed")
+    key, press, gone = unused(base, "doc_key", "packed", "gone")
+    lists = removed_lines(docs, least_near).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("line").alias(gone))
+    rows = packed(base.withColumn(key, F.col(doc_id).cast("long")), text, press).join(lists, key, "left")
+    fields = base.schema.fields
+    schema = StructType([*fields, *StructType.fromDDL("n_lines long, n_removed long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
                 texts, lines, removed = [], [], []
                 at = batch.schema.get_field_index
-                for text, out in zip(unpacked(batch.column(at("packed"))).to_pylist(), batch.column(at("_gone")).to_pylist(), strict=True):
-                    own, out = text.split("\n"), set(out or ())
+                for value, out in zip(unpacked(batch.column(at(press))).to_pylist(), batch.column(at(gone)).to_pylist(), strict=True):
+                    own, out = value.split("\n"), set(out or ())
                     lines.append(len(own)), removed.append(len(out))
-                    texts.append("\n".join(x for i, x in enumerate(own) if i not in out) if out else "\n".join(own))
-                others = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-                yield pa.RecordBatch.from_arrays([*others, pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=schema.fieldNames())
+                    texts.append("\n".join(x for i, x in enumerate(own) if i not in out) if out else value)
+                columns = [pa.array(texts, pa.string()) if f.name == text else batch.column(at(f.name)) for f in fields]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=schema.fieldNames())
 
     return rows.mapInArrow(run, schema)
 
