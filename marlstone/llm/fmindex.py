@@ -5,9 +5,15 @@ index of a shard is a Burrows-Wheeler transform of its passages in a wavelet mat
 come from backward search, one word at a time for all passages at once: extend to the left by rank queries, and once a
 match has the threshold's length, report its interval and shorten it on the right by one word.
 
+An index holds no suffix array and no ranks: beside the wavelet matrix it has two packed bit vectors, where suffixes
+start to differ within ``window - 1`` and within ``window`` words, and one place for each group of equal windows (the
+earliest one).
+
 Passages are routed so that a shard sees all places of its windows: each window of ``window`` words has an anchor, the
 gram of ``GRAM`` words (a window, if shorter) with the least hash in it, and a run of windows with one anchor is a passage. Equal windows have
 equal anchors, so only passages whose anchor comes several times go on, each distinct one once, to the shard of the anchor.
+Grams that a sample of the documents holds often are anchors only of windows that have no other: what stands around a
+common passage is then dealt by its own words, and the passage itself is one distinct passage, however often it comes.
 
 A word is removed if a window that covers it also starts earlier; windows are judged on the input.
 
@@ -25,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import Runs, Words, gram_hashes, packed, repeated_keys, sliced, text_column, unpacked, word_hashes, words_of
-from marlstone.llm.shared import written
+from marlstone.llm.batches import Runs, Words, gram_hashes, hot_keys, packed, repeated_keys, sliced, text_column, unpacked, word_hashes, words_of
+from marlstone.llm.shared import SAMPLE, joined_by_key, written
 
 GRAM = 6
 #: Words of the passages that one index holds, about; an anchor's passages stay together.
@@ -35,13 +41,16 @@ SHARD_WORDS = 200_000
 REMEMBERED = 200_000
 
 
-def anchored(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor) of each run of windows with one anchor; places count over all rows."""
+def anchored(words: Words, hashes: np.ndarray, window: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, anchor) of each run of windows with one anchor; places count over all rows.
+    Grams in ``hot`` (ascending) come after all others."""
     count = len(hashes) - window + 1
     none = np.zeros(0, np.int64)
     if count <= 0:
         return none, none, none
     grams = gram_hashes(hashes, min(GRAM, window))
+    if len(hot):
+        grams = (grams >> np.uint64(1)) | (np.isin(grams.view(np.int64), hot).astype(np.uint64) << np.uint64(63))
     anchor = np.lib.stride_tricks.sliding_window_view(grams, window - min(GRAM, window) + 1).argmin(axis=1) + np.arange(count)
     row_end = np.repeat(words.rows[1:], np.diff(words.rows))
     valid = np.flatnonzero(np.arange(count) + window <= row_end[:count])
@@ -52,12 +61,24 @@ def anchored(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
     return valid[first], np.diff(np.append(first, len(valid))), a[first]
 
 
-def _anchors(docs: DataFrame, window: int) -> DataFrame:
+def _hot_grams(docs: DataFrame, window: int) -> np.ndarray:
+    """Grams that come often in one in ``SAMPLE`` documents: only where passages are sent hangs on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            words = words_of(text_column(batch, "text"))
+            yield pa.RecordBatch.from_arrays([pa.array(gram_hashes(word_hashes(words), min(GRAM, window)).view(np.int64))], names=["gram"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    return hot_keys(some.mapInArrow(run, "gram long"), "gram")
+
+
+def _anchors(docs: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             words = words_of(text_column(batch, "text"))
             hashes = word_hashes(words)
-            _, _, anchor = anchored(words, hashes, window)
+            _, _, anchor = anchored(words, hashes, window, hot)
             row = np.searchsorted(words.rows, anchor, side="right") - 1
             keys = gram_hashes(hashes, min(GRAM, window))[anchor].view(np.int64) if len(anchor) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.asarray(batch.column(0), dtype=np.int64)[row]), pa.array(anchor - words.rows[row])], names=["key", "doc_id", "place"])
@@ -65,7 +86,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long, place long")
 
 
-def _passages(rows: DataFrame, window: int) -> DataFrame:
+def _passages(rows: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
     """key, h1, h2, doc_id, start, n_windows, words of ``rows`` (doc_id, places, packed); words is null for a passage that
     the task has sent before."""
 
@@ -75,7 +96,7 @@ def _passages(rows: DataFrame, window: int) -> DataFrame:
             for batch in (whole.slice(at, 128) for at in range(0, whole.num_rows, 128)):
                 words = words_of(unpacked(batch.column(2)))
                 hashes = word_hashes(words)
-                begin, size, anchor = anchored(words, hashes, window)
+                begin, size, anchor = anchored(words, hashes, window, hot)
                 row = np.searchsorted(words.rows, anchor, side="right") - 1
                 lists = batch.column(1)
                 wanted = np.repeat(words.rows[:-1], np.asarray(lists.value_lengths(), dtype=np.int64)) + np.asarray(lists.flatten(), dtype=np.int64)
@@ -138,33 +159,51 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """An index of a text of symbols from 0 (a separator) to sigma - 1, sorted by at least ``depth`` symbols."""
-
-    def __init__(self, text: np.ndarray, sigma: int, depth: int):
-        n = len(text)
-        rank, known, self.ranks = text.astype(np.int64), 1, {}
-        while known < depth + 1:
-            self.ranks[known] = rank
+    """A compressed index of a text of symbols from 0 (a separator) to sigma - 1 for matches of up to ``window`` symbols."""
+
+    def __init__(self, text: np.ndarray, sigma: int, window: int):
+        n = self.n = len(text)
+        # Suffixes are sorted by prefix doubling; the ranks and the suffix array live only until the index is made.
+        rank, known, ranks = text.astype(np.int64), 1, {}
+        while known < window + 1:
+            ranks[known] = rank
             rank = np.unique(rank * (n + sigma) + np.concatenate([rank[known:], rank[:known]]), return_inverse=True)[1].astype(np.int64)
             known *= 2
-        self.ranks[known] = rank
-        self.suffixes = np.argsort(rank, kind="stable")
-        self.bwt = WaveletMatrix(text[self.suffixes - 1], sigma)
+        ranks[known] = rank
+        suffixes = np.argsort(rank, kind="stable")
+        self.bwt = WaveletMatrix(text[suffixes - 1], sigma)
         counts = np.bincount(text, minlength=sigma)
-        self.first = np.cumsum(counts) - counts
-        self.n = n
+        self.first = (np.cumsum(counts) - counts).astype(np.int32)
+
+        def differs(depth: int) -> np.ndarray:
+            """Whether each row starts a group of suffixes with the same first ``depth`` symbols."""
+            most = max(k for k in ranks if k <= depth)
+            a, b = ranks[most][suffixes], ranks[most][(suffixes + depth - most) % n]
+            return np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
 
-    def groups(self, depth: int) -> np.ndarray:
-        """Whether each row starts a group of suffixes with the same first ``depth`` symbols."""
-        known = max(k for k in self.ranks if k <= depth)
-        a, b = self.ranks[known][self.suffixes], self.ranks[known][(self.suffixes + depth - known) % self.n]
-        return np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        shorter, equal = differs(window - 1), differs(window)
+        self.edges = np.append(np.flatnonzero(shorter), n).astype(np.int32)
+        self.shorter, self.equal = Bits(shorter), Bits(equal)
+        self.earliest = np.minimum.reduceat(suffixes, np.flatnonzero(equal)).astype(np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        vectors = [bits for _, bits, _ in self.bwt.levels] + [self.shorter, self.equal]
+        return sum(v.words.nbytes + v.before.nbytes for v in vectors) + self.first.nbytes + self.bwt.origin.nbytes + self.edges.nbytes + self.earliest.nbytes
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the intervals of symbol + match."""
         both = self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
         return self.first[symbol] + both[: len(low)], self.first[symbol] + both[len(low) :]
 
+    def shortened(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of matches of ``window`` symbols cut to ``window - 1``."""
+        return self.edges[self.shorter.rank(low + 1) - 1].astype(np.int64), self.edges[self.shorter.rank(high)].astype(np.int64)
+
+    def place(self, low: np.ndarray) -> np.ndarray:
+        """The earliest place of the window whose interval begins at ``low``."""
+        return self.earliest[self.equal.rank(low + 1) - 1].astype(np.int64)
+
 
 def earliest(texts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every window of every passage (in order): passage and word of its earliest place among the passages; and the
@@ -177,30 +216,25 @@ def earliest(texts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.n
     text = np.zeros(len(symbols) + n_passages, dtype=np.int64)
     text[np.arange(len(symbols)) + np.repeat(np.arange(n_passages), sizes)] = symbols
     index = FMIndex(text, int(symbols.max(initial=0)) + 1, window)
-    # Rows around a match that agree with it in window - 1 words: what a match becomes when it is shortened by one word.
-    starts = index.groups(window - 1)
-    group = np.cumsum(starts) - 1
-    edges = np.append(np.flatnonzero(starts), index.n)
-    full = index.groups(window)
-    full_group = np.cumsum(full) - 1
-    least = np.minimum.reduceat(index.suffixes, np.flatnonzero(full))
     n_windows = np.maximum(sizes - window + 1, 0)
     out, base = np.zeros(int(n_windows.sum()), dtype=np.int64), np.cumsum(n_windows) - n_windows
     live = np.flatnonzero(n_windows > 0)
     low, high = np.zeros(len(live), dtype=np.int64), np.full(len(live), index.n, dtype=np.int64)
+    # Matching statistics of all passages at once, from their last words on: no match is ever shorter than what was read
+    # or window - 1 words, as every passage is in the index.
     for step in range(int(sizes.max(initial=0))):
         keep = sizes[live] > step
         live, low, high = live[keep], low[keep], high[keep]
         low, high = index.extend(text[begin[live] + sizes[live] - 1 - step], low, high)
         if step >= window - 1:
-            out[base[live] + sizes[live] - 1 - step] = least[full_group[low]]
-            low, high = edges[group[low]], edges[group[high - 1] + 1]
+            out[base[live] + sizes[live] - 1 - step] = index.place(low)
+            low, high = index.shortened(low, high)
     passage = np.searchsorted(begin, out, side="right") - 1
     return passage, out - begin[passage], n_windows
 
 
 def _earliest_places(distinct: DataFrame, window: int) -> DataFrame:
-    """key, h1, h2, docs, places: the earliest place of each window of each distinct passage."""
+    """key, h1, h2, n, docs, places: the earliest place of each window of each distinct passage, of which there are n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -208,17 +242,17 @@ def _earliest_places(distinct: DataFrame, window: int) -> DataFrame:
 
         def shard(parts):
             table = pa.Table.from_batches(parts).combine_chunks()
-            keys, h1, h2, doc, start = (table.column(i).to_numpy() for i in range(5))
+            keys, h1, h2, doc, start, n_rows = (table.column(i).to_numpy() for i in (0, 1, 2, 3, 4, 7))
             order = np.lexsort((start, doc))
             texts = table.column(5).combine_chunks().take(pa.array(order))
             texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-            keys, h1, h2, doc, start = (x[order] for x in (keys, h1, h2, doc, start))
+            keys, h1, h2, doc, start, n_rows = (x[order] for x in (keys, h1, h2, doc, start, n_rows))
             passage, place, n = earliest(texts, window)
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             for at in range(0, len(n), 5000):
                 end = min(len(n), at + 5000)
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)).slice(at, end - at) for x in (doc[passage], start[passage] + place)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[at:end]) for x in (keys, h1, h2)), *lists], names=["key", "h1", "h2", "docs", "places"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[at:end]) for x in (keys, h1, h2, n_rows)), *lists], names=["key", "h1", "h2", "n", "docs", "places"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -239,20 +273,21 @@ def _earliest_places(distinct: DataFrame, window: int) -> DataFrame:
         if held:
             yield from shard(held)
 
-    ordered = distinct.select("key", "h1", "h2", "first.doc_id", "first.start", "words", "n_windows").repartition("key").sortWithinPartitions("key", "doc_id", "start")
-    return ordered.mapInArrow(run, "key long, h1 long, h2 long, docs array<long>, places array<long>")
+    ordered = distinct.select("key", "h1", "h2", "first.doc_id", "first.start", "words", "n_windows", "n").repartition("key").sortWithinPartitions("key", "doc_id", "start")
+    return ordered.mapInArrow(run, "key long, h1 long, h2 long, n long, docs array<long>, places array<long>")
 
 
 def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """doc_id, begin, end: stretches of words covered by windows that start earlier too, of ``docs`` (doc_id, text).
-    Stretches of one document may overlap."""
-    shared = written(repeated_keys(_anchors(docs, window)), "anchors")
+    """doc_id, spans (begin, end): stretches of words covered by windows that start earlier too, of ``docs`` (doc_id,
+    text); at most one for each passage of the document, in no order, and they may overlap."""
+    hot = _hot_grams(docs, window)
+    shared = written(repeated_keys(_anchors(docs, window, hot), hot), "anchors")
     places = shared.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    passages = written(_passages(places.join(packed(docs), "doc_id").select("doc_id", "places", "packed"), window), "passages")
+    passages = written(_passages(places.join(packed(docs), "doc_id").select("doc_id", "places", "packed"), window, hot), "passages", (shared,))
     by = ["key", "h1", "h2"]
-    distinct = passages.groupBy(*by).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("words", ignorenulls=True).alias("words"), F.first("n_windows").alias("n_windows"))
+    distinct = passages.groupBy(*by).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("words", ignorenulls=True).alias("words"), F.first("n_windows").alias("n_windows"), F.count("*").alias("n"))
     found = written(_earliest_places(distinct, window), "earliest")
-    rows = passages.drop("words").join(found, by).select("doc_id", "start", "docs", "places")
+    rows = joined_by_key(passages.drop("words"), found, by, "n").select("doc_id", "start", "docs", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,16 +301,15 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             last = np.append(first[1:], len(row)) - 1 if len(row) else first
             yield pa.RecordBatch.from_arrays([pa.array(doc[row[first]]), pa.array(place[first]), pa.array(place[last] + window)], names=["doc_id", "begin", "end"])
 
-    return rows.mapInArrow(run, "doc_id long, begin long, end long")
+    spans = rows.mapInArrow(run, "doc_id long, begin long, end long").groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return written(spans, "spans", (passages, found))
 
 
 def dedup_substrings(df: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, spans array<struct<begin, end>> (words, apart and in order), kept (the other words,
     joined by one space)."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    # The stretches of one document: at most one for each of its passages.
-    spans = written(repeats(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
-    rows = packed(docs).join(spans, "doc_id", "left").select("doc_id", "packed", "spans")
+    rows = packed(docs).join(repeats(docs, window), "doc_id", "left").select("doc_id", "packed", "spans")
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,7 +98,44 @@ def test_line_dedup_short_lines(spark):
     rows = lines.dedup_lines(frame(spark, docs)).collect()
     assert {r.doc_id: r.text for r in rows} == {1: docs[1], 2: "words two\na b x\n \none more", 3: "", 4: "other", 5: ""}
     docs = corpus(21, 40) | {1000 + i: t for i, t in docs.items()}
-    assert {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, docs)).collect()} == brute.line_dedup(docs, least=1)
+    assert {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, docs)).collect()} == brute.line_dedup(docs)
+
+
+def test_line_dedup_every_length(spark):
+    """With near copies from one word on, lines of every length take part."""
+    docs = {1: "one\ntwo words\na b c\n\na b c d", 2: "two\nwords three\na x c\nlast line of it\n", 3: "a b c d e f g h\na b c d x f g h", 4: "three of\nlast line of them"}
+    assert {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, docs), least_near=1).collect()} == brute.line_dedup(docs, 1)
+    docs = corpus(22, 20) | docs
+    assert {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, docs), least_near=3).collect()} == brute.line_dedup(docs, 3)
+
+
+def test_line_dedup_clashing_columns(spark):
+    docs = {1: "a line of six words here\nother", 2: "a line of six words here", 3: None}
+    names = ["packed", "_gone", "gone", "_doc", "doc_key", "line", "text", "n_lines", "Packed_"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in docs.items()] + [(None, "no id\nno id", *names)]
+    df = spark.createDataFrame(rows, ["id", "body", *names])
+    got = {r.id: r for r in lines.dedup_lines(df, "id", "body").collect()}
+    assert {i: r.body for i, r in got.items()} == {1: docs[1], 2: "", 3: "", None: "no id\nno id"}
+    assert all(r[n] == f"{n}{i}" for i, r in got.items() if i for n in names if n != "n_lines")
+    assert [got[i].n_removed for i in (1, 2, 3, None)] == [0, 1, 0, 0]
+
+
+def test_substring_dedup_hot_grams(spark, monkeypatch):
+    """A passage in most documents: grams of it anchor only the windows that have no other."""
+    rng = random.Random(14)
+    passage = [f"p{i}" for i in range(30)]
+    docs = {i: " ".join([f"a{rng.randrange(40)}" for _ in range(rng.randrange(12))] + passage[rng.choice([0, 0, 3]) :] + [f"b{rng.randrange(40)}" for _ in range(rng.randrange(12))]) for i in range(60)}
+    monkeypatch.setattr(fmindex, "SAMPLE", 1)
+    assert len(fmindex._hot_grams(frame(spark, docs).select("doc_id", "text"), 8)) > 20
+    got = {r.doc_id: (r.n_words, r.kept.split(" ") if r.kept else []) for r in fmindex.dedup_substrings(frame(spark, docs), 8).collect()}
+    assert got == brute.substring_dedup(docs, 8)
+
+
+def test_fm_index_is_compressed():
+    rng = np.random.default_rng(3)
+    text = np.concatenate([np.append(rng.integers(1, 500, 50), 0) for _ in range(4000)])
+    index = fmindex.FMIndex(text, 500, 20)
+    assert index.nbytes < 1.5 * text.nbytes and not hasattr(index, "ranks")
 
 
 @pytest.mark.parametrize("window", [4, 20])
