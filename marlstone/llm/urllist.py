@@ -5,13 +5,14 @@ intervals: an entry holds until the next one of its rule. A rule is a domain, wh
 a path prefix of whole segments. ``evaluate`` gives every capture the rules of its URL with their dated intervals and
 picks, as of the fetch time, the most specific rule that is active: a path before a domain, then the longer one.
 
-Each distinct URL meets the rules once (by the keys it could be listed under), and each rule is one row with its
-intervals in order, so neither a busy host nor a rule that changed often multiplies rows.
+A capture meets the rules by the keys its URL could be listed under. Captures and intervals of a rule are then joined as
+of the fetch time: they stand in one list, in which the last interval is carried forward. Neither a busy host nor a rule
+that changed often multiplies rows, and the list of a busy rule is cut by time.
 
 Defined results: a null or malformed URL, or a null fetch time, is decided ``none``; entries with a null rule or time
 don't count; of several entries of a rule at one time the last action by name holds; an interval includes its start and
 excludes its end; repeated captures keep a row each; empty tables give no rows or no decisions; other columns of the
-captures pass through (url_key, decision, rule and listed_at are replaced).
+captures pass through, whatever their names (decision, rule and listed_at are replaced).
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.shared import unused, written
+
 
 def host_of(url: Column) -> Column:
     """The host in lower case without user, port and final dot; empty if the URL has none."""
@@ -46,28 +49,52 @@ def validity(entries: DataFrame) -> DataFrame:
     return own.withColumn("valid_to", following).where(F.col("action").isin("block", "allow")).select("rule", "action", F.col("listed_at").alias("valid_from"), "valid_to")
 
 
+#: A rule with more requests than this, and than one in BUSY of all (so there are at most BUSY), is cut by time in CUTS.
+STRETCH, BUSY, CUTS = 100_000, 10_000, 64
+
+
 def evaluate(captures: DataFrame, intervals: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
     """``captures`` with decision (block, allow or none), rule and listed_at (null for none)."""
-    rules = intervals.groupBy("rule").agg(F.sort_array(F.collect_list(F.struct("valid_from", "valid_to", "action"))).alias("held"))
-    urls = captures.select(F.col(url).alias("url_key")).where("url_key is not null").distinct()
-    listed = urls.select("url_key", F.explode(keys_of(F.col("url_key"))).alias("rule")).distinct().join(rules, "rule")
-    # At most one row for each label and path segment of the URL.
-    of_url = listed.groupBy("url_key").agg(F.collect_list(F.struct(F.contains("rule", F.lit("/")).alias("path"), F.length("rule").alias("n"), "rule", "held")).alias("rules"))
-    rows = captures.drop("url_key", "decision", "rule", "listed_at").withColumn("url_key", F.col(url)).join(of_url, "url_key", "left")
-    at = F.col(fetched_at)
-
-    def active(x: Column) -> Column:
-        now = F.filter(x["held"], lambda h: (h["valid_from"] <= at) & (h["valid_to"].isNull() | (at < h["valid_to"])))
-        return F.struct(x["path"].alias("path"), x["n"].alias("n"), x["rule"].alias("rule"), F.get(now, F.lit(0)).alias("now"))
-
-    best = F.array_max(F.filter(F.transform("rules", active), lambda x: x["now"].isNotNull()))
-    decided = rows.withColumn("best", best).drop("rules", "url_key")
-    return decided.select(
-        *(c for c in decided.columns if c != "best"),
-        F.coalesce("best.now.action", F.lit("none")).alias("decision"),
-        F.col("best.rule").alias("rule"),
-        F.col("best.now.valid_from").alias("listed_at"),
-    )
+    base = captures.drop("decision", "rule", "listed_at")
+    address, moment, best = unused(base, "asked_url", "asked_at", "best")
+    rows = base.withColumn(address, F.col(url)).withColumn(moment, F.col(fetched_at))
+    # A URL that was fetched at one time is asked about once; only keys that some rule has go on.
+    asked = rows.select(F.col(address).alias("u"), F.col(moment).alias("at")).where("u is not null and at is not null").distinct()
+    keys = asked.select("u").distinct().select("u", F.explode(keys_of(F.col("u"))).alias("rule")).distinct()
+    listed = keys.join(intervals.select("rule").distinct(), "rule")
+    known = as_of(written(asked.join(listed, "u").select("rule", "at", "u"), "requests"), intervals)
+    ranked = F.struct(F.contains("rule", F.lit("/")).alias("path"), F.length("rule").alias("n"), "rule", "action", "valid_from")
+    # The most specific rule of each request: a running maximum before rows are shuffled.
+    decided = known.groupBy("u", "at").agg(F.max(ranked).alias(best)).withColumnsRenamed({"u": address, "at": moment})
+    joined = rows.join(decided, [address, moment], "left")
+    return joined.select(*base.columns, F.coalesce(F.col(f"{best}.action"), F.lit("none")).alias("decision"), F.col(f"{best}.rule").alias("rule"), F.col(f"{best}.valid_from").alias("listed_at"))
+
+
+def as_of(requests: DataFrame, intervals: DataFrame) -> DataFrame:
+    """rule, at, u, action, valid_from of the requests (rule, at, u) that an interval of their rule covers.
+
+    Intervals and requests of a rule stand in one list by time, and the last interval before a request is carried to it.
+    The list of a busy rule is cut into stretches of time with about equal numbers of requests; each begins with the
+    interval that was open there, so no task holds a rule.
+    """
+    counts = requests.groupBy("rule").agg(F.count("*").alias("n")).where(F.col("n") > max(STRETCH, requests.count() // BUSY)).select("rule")
+    at = F.percentile_approx("at", F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), 1000)
+    busy = requests.join(F.broadcast(counts), "rule", "left_semi").groupBy("rule").agg(F.array_distinct(at).alias("cuts"))
+    stretch = lambda t: F.coalesce(F.size(F.filter("cuts", lambda c: c <= t)), F.lit(0))
+    asks = requests.join(F.broadcast(busy), "rule", "left").select("rule", stretch(F.col("at")).alias("part"), F.col("at").alias("time"), F.lit(1).alias("side"), "u", F.lit(None).cast(_held(intervals)).alias("held"))
+    held = F.struct("valid_from", "valid_to", "action")
+    # An interval is in the stretch it begins in and in every later one until it ends.
+    spans = intervals.join(F.broadcast(busy), "rule", "left").withColumn("first", stretch(F.col("valid_from"))).withColumn("last", F.when(F.col("valid_to").isNull(), F.coalesce(F.size("cuts"), F.lit(0))).otherwise(stretch(F.col("valid_to"))))
+    starts = spans.select("rule", F.explode(F.sequence("first", "last")).alias("part"), F.col("valid_from").alias("time"), F.lit(0).alias("side"), F.lit(None).cast("string").alias("u"), held.alias("held"))
+    upto = Window.partitionBy("rule", "part").orderBy("time", "side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = asks.unionByName(starts).withColumn("now", F.last("held", ignorenulls=True).over(upto))
+    open_now = F.col("now").isNotNull() & (F.col("now.valid_to").isNull() | (F.col("time") < F.col("now.valid_to")))
+    return carried.where((F.col("side") == 1) & open_now).select("rule", F.col("time").alias("at"), "u", "now.action", "now.valid_from")
+
+
+def _held(intervals: DataFrame) -> str:
+    kind = intervals.schema["valid_from"].dataType.simpleString()
+    return f"struct<valid_from: {kind}, valid_to: {kind}, action: string>"
 
 
 #: The list of the query: a host or its domain of three labels, by the first hexadecimal digits of its MD5, is blocked or
