@@ -8,18 +8,20 @@ loss is close to the next one's is flagged ambiguous.
 The classifier is fitted on a bounded sample of labelled rows: about ``PER_LANGUAGE`` for each language, those with the
 smallest hashes; only counts by language and n-gram bucket reach the driver. Prediction reads whole texts.
 
+A letter is a character of the Unicode category L; digits and signs that stand for numbers are none.
+
 Defined results: null text, or text without a letter, is ``und`` with score 0; rows without a label don't train; without
 any training row every text is ``und``; a tie goes to the language first in order; other columns pass through.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ BUCKETS, LENGTHS = 1 << 15, (1, 2, 3, 4)
 REMEMBERED = 300_000
 #: A prediction is ambiguous if its score is below this.
 SURE = 0.6
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

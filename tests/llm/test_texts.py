@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import idstore, langid, mainpage, pieces, topk, urllist
 from marlstone.llm.shared import new_path
+from tests.llm import brute
 
 tokenizers = pytest.importorskip("public_tokenizers")
 SMALL = "/root/testdata/sf0.001"
@@ -74,8 +75,8 @@ def test_language(spark):
 def test_language_of_nothing(spark):
     some = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de"), (3, None, "de"), (4, "text", None)], "doc_id long, text string, lang string")
     codes = langid.fit(some)
-    ask = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "123 !?", "c"), (4, "the the the", "d"), (5, "und der die", "e")], "doc_id long, text string, score string")
-    assert {r.doc_id: r.lang_pred for r in langid.identify(ask, codes).collect()} == {1: "und", 2: "und", 3: "und", 4: "en", 5: "de"}
+    ask = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "123 !?", "c"), (4, "the the the", "d"), (5, "und der die", "e"), (6, "½ ² ① Ⅷ", "f")], "doc_id long, text string, score string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(ask, codes).collect()} == {1: "und", 2: "und", 3: "und", 4: "en", 5: "de", 6: "und"}
     none = langid.fit(some.where("false"))
     assert {r.lang_pred for r in langid.identify(ask, none).collect()} == {"und"}
 
@@ -132,6 +133,21 @@ def test_url_list(spark):
     assert urllist.evaluate(captures, urllist.validity(entries.where("false"))).where("decision <> 'none'").count() == 0
 
 
+def test_url_list_with_busy_rules(spark, monkeypatch):
+    """Rules with many entries and captures, cut by time; extra columns of any name; repeated captures."""
+    monkeypatch.setattr(urllist, "STRETCH", 5)
+    rng = random.Random(2)
+    entries = [(rng.choice(["a.com", "b.a.com", "a.com/x", "c.org"]), rng.choice(["block", "allow", "remove"]), rng.randrange(200)) for _ in range(80)]
+    seen = [(rng.choice(["http://a.com/", "http://b.a.com/x", "https://a.com/x/y", "http://c.org", "http://d.net/", "bad", None]), rng.choice([None, *range(220)])) for _ in range(400)]
+    df = spark.createDataFrame([(i, u, t, "r", "b", "k", "p") for i, (u, t) in enumerate(seen)], "id int, url string, fetched_at int, rules string, best string, url_key string, asked_url string")
+    df = df.unionByName(df.where("id < 10"))
+    rows = urllist.evaluate(df, urllist.validity(spark.createDataFrame(entries, "rule string, action string, listed_at int"))).collect()
+    want = brute.decided(seen, entries)
+    assert len(rows) == 410 and all((r.decision, r.rule, r.listed_at) == want[r.id] for r in rows)
+    assert {(r.rules, r.best, r.url_key, r.asked_url) for r in rows} == {("r", "b", "k", "p")}
+    assert urllist.evaluate(df.where("false"), urllist.validity(spark.createDataFrame(entries, "rule string, action string, listed_at int"))).count() == 0
+
+
 def test_best_run():
     rng = random.Random(6)
     for _ in range(200):
