@@ -1,21 +1,27 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-A score is the sum of the partial scores of ``SLICES`` runs of dimensions; each slice gives every query one list of
-partial scores. Phase 1 gathers the k best entries of each list; the k-th largest of their lower bounds (known partial
-scores, and the list's smallest score where one is unknown) is a cutoff that no document of the answer is below. Phase 2
-sends every query's cutoff with its query block to all vector blocks and collects the entries of which some partial score
-reaches a ``SLICES``-th of it (a sum that reaches the cutoff has such a part). Phase 3 resolves the remaining partial
-scores of these entries where the vectors lie and keeps the k best of each block, which a ranked window merges.
+A score is a sum over two slices of the dimensions. Phase 1 gathers local lists: every vector block knows the first
+slice's partial scores, bounds each score from above (the rest by Cauchy and Schwarz) and resolves the k entries of the
+largest bounds; the k-th largest of all these exact scores is a cutoff that no answer is below. Phase 2 sends every query
+its cutoff and has the blocks collect all entries whose bound reaches it. Phase 3 resolves the remaining slice of the
+collected entries where the vectors lie and keeps the k best of each block, which a ranked window merges. Only the first
+slice is ever multiplied out for all pairs.
 
-Vectors and queries travel in blocks that meet on a pair key, so no task holds all of either.
+Vectors and queries travel in blocks that meet on a pair of group numbers; there are at most ``COPIES`` groups of query
+blocks and ``100 * COPIES`` of vector blocks, so each block is copied a bounded number of times, and no task holds all.
+
+Components so large that sums might not fit 63 bits go into blocks of their own, which are scored in whole numbers of
+any size.
 
 Defined results: vectors that are null or hold null or non-finite components, and null ids, take no part; only vectors of
 one length score with each other; rows with the query's id are its own; a query id that is repeated asks once, with its
-smallest vector; rows with one id are answers of their own; ties go to the smaller id; an empty table gives no rows. Scores must fit 63 bits (else an error).
+smallest vector; rows with one id are answers of their own; ties go to the smaller id; a score beyond 64 bits counts as
+the largest or smallest such number; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,119 +31,162 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.shared import written
 
-SLICES = 2
-#: Rows of a vector block and of a query block; queries scored at a time.
-VECTORS, QUERIES, AT_ONCE = 8192, 2048, 128
-#: Of a query with fewer than k entries in its lists: no score is smaller.
-NO_CUTOFF = -(1 << 62)
+#: Rows of a vector block and of a query block; queries scored at a time; copies of a vector block, at most.
+VECTORS, QUERIES, AT_ONCE, COPIES = 4096, 2048, 128, 16
+#: The share of collected entries from which a slice is multiplied out instead of entry by entry.
+DENSE = 0.05
+#: Of a query with fewer than k entries: no score is smaller.
+NO_CUTOFF = -(1 << 63)
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
-def integers(embedding: str, scale: int = 1024):
-    """The components as floor(scale * x) in long, or null if the vector takes no part."""
+def sound(embedding: str):
+    """The components in double, or null if the vector takes no part."""
     x = F.col(embedding).cast("array<double>")
-    sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return F.when(F.coalesce(sound, F.lit(False)) & (F.size(x) > 0), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v)))
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return F.when(F.coalesce(fine, F.lit(False)) & (F.size(x) > 0), x)
+
+
+def most_of(dim: int) -> int:
+    """The largest component of which inner products of this length, and what they are bounded by, fit 52 bits."""
+    return math.isqrt((1 << 52) // dim)
 
 
-def _blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
-    """block, dim, ids binary, matrix binary (little-endian 64-bit integers) of (id, v)."""
+def wide_integers(row: np.ndarray, scale: int) -> list[int]:
+    """floor(scale * x) of each component, whatever its size."""
+    out = []
+    for x in row.tolist():
+        n, d = x.as_integer_ratio()
+        out.append(n * scale // d)
+    return out
+
+
+def _blocks(rows: DataFrame, most: int, scale: int, name: str) -> DataFrame:
+    """block, dim, wide, ids binary, matrix binary of (id, v): rows of whole numbers below ``most_of`` as they are used,
+    those with larger ones (wide) as doubles before scaling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        held: dict[int, list] = {}
+        held: dict[tuple[int, bool], list] = {}
+        schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("wide", pa.bool_()), ("ids", pa.binary()), ("matrix", pa.binary())])
 
-        def out(dim):
+        def out(key):
             nonlocal number
-            ids, parts = zip(*held.pop(dim), strict=True)
+            ids, parts = zip(*held.pop(key), strict=True)
             number += 1
-            return pa.RecordBatch.from_pydict({"block": [number], "dim": [dim], "ids": [np.concatenate(ids).tobytes()], "matrix": [np.concatenate(parts).tobytes()]}, schema=schema)
+            return pa.RecordBatch.from_pydict({"block": [number], "dim": [key[0]], "wide": [key[1]], "ids": [np.concatenate(ids).tobytes()], "matrix": [np.concatenate(parts).tobytes()]}, schema=schema)
 
-        schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("matrix", pa.binary())])
         for batch in batches:
             ids, sizes = np.asarray(batch.column(0), dtype="<i8"), np.asarray(batch.column(1).value_lengths(), dtype=np.int64)
-            flat, ends = np.asarray(batch.column(1).flatten(), dtype="<i8"), np.cumsum(sizes)
+            flat, ends = np.asarray(batch.column(1).flatten(), dtype="<f8"), np.cumsum(sizes)
             for dim in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dim)
-                for cut in range(0, len(at), most):
-                    part = at[cut : cut + most]
-                    held.setdefault(dim, []).append((ids[part], flat[(ends[part] - dim)[:, None] + np.arange(dim)]))
-                    if sum(len(x[0]) for x in held[dim]) >= most:
-                        yield out(dim)
-        for dim in list(held):
-            yield out(dim)
-
-    return written(rows.mapInArrow(run, "block long, dim int, ids binary, matrix binary"), name)
-
-
-def _product(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact integer inner products."""
-    bound = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1])
-    if bound < 2.0**53:
-        return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
-    if bound < 2.0**62:
-        return queries @ vectors.T
-    raise ValueError("scores do not fit 64 bits")
-
-
-def _parts(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    edges = np.linspace(0, q.shape[1], SLICES + 1).astype(int)
-    return np.stack([_product(q[:, a:b], v[:, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
-
-
-def _pairs(batch: pa.RecordBatch):
-    """(query ids, cutoffs, vector block, vector ids, partial scores) of each pair of blocks, some queries at a time."""
-    for row in batch.to_pylist():
-        dim = row["dim"]
-        v_ids, v = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["matrix"], "<i8").reshape(-1, dim)
-        q_ids, q = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_matrix"], "<i8").reshape(-1, dim)
-        cutoffs = dict(zip(row["cut_ids"], row["cutoffs"], strict=True)) if row.get("cut_ids") else {}
-        for at in range(0, len(q_ids), AT_ONCE):
-            some = q_ids[at : at + AT_ONCE]
-            yield some, np.array([cutoffs.get(i, NO_CUTOFF) for i in some.tolist()], dtype=np.int64), row["block"], v_ids, _parts(q[at : at + AT_ONCE], v)
+                own = flat[(ends[at] - dim)[:, None] + np.arange(dim)]
+                with np.errstate(over="ignore"):
+                    whole = np.floor(own * scale)
+                large = (np.abs(whole) > most_of(dim)).any(axis=1)
+                for wide, which, values in ((False, ~large, whole), (True, large, own)):
+                    pick = np.flatnonzero(which)
+                    for cut in range(0, len(pick), most):
+                        part = pick[cut : cut + most]
+                        held.setdefault((dim, wide), []).append((ids[at[part]], values[part]))
+                        if sum(len(x[0]) for x in held[dim, wide]) >= most:
+                            yield out((dim, wide))
+        for key in list(held):
+            yield out(key)
+
+    return written(rows.mapInArrow(run, "block long, dim int, wide boolean, ids binary, matrix binary"), name)
+
+
+class _Pair:
+    """Some queries against a vector block: partial scores, bounds, and exact scores of chosen entries."""
+
+    def __init__(self, q: np.ndarray, v: np.ndarray):
+        self.q, self.v, self.half = q, v, (q.shape[1] + 1) // 2
+        self.part = q[:, : self.half] @ v[:, : self.half].T  # whole numbers below 2 ** 52, so exact
+        # Norms are rounded up, so the bound is none too small.
+        norm = lambda x: np.ceil(np.sqrt((x[:, self.half :] ** 2).sum(axis=1)) * (1 + 1e-12))
+        self.bound = self.part + norm(q)[:, None] * norm(v)[None, :]
+
+    def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if len(i) > DENSE * self.part.size:
+            rest = (self.q[:, self.half :] @ self.v[:, self.half :].T)[i, j]
+        else:
+            rest = np.concatenate([np.einsum("ij,ij->i", self.q[i[a : a + 65536], self.half :], self.v[j[a : a + 65536], self.half :]) for a in range(0, len(i), 65536)] or [np.zeros(0)])
+        return (self.part[i, j] + rest).astype(np.int64)
+
+
+def _wide_scores(q: np.ndarray, v: np.ndarray, q_wide: bool, v_wide: bool, scale: int) -> np.ndarray:
+    """All scores of some queries and vectors in whole numbers of any size, then held to 64 bits."""
+    whole = lambda x, wide: np.array([wide_integers(r, scale) if wide else list(map(int, r.tolist())) for r in x], dtype=object)
+    return np.clip(whole(q, q_wide) @ whole(v, v_wide).T, _LOW, _HIGH).astype(np.int64)
 
 
 def _met(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each vector block with each query block of its length, on a pair key."""
-    n_vectors, n_queries = vectors.count(), queries.count()
-    spread = F.pmod(F.xxhash64("block"), F.lit(max(1, n_vectors)))
-    v = vectors.withColumn("group", spread).withColumn("q_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n_queries - 1)).cast("long"))))
-    q = queries.withColumn("q_group", F.pmod(F.xxhash64("q_block"), F.lit(max(1, n_queries)))).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n_vectors - 1)).cast("long"))))
+    """Each vector block with each query block of its length, on a pair of group numbers."""
+    n_vectors, n_queries = (max(1, min(most, df.count())) for df, most in ((vectors, 100 * COPIES), (queries, COPIES)))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(n_vectors)).cast("int")).withColumn("q_group", all_of(n_queries))
+    q = queries.withColumn("q_group", F.pmod(F.xxhash64("q_block"), F.lit(n_queries)).cast("int")).withColumn("group", all_of(n_vectors))
     return v.join(q, ["group", "q_group", "dim"])
 
 
+def _best(score: np.ndarray, i: np.ndarray, ids: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Places of the k best entries of each query i (of n): larger scores, then smaller ids."""
+    order = np.lexsort((ids, -score.astype(np.float64), i)) if len(score) == 0 or np.abs(score).max() < 1 << 53 else np.lexsort((ids, ~score, i))
+    first = np.searchsorted(i[order], np.arange(n))
+    return order[np.arange(len(order)) - first[i[order]] < k]
+
+
+def _scored(batches: Iterator[pa.RecordBatch], k: int, scale: int, phase: int) -> Iterator[pa.RecordBatch]:
+    """query_id, vec_id, score of phase 1 (the entries with the k largest bounds of each pair of blocks) or of phases 2
+    and 3 (the k best of those that reach the cutoff)."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = {name: batch.column(c)[at].as_py() for c, name in enumerate(batch.schema.names)}
+            dim, wide = row["dim"], row["wide"] or row["q_wide"]
+            v_ids, v = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["matrix"], "<f8").reshape(-1, dim)
+            all_ids, all_q = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_matrix"], "<f8").reshape(-1, dim)
+            cutoffs = dict(zip(row["cut_ids"], row["cutoffs"], strict=True)) if row.get("cut_ids") else {}
+            for begin in range(0, len(all_ids), AT_ONCE):
+                q_ids, q = all_ids[begin : begin + AT_ONCE], all_q[begin : begin + AT_ONCE]
+                cut = np.array([cutoffs.get(i, NO_CUTOFF) for i in q_ids.tolist()], dtype=np.int64)
+                own = q_ids[:, None] == v_ids[None, :]
+                if wide:
+                    i, j = np.nonzero(~own)
+                    score = _wide_scores(q, v, row["q_wide"], row["wide"], scale)[i, j]
+                else:
+                    pair = _Pair(q, v)
+                    if phase == 1:
+                        bound = np.where(own, -np.inf, pair.bound)
+                        top = np.argpartition(-bound, k, axis=1)[:, :k] if bound.shape[1] > k else np.tile(np.arange(bound.shape[1]), (len(q), 1))
+                        i, j = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
+                        i, j = i[~own[i, j]], j[~own[i, j]]
+                    else:
+                        i, j = np.nonzero((pair.bound >= cut[:, None].astype(np.float64)) & ~own)
+                    score = pair.exact(i, j)
+                enough = score >= cut[i]
+                i, j, score = i[enough], j[enough], score[enough]
+                kept = _best(score, i, v_ids[j], k, len(q_ids))
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i[kept]]), pa.array(v_ids[j[kept]]), pa.array(score[kept])], names=["query_id", "vec_id", "score"])
+
+
 def top_k(df: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each row for which ``is_query`` holds."""
-    rows = df.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), integers(embedding, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("v is not null")
-    vectors = _blocks(rows.select("id", "v"), VECTORS, "vectors")
+    rows = df.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), sound(embedding).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("v is not null")
+    vectors = _blocks(rows.select("id", "v"), VECTORS, scale, "vectors")
     asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    queries = _blocks(asked, QUERIES, "queries").toDF("q_block", "dim", "q_ids", "q_matrix")
+    queries = _blocks(asked, QUERIES, scale, "queries").toDF("q_block", "dim", "q_wide", "q_ids", "q_matrix")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q_ids, _, block, v_ids, parts in _pairs(batch):
-                own = q_ids[:, None] == v_ids[None, :]
-                for s in range(SLICES):
-                    p = np.where(own, np.iinfo(np.int64).min, parts[s])
-                    best = np.argpartition(-p.astype(np.float64), min(k, p.shape[1] - 1), axis=1)[:, :k] if p.shape[1] > k else np.tile(np.arange(p.shape[1]), (len(q_ids), 1))
-                    kept = ~np.take_along_axis(own, best, 1)
-                    q, at = np.repeat(q_ids, kept.sum(1)), best[kept]
-                    score = np.take_along_axis(p, best, 1)[kept]
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), s, np.int32)), pa.array(np.full(len(q), block, np.int64)), pa.array(at.astype(np.int32)), pa.array(v_ids[at]), pa.array(score), pa.array(np.repeat(parts[s].min(1), kept.sum(1)))], names=["query_id", "slice", "block", "at", "vec_id", "part", "least"])
-
-    met = _met(vectors, queries)
-    lists = met.mapInArrow(gather, "query_id long, slice int, block long, at int, vec_id long, part long, least long")
-    ranked = Window.partitionBy("query_id", "slice").orderBy(F.desc("part"), "vec_id")
-    least = Window.partitionBy("query_id", "slice")
-    local = lists.withColumn("least", F.min("least").over(least)).withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k)
-    floors = local.groupBy("query_id").pivot("slice", list(range(SLICES))).agg(F.min("least"))
-    floor_sum = sum((F.col(str(s)) for s in range(SLICES)), F.lit(0))
-    # An entry known in some lists only has at least the smallest score of the others. It is a row, as ids may be repeated.
-    entries = local.groupBy("query_id", "block", "at").agg(F.sum(F.col("part") - F.col("least")).alias("over"))
-    bounds = entries.join(floors.select("query_id", floor_sum.alias("floor")), "query_id").withColumn("bound", F.col("over") + F.col("floor"))
-    kth = Window.partitionBy("query_id").orderBy(F.desc("bound"))
-    cutoffs = bounds.withColumn("n", F.row_number().over(kth)).where(F.col("n") == k).select("query_id", F.col("bound").alias("cutoff"))
+    def phase(number: int):
+        return lambda batches: _scored(batches, k, scale, number)
+
+    schema = "query_id long, vec_id long, score long"
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    local = _met(vectors, queries).mapInArrow(phase(1), schema)
+    cutoffs = local.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", F.col("score").alias("cutoff"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,25 +197,7 @@ def top_k(df: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embeddin
     of_block = queries.select("q_block", "q_ids").mapInArrow(listed, "q_block long, query_id long").join(cutoffs, "query_id")
     sent = of_block.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "cutoff")).alias("c")).select("q_block", F.col("c.query_id").alias("cut_ids"), F.col("c.cutoff").alias("cutoffs"))
     with_cutoff = written(queries.join(sent, "q_block", "left"), "cutoffs")
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q_ids, cut, _, v_ids, parts in _pairs(batch):
-                # part >= cutoff / SLICES, in whole numbers
-                share = -((-cut) // SLICES) if len(cut) else cut
-                enough = (parts >= share[None, :, None]).any(0) & (q_ids[:, None] != v_ids[None, :])
-                q, v = np.nonzero(enough)
-                score = parts[:, q, v].sum(0)
-                kept = score >= cut[q]
-                q, v, score = q[kept], v[kept], score[kept]
-                order = np.lexsort((v_ids[v], -score, q))
-                q, v, score = q[order], v[order], score[order]
-                first = np.searchsorted(q, np.arange(len(q_ids)))
-                kept = np.arange(len(q)) - first[q] < k if len(q) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[q[kept]]), pa.array(v_ids[v[kept]]), pa.array(score[kept])], names=["query_id", "vec_id", "score"])
-
-    found = _met(vectors, with_cutoff).mapInArrow(resolve, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = written(_met(vectors, with_cutoff).mapInArrow(phase(2), schema), "scores", (vectors, queries, with_cutoff))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

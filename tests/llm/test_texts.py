@@ -115,6 +115,37 @@ def test_top_k_repeated_candidates(spark):
         assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
 
 
+def test_top_k_of_huge_components(spark):
+    """Components beyond what sums in 64 bits allow: exact, then held to 64 bits; other rows are scored as ever."""
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-2, 2) for _ in range(4)]) for i in range(40)]
+    rows += [(50, [1e300, 0.0, 0.0, 0.0]), (51, [-1.7e308, 1.0, 0.0, 0.0]), (52, [3e9, -3e9, 1.5, 0.0]), (53, [2.0**60, 2.0**60, 0.5, -0.25]), (54, [1e6, 1e6, 1e6, 1e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 10 < 4, k=12).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = {i: topk.wide_integers(np.array(v), 1024) for i, v in rows}
+    assert whole[0] == [math.floor(1024 * x) for x in rows[0][1]]
+    held = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    for q, a in whole.items():
+        if q % 10 < 4:
+            scores = sorted((-held(sum(x * y for x, y in zip(a, b))), i) for i, b in whole.items() if i != q)[:12]
+            assert got[q] == [(i, -s) for s, i in scores]
+
+
+def test_top_k_collects_few(spark):
+    """Where the first slice says enough, the cutoff leaves few entries to resolve, and none of the answers is lost."""
+    rng = np.random.default_rng(4)
+    v = np.floor(rng.normal(size=(500, 16)) * np.repeat([100, 1], 8))
+    pair = topk._Pair(v[:20], v)
+    whole = (v[:20] @ v.T).astype(np.int64)
+    assert (pair.bound >= whole).all()
+    tenth = -np.sort(-whole, axis=1)[:, 9:10]
+    assert (pair.bound >= tenth).sum() < 0.1 * whole.size
+    i, j = np.nonzero(pair.bound >= tenth)
+    assert (pair.exact(i, j) == whole[i, j]).all() and (pair.exact(i[:3], j[:3]) == whole[i[:3], j[:3]]).all()
+
+
 def test_url_list_is_the_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from read_parquet('{SMALL}/pages.parquet')")
