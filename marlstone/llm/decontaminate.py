@@ -34,6 +34,8 @@ WINDOW = 13
 MASKS = ("11111", "1101011", "110010101", "1010010011")
 SPAN = max(map(len, MASKS))
 AROUND = WINDOW + SPAN
+#: Seeds and words of the items up to which they go to every task (32 MB each) instead of being shuffled.
+SENT = 1 << 21
 #: Bits of the filter for each test seed, and the most bits it may have (16 MB).
 BITS_PER_SEED, MOST_BITS = 256, 1 << 27
 
@@ -167,11 +169,14 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, doc_id: s
     seeds = items.select("item_id", F.explode(F.arrays_zip("places", "seeds")).alias("s")).select("item_id", F.col("s.places").alias("q"), F.col("s.seeds").alias("seed"))
     sizes = items.where((F.size("words") < WINDOW) & (F.size("words") > 0)).select(F.size("words").alias("n")).distinct().collect()
     short = tuple(m for n in sorted(r["n"] for r in sizes) for m in short_masks(n, percent))
-    table = spark.sparkContext.broadcast(_filter(seeds, seeds.count()))
+    n_seeds, n_words = seeds.count(), items.agg(F.sum(F.size("words"))).first()[0] or 0
+    table = spark.sparkContext.broadcast(_filter(seeds, n_seeds))
+    # A phrase of an item that very many documents hold, or an item they hold, gathers no rows in one task then.
+    sent = lambda df, n: F.broadcast(df) if n <= SENT else df
     segments = written(_segments(docs, table, short), "segments")
     hits = segments.select("doc_id", "start", F.explode(F.arrays_zip("places", "seeds")).alias("s")).select("doc_id", "start", F.col("s.places").alias("p"), F.col("s.seeds").alias("seed"))
-    diagonals = hits.join(seeds, "seed").select("doc_id", "start", "item_id", (F.col("p") - F.col("q")).alias("shift")).distinct()
-    rows = diagonals.join(segments.select("doc_id", "start", "words"), ["doc_id", "start"]).join(items.select("item_id", F.col("words").alias("item")), "item_id")
+    diagonals = hits.join(sent(seeds, n_seeds), "seed").select("doc_id", "start", "item_id", (F.col("p") - F.col("q")).alias("shift")).distinct()
+    rows = diagonals.join(segments.select("doc_id", "start", "words"), ["doc_id", "start"]).join(sent(items.select("item_id", F.col("words").alias("item")), n_words), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

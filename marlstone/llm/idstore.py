@@ -4,8 +4,9 @@
 matches, stores every distinct chunk once under its SHA-256, and keeps a recipe (the digests in order) per document;
 ``read_store`` rebuilds the ids. A store is a folder of Parquet tables:
 
-* ``chunks``: digest, packed (a byte ``width``, then the ids as little-endian integers of that many bytes, zstd),
-  bucketed by digest, so that reading it back moves no chunk before it meets its recipes;
+* ``chunks``: digest, packed (a byte ``width``, then the ids as little-endian integers of that many bytes, zstd), n (how
+  often recipes name it), bucketed by digest, so that reading it back moves no chunk before it meets its recipes;
+* ``buckets``: their number, as ``chunks`` is in no catalogue for longer than it takes to plan a query;
 * ``recipes``: doc_id, start, n_ids, digests, leaf, part, block; in ascending doc_id order over files;
 * ``manifest``: a Merkle tree of fan-out ``FAN``: level 0 a digest per block of documents, level 1 per part, level 2
   the whole store, each over the digests below it in order; a leaf covers doc_id, n_ids and the chunk digests.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.batches import mixed, sliced, text_column
-from marlstone.llm.shared import new_path, remove
+from marlstone.llm.shared import joined_by_key, new_path, remove
 
 #: Distinct text units a task remembers; the older half is forgotten beyond that.
 REMEMBERED = 1_000_000
@@ -178,6 +179,15 @@ def _chunked(ids: DataFrame) -> DataFrame:
     return ids.select("doc_id", "width", "ids").mapInArrow(run, "doc_id long, n_ids long, digests array<binary>, packed array<binary>, leaf binary")
 
 
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks as a bucketed table, which a plan keeps when its name is dropped again."""
+    buckets, name, where = spark.read.parquet(f"{path}/buckets").first()[0], _table(path), path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, packed BINARY, n BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{where}/chunks'")
+    chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return chunks
+
+
 def _table(path: str) -> str:
     return "idstore_" + hashlib.sha256(path.encode()).hexdigest()[:24]
 
@@ -190,8 +200,10 @@ def write_store(ids: DataFrame, path: str) -> None:
     rows = spark.read.parquet(staged)
     pairs = rows.select(F.explode(F.arrays_zip("digests", "packed")).alias("c")).select("c.digests", "c.packed").toDF("digest", "packed")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = pairs.groupBy("digest").agg(F.first("packed").alias("packed"))
+    chunks = pairs.groupBy("digest").agg(F.first("packed").alias("packed"), F.count("*").alias("n"))
     chunks.write.bucketBy(buckets, "digest").sortBy("digest").option("path", f"{path}/chunks").option("compression", "uncompressed").saveAsTable(_table(path))
+    spark.sql(f"DROP TABLE {_table(path)}")  # the files stay
+    spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/buckets")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -247,9 +259,9 @@ def damaged(spark: SparkSession, path: str) -> DataFrame:
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_ids, ids binary (little-endian unsigned 32-bit); each chunk and recipe is held against its digest."""
     recipes = spark.read.parquet(f"{path}/recipes")
-    chunks = spark.table(_table(path)) if spark.catalog.tableExists(_table(path)) else spark.read.parquet(f"{path}/chunks")
+    chunks = _chunks(spark, path)
     wanted = recipes.select("doc_id", "start", "n_ids", "leaf", F.posexplode_outer("digests").alias("k", "digest"))
-    found = wanted.join(chunks, "digest", "left").groupBy("doc_id", "start", "n_ids", "leaf").agg(F.sort_array(F.collect_list(F.struct("k", "digest", "packed"))).alias("parts"))
+    found = joined_by_key(wanted, chunks, ["digest"], "n", "left").groupBy("doc_id", "start", "n_ids", "leaf").agg(F.sort_array(F.collect_list(F.struct("k", "digest", "packed"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

@@ -81,8 +81,8 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def joined_by_key(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """Inner join of ``rows`` with a table that has one row for each key and, in ``n``, the number of rows with it.
+def joined_by_key(rows: DataFrame, table: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with a table that has one row for each key and, in ``n``, the number of rows with it.
 
     Hot keys, of which there are at most ``SHARE``, are joined where the rows lie; only the others are shuffled.
     """
@@ -91,5 +91,5 @@ def joined_by_key(rows: DataFrame, table: DataFrame, keys: list[str], n: str) ->
     named = [c for c in table.columns if c not in keys]
     met = rows.join(F.broadcast(hot.select(*keys, F.struct(*named).alias("_hot"))), keys, "left")
     near = met.where("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in named])
-    far = met.where("_hot is null").select(rows.columns).join(table.where(F.col(n) * SHARE <= F.lit(max(total, SHARE * SHARE))), keys)
+    far = met.where("_hot is null").select(rows.columns).join(table.where(F.col(n) * SHARE <= F.lit(max(total, SHARE * SHARE))), keys, how)
     return near.unionByName(far.select(*rows.columns, *named))
