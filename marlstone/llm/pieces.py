@@ -18,6 +18,7 @@ import codecs
 import re
 import string
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ class PieceModel:
         if any(SPACE in p.lstrip(SPACE) for p in ids):
             raise ValueError("a piece holds a meta space after another character; words are not independent")
         self.char = {p: i for p, i in ids.items() if len(p) == 1}
+        # Characters that stand next to each other in some piece; merges never cross others.
+        self.beside = np.array(sorted({ord(a) << 32 | ord(b) for p in ids for a, b in pairwise(p)}), dtype=np.int64)
         self.byte = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], dtype=np.int64)
         self.unknown = sp.unk_id()
         order = sorted(ids.values(), key=lambda i: (-sp.get_score(i), i))
@@ -66,11 +69,19 @@ class PieceModel:
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         self.bytes = np.frombuffer(b"".join(shown), dtype=np.uint8)
         joints = re.escape("".join(c for c in "\n\t" if c not in self.char and not any(c in p for p in ids)))
-# A word is also cut after Latin letters where a character follows that no piece holds behind such a letter.
+        # A word is also cut after Latin letters where a character follows that no piece holds behind such a letter.
         latin = "A-Za-zÀ-ÖØ-öø-ɏ"
         behind = {c for p in ids for c in re.findall(f"(?<=[{latin}])[^{latin}]", p)}
         enders = re.escape("".join(c for c in string.punctuation if c not in behind))
         self.splitter = re.compile(f"{SPACE}*[{latin}]+(?=[{SPACE}{enders}{joints}]|\\Z)|{SPACE}*[^{SPACE}{joints}]+|{SPACE}+" + (f"|[{joints}]" if joints else ""))
+        self._held_against(sp)
+
+    def _held_against(self, sp) -> None:
+        """A model that normalises, adds or folds spaces otherwise, or is no BPE model, is refused."""
+        for probe in ("ﬁ ① Å é", "  two  spaces ", "x", "\tTabs\n and\u3000wide", "The quick brown fox"):
+            found = self.splitter.findall(SPACE + probe.replace(" ", SPACE))
+            if self.encode_words(found)[0].tolist() != sp.encode(probe):
+                raise ValueError(f"the model does not encode {probe!r} as plain byte-pair merges with a space in front")
 
     def _index(self) -> None:
         """Direct tables of places in ``pairs``; each holds the pairs whose slots in the tables before it are taken."""
@@ -100,11 +111,15 @@ class PieceModel:
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the words and the number of ids of each."""
         counts = np.array([len(w) for w in words], dtype=np.int64)
+        of_word = np.repeat(np.arange(len(words), dtype=np.int32), counts)
         points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         distinct, inverse = np.unique(points, return_inverse=True)
         # A character without a piece is the symbol -1 - code point; it takes no part in merges.
         symbols = np.array([self.char.get(chr(p), -1 - p) for p in distinct.tolist()], dtype=np.int32)[inverse]
-        word = np.repeat(np.arange(len(words), dtype=np.int32), counts)
+        pair = points[:-1] << 32 | points[1:]
+        apart = self.beside[np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)] != pair
+        # From here on a word is a part of one that merges can't leave.
+        word = np.concatenate([[0], np.cumsum(apart | (of_word[1:] != of_word[:-1]))]).astype(np.int32)
         order = np.arange(len(symbols), dtype=np.int64)
         rank = np.full(len(symbols), _NONE, dtype=np.int32)  # of the pair of a symbol and the next one
         rank[:-1] = np.where(word[:-1] == word[1:], self._ranks(symbols[:-1], symbols[1:]), _NONE)
@@ -128,9 +143,9 @@ class PieceModel:
                 leftmost = np.concatenate([[True], word[hit][1:] != word[hit][:-1]])
                 state = self._merged(symbols, word, order, rank, hit[leftmost | ~early])
             symbols, word, order, rank = state[:4]
-        symbols, word, order = (np.concatenate(x) for x in zip(*done, strict=True))
+        symbols, order = (np.concatenate(x) for x in zip(*((s, o) for s, _, o in done), strict=True))
         put = np.argsort(order, kind="stable")
-        return self._with_bytes(symbols[put].astype(np.int64), word[put], len(words))
+        return self._with_bytes(symbols[put].astype(np.int64), of_word[order[put]], len(words))
 
     def _merged(self, symbols, word, order, rank, hit):
         keep = np.ones(len(symbols), dtype=bool)
