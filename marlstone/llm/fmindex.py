@@ -340,3 +340,14 @@ def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of repeated 20-word windows."""
     done = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), 20)
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+words as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from d),
+places as (select doc_id, i, md5(string_agg(x, ' ') over f) as h, count(*) over f as n from words window f as (partition by doc_id order by i rows between current row and 19 following)),
+windows as (select doc_id, i, row_number() over (partition by h order by doc_id, i) as n from places where n = 20),
+gone as (select distinct doc_id, unnest(generate_series(i, i + 19)) as i from windows where n > 1),
+kept as (select doc_id, count(*) as n_words, count(g.i) as n_removed, string_agg(x, ' ' order by i) filter (g.i is null) as k from words left join gone g using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(k, '')) as kept_sha256 from d left join kept using (doc_id)
+"""

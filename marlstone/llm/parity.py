@@ -2,9 +2,11 @@
 
 A document is the set of its distinct word shingles. Each shingle flips one bit of a sketch, so the Hamming distance of
 two sketches is at most the symmetric difference of the sets. In a band of set sizes, sets that reach the similarity
-differ in at most D shingles; the sketch is cut into more than D blocks, so some block is equal (pigeonhole). Blocks are
-long and kept sparse: a block's fingerprint is the XOR of a random word for each set bit. Documents that share a block of
-a band are candidates; candidates are verified on their whole sets.
+differ in at most D shingles; the sketch is cut into more than D blocks, so some block is equal (pigeonhole). The sketch
+of the pigeonhole join has a bit for every 64-bit place, so it is never written out: a block is the range of places that a
+shingle's hash falls to, and is keyed by the XOR of the shingles in it, each stretched to 64 random bits. Documents that
+share a block of a band are candidates; a second, short sketch with real bits bounds their distance from below, and those
+left are verified on their whole sets.
 
 Common shingles (lines and passages that many documents hold) would make blocks equal that say nothing, so the
 fingerprint of a block covers its other shingles, and a block with fewer than ``FEW`` of these is small and goes unused.
@@ -31,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import gram_hashes, gram_valid, mixed, packed, repeated_keys, sliced, text_column, unpacked, word_hashes, words_of
+from marlstone.llm.batches import gram_hashes, gram_valid, hot_keys, mixed, packed, repeated_keys, sliced, text_column, unpacked, word_hashes, words_of
 from marlstone.llm.components import components
-from marlstone.llm.shared import written
+from marlstone.llm.shared import SAMPLE, written
 
 #: Ratio of the ends of a size band; blocks beyond those that differences can touch; shingles of a small block.
 BAND, SPARE, FEW = 1.3, 0.12, 2
@@ -325,8 +327,9 @@ def linked_components(docs: DataFrame, shingle: int, percent: int, doc_id: str =
     common = docs.sparkSession.sparkContext.broadcast(np.sort(often.toPandas()["f1"].to_numpy(dtype=np.int64).view(np.uint64)))
     copies = written(known.join(classes.where("n > 1").drop("n"), ["n_shingles", "f1", "f2"]).where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
     first = F.coalesce("first", "doc_id")
-    met = written(repeated_keys(block_rows(docs, shingle, percent, hot, common)), "met")
-    shared = written(met.join(copies, "doc_id", "left").select("key", first.alias("doc_id")).distinct(), "shared")
+    some = block_rows(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), shingle, percent, hot, common)
+    met = written(repeated_keys(block_rows(docs, shingle, percent, hot, common), hot_keys(some, "key")), "met")
+    shared = written(met.join(copies, "doc_id", "left").select("key", first.alias("doc_id")).distinct(), "shared", (met,))
     sizes = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     texts = written(packed(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sketched = written(parity_sketches(texts, shingle), "bits")
@@ -358,3 +361,17 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85)
+
+
+ORACLE = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, md5(array_to_string(w[p:p + 3], ' ')) as g from (select doc_id, w, unnest(generate_series(1, len(w) - 3)) as p from d where len(w) >= 4)
+  union all select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 3
+),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
+reach(doc_id, node) as (select doc_id, doc_id from d union select r.doc_id, l.b from reach r join links l on r.node = l.a)
+select r.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(node) as component_id from reach r left join n on n.doc_id = r.doc_id group by r.doc_id
+"""

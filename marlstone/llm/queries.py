@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from marlstone.llm.decontaminate import op1_query
+from marlstone.llm.fmindex import ORACLE as SUBSTRING_SQL
 from marlstone.llm.fmindex import op2_query
 from marlstone.llm.idstore import op10_query
 from marlstone.llm.langid import op8_query
 from marlstone.llm.lines import op7_query
 from marlstone.llm.mainpage import op9_query
+from marlstone.llm.parity import ORACLE as JACCARD_SQL
 from marlstone.llm.parity import op4_query
 from marlstone.llm.pieces import op3_query
 from marlstone.llm.topk import ORACLE as TOPK_SQL
@@ -28,6 +30,8 @@ QUERIES = {
     "op10_id_store": op10_query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": SUBSTRING_SQL,
+    "op4_jaccard_join": JACCARD_SQL,
     "op5_url_filter": URL_SQL,
     "op6_exact_topk": TOPK_SQL,
 }

@@ -110,3 +110,51 @@ def decided(captures, entries):
                     best = max(best or (), ("/" in rule, len(rule), rule, held[rule][max(begun)], max(begun)))
         out.append((best[3], best[2], best[4]) if best else ("none", None, None))
     return out
+
+
+def languages(docs, labels):
+    """doc_id -> language or None (no letter, or ambiguous): counts of n-grams, one log-odds table for each bit of the code,
+    the nearest codeword by logistic loss. Training documents are those with a label whose crc32 is not 2 by 4."""
+    import math
+    import zlib
+    from collections import Counter
+
+    import regex
+
+    from marlstone.llm import langid
+
+    def grams(text):
+        out = Counter()
+        for w in regex.findall(r"\p{L}+", (text or "").lower()):
+            out.update(langid.grams([w])[0].tolist())
+        return out
+
+    names = sorted({x for i, x in labels.items() if x and zlib.crc32(str(i).encode()) % 4 != 2 and docs[i] is not None})
+    code = langid.codewords(len(names)).tolist()
+    counts = {x: Counter() for x in names}
+    for i, t in docs.items():
+        if t is not None and labels[i] and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[labels[i]].update(grams(t))
+    total = {x: sum(counts[x].values()) + 0.5 * langid.BUCKETS for x in names}
+    share = lambda x, g: (counts[x][g] + 0.5) / total[x]
+    bits = range(len(code[0]))
+    tables, trust = [], []
+    for b in bits:
+        one, zero = ([x for x, row in zip(names, code) if row[b] == v] for v in (1, -1))
+        p, q = ([sum(share(x, g) for x in side) / len(side) for g in range(langid.BUCKETS)] for side in (one, zero))
+        tables.append([math.log(x / y) for x, y in zip(p, q)])
+        trust.append(0.5 * sum((x - y) * w for x, y, w in zip(p, q, tables[-1])))
+    mean = sum(trust) / len(trust)
+    out = {}
+    for i, t in docs.items():
+        found = grams(t)
+        n = sum(found.values())
+        if not n:
+            out[i] = None
+            continue
+        margins = [sum(k * tables[b][g] for g, k in found.items()) / math.sqrt(n) for b in bits]
+        loss = [sum((math.log1p(math.exp(-abs(margins[b] * row[b]))) + max(0.0, -margins[b] * row[b])) * trust[b] / mean for b in bits) for row in code]
+        least = min(loss)
+        odds = [math.exp(least - x) for x in loss]
+        out[i] = names[loss.index(least)] if max(odds) / sum(odds) >= langid.SURE else None
+    return out
