@@ -2,6 +2,10 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes to
 the shared folder and reads again as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+Defined results: documents with a null or empty text, or without a letter, go in the first stage (they have no language);
+rows without an id go in the near-copy stage; rows of one id are one document to the near-copy stage and stay or go
+together; ties go to the smaller id; extra columns pass through up to the last stage; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -55,7 +59,7 @@ STAGES = [
     ("decontamination", decontamination),
     ("sentencepiece", tokens),
 ]
-#: Language classifiers and tokenizers are not SQL; of the stages, line_dedup and near_copies are tested against plain versions.
+#: Language classifiers and tokenizers are not SQL; every stage and the whole are tested against plain versions.
 ORACLE_SQL = None
 
 
@@ -63,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name, (docs,))
     return docs
