@@ -15,9 +15,11 @@ TRAINERS = [
     "Dawn", "Hilda", "Iono", "Arven", "Artazon", "Nest Ball", "Ultra Ball", "Rare Candy", "Energy Switch", "Air Balloon", "Buddy-Buddy Poffin", "Battle Cage", "Explorer's Guidance", "Boss's Orders",
     "Janine's Secret Art", "Team Rocket's Venture Bomb", "Thick Scale", "Luminous Energy", "Munkidori", "Tynamo", "Eelektrik", "Budew", "Froslass", "Iron Bundle", "Snorunt", "Dratini", "Dragonair",
 ]
-#: Lines that a listing of drawn cards may follow within.
-AHEAD = 9
+#: Lines that a listing of drawn cards may follow within; cards shown for n prizes follow within n + PRIZE_AHEAD, of which
+#: MOST_PRIZES is the largest n (a game has six), as windows have fixed bounds.
+AHEAD, PRIZE_AHEAD, MOST_PRIZES = 9, 4, 6
 VERBS = "played|drew|attached|used|took|put|discarded|retreated"
+PASSIVE = "was|used|attacked|took|received"
 
 
 def _got(line: Column, pattern: str, group: int) -> Column:
@@ -51,7 +53,7 @@ def players(lines: DataFrame) -> DataFrame:
 
 
 def parse(logs: DataFrame, battle: str = "battle_id", text: str = "raw_log", names_with_t: bool = False) -> DataFrame:
-    """battle_id, seq, action_id, turn, ts, player, type, card, target, count, names, position, damage, move.
+    """battle_id, seq, action_id, turn, ts, player, details (the line), type, card, target, count, names, position, damage, move.
 
     Names with a lower-case t are lost where a unit is played, as in the format's own reader; ``names_with_t`` keeps them.
     """
@@ -66,17 +68,24 @@ def parse(logs: DataFrame, battle: str = "battle_id", text: str = "raw_log", nam
     owner = F.regexp_extract(line, r"(\w+)'s Turn", 1)
     side = lambda n: F.when(n == F.col("player1"), "player1").when(n == F.col("player2"), "player2")
     rows = rows.withColumn("turn", F.sum(marker.cast("int")).over(turns)).withColumn("_turn_of", F.coalesce(F.last(F.when(setup, "player1").when(marker, side(owner)), ignorenulls=True).over(upto), F.lit("player1")))
-    rows = rows.withColumn("next", F.collect_list("line").over(ordered.rowsBetween(1, AHEAD)))
+    rows = rows.withColumn("next", F.collect_list("line").over(ordered.rowsBetween(1, max(AHEAD, MOST_PRIZES + PRIZE_AHEAD))))
     rows = rows.where(~setup & ~marker).withColumn("id", F.row_number().over(ordered) - 1).where(~F.startswith(line, F.lit("-")))
 
-    actor = F.coalesce(*[side(F.regexp_extract(line, p, 1)) for p in (rf"^(\w+)\s+(?:{VERBS}|evolved|decided|chose|won)", r"^(\w+)'s\s")], F.col("_turn_of"))
-    skip = F.transform("next", lambda x: F.startswith(x, F.lit("-")) | F.contains(x, F.lit("drawn cards")))
+    actor = F.coalesce(*[side(F.regexp_extract(line, p, 1)) for p in (rf"(?i)^(\w+)\s+(?:{VERBS})", rf"(?i)^(\w+)'s\s+.*?\s+(?:{PASSIVE})")], F.col("_turn_of"))
+    ahead = F.slice("next", 1, AHEAD)
+    skip = F.transform(ahead, lambda x: F.startswith(x, F.lit("-")) | F.contains(x, F.lit("drawn cards")))
     # The first following line that is neither a continuation nor skipped: the listing, if it begins with a bullet.
-    listing = F.get("next", F.coalesce(F.array_position(skip, False).cast("int"), F.lit(0)) - 1)
+    listing = F.get(ahead, F.coalesce(F.array_position(skip, False).cast("int"), F.lit(0)) - 1)
     listed = F.when(F.startswith(listing, F.lit("•")), F.transform(F.split(F.regexp_replace(listing, "^•", ""), ","), lambda x: F.trim(x)))
     named = F.when(~F.contains(line, F.lit("drew a card")) & ~F.contains(line, F.lit("drew card")), _got(line, r"(?i)drew\s+([A-Z][^.]+?)\s*\.", 1))
     drawn = F.coalesce(F.when(named.isNotNull(), F.array(named)), listed)
-    shown = F.filter(F.transform("next", lambda x: _got(x, r"([A-Z][^\n]+?)\s+was added", 1)), lambda x: x.isNotNull())
+    took = F.coalesce(_got(line, r"(?i)(\d+)\s+Prize", 1).try_cast("int"), F.lit(1))
+    after = F.slice("next", F.lit(1), F.least(took, F.lit(MOST_PRIZES)) + PRIZE_AHEAD)
+    # Up to and with the line that ends the listing.
+    ends = F.array_position(F.transform(after, lambda x: F.contains(x, F.lit("'s Turn")) | F.contains(x, F.lit("is now in the Active Spot"))), True).cast("int")
+    until = F.when(ends > 0, F.slice(after, F.lit(1), ends)).otherwise(after)
+    added = F.filter(until, lambda x: F.contains(x, F.lit("was added to")) & F.contains(x, F.lit("hand")))
+    shown = F.array_compact(F.transform(added, lambda x: _got(x, r"(?i)([A-Z][^w]+)\s+was added", 1)))
     number = lambda p: F.coalesce(_got(line, p, 1).try_cast("int"), F.lit(1))
     letters = ".+?" if names_with_t else "[^t]+?"
     has = lambda *words: [F.contains(line, F.lit(w)) for w in words]
@@ -89,7 +98,7 @@ def parse(logs: DataFrame, battle: str = "battle_id", text: str = "raw_log", nam
         )
         return F.when(card.isNotNull() if needs is None else needs, made)
 
-    drew, took = number(r"\w+\s+drew\s+(\d+)\s*(?:a\s+)?card"), number(r"(\d+)\s+Prize")
+    drew = number(r"(?i)\w+\s+drew\s+(\d+)\s*(?:a\s+)?card")
     placed = rf"played ({letters}) to the (Active Spot|Bench)"
     attached = r"attached (.+?Energy) to (.+?) (?:in the Active Spot|on the Bench)"
     attack = r"(\w+)'s (.+?) used (.+?) on (\w+)'s (.+?) for (\d+) damage"
@@ -98,7 +107,7 @@ def parse(logs: DataFrame, battle: str = "battle_id", text: str = "raw_log", nam
     skipped = line.rlike(r"(?i)\d+\s+cards?\s+were\s+discarded\s+from") | line.rlike(r"(?i)discarded\s+from\s+")
     tests = [
         (has("drew", "card"), action("DRAW", F.coalesce(F.get(drawn, F.lit(0)), F.when(drew == 1, "1 card").otherwise(F.concat(drew.cast("string"), F.lit(" cards")))), count=drew, names=drawn)),
-        (has("took", "Prize"), action("PRIZE", F.when(took == 1, "Prize card").otherwise(F.concat(took.cast("string"), F.lit(" Prize cards"))), count=took, names=F.when(F.size(shown) > 0, F.slice(shown, F.lit(1), took)))),
+        (has("took", "Prize"), action("PRIZE", F.when(took > 1, "Prize cards").otherwise("Prize card"), count=took, names=F.when(F.size(shown) > 0, shown))),
         ([line.rlike(r"played .+ to the (Active Spot|Bench)")], action("PLAY_POKEMON", _got(line, placed, 1), position=F.when(F.regexp_extract(line, placed, 2) == "Bench", "bench").otherwise("active"))),
         (has("attached", "Energy"), action("ATTACH_ENERGY", _got(line, attached, 1), target=_got(line, attached, 2))),
         (has("used", "on", "damage"), action("ATTACK", _got(line, attack, 2), target=_got(line, attack, 5), damage=_got(line, attack, 6).try_cast("int"), move=_got(line, attack, 3))),
@@ -118,20 +127,33 @@ def parse(logs: DataFrame, battle: str = "battle_id", text: str = "raw_log", nam
     found = rows.withColumn("a", chain).where("a is not null")
     # A knocked-out unit belongs to the named owner; an owner who is not player1 counts as player2.
     player = F.when(F.col("a.type") == "KNOCKOUT", F.when(F.regexp_extract(line, knocked, 1) == F.col("player1"), "player1").otherwise("player2")).otherwise(actor)
-    return found.select("battle_id", "seq", F.concat(F.lit("action-"), F.col("id").cast("string")).alias("action_id"), "turn", ((F.row_number().over(ordered) - 1) * 200).alias("ts"), player.alias("player"), "a.*")
+    return found.select("battle_id", "seq", F.concat(F.lit("action-"), F.col("id").cast("string")).alias("action_id"), "turn", ((F.row_number().over(ordered) - 1) * 200).alias("ts"), player.alias("player"), line.alias("details"), "a.*")
+
+
+def _no_card(column: Column) -> Column:
+    """Texts that stand for cards nobody saw."""
+    return column.isNull() | column.isin("", "Card", "A card") | column.rlike(r"(?i)^\d+\s+cards?$") | column.rlike(r"(?i)^Prize\s+cards?$") | column.rlike(r"(?i)^from\s+.*?'s\s+")
 
 
 def decks(actions: DataFrame, energy_four: bool = False) -> DataFrame:
     """battle_id, player, card, quantity: the cards each player showed; 3 for at least three different uses, 2 for two,
     else 1; basic energy 2 (4 with ``energy_four`` where it was attached)."""
     listed = actions.where(F.col("names").isNotNull()).select("battle_id", "player", F.explode("names").alias("card"), F.lit("revealed").alias("use"))
-    used = actions.select("battle_id", "player", "card", F.col("type").alias("use")).unionByName(listed).where(~F.col("card").rlike(r"^(\d+ cards?|(\d+ )?Prize cards?|card)$") & (F.col("card") != ""))
+    named = actions.where("card <> 'Unknown Card'").select("battle_id", "player", "card", F.col("type").alias("use"))
+    used = named.unionByName(listed).where(~_no_card(F.col("card")))
     sets = used.groupBy("battle_id", "player", "card").agg(F.countDistinct("use").alias("n"), F.max(F.col("use") == "ATTACH_ENERGY").alias("attached"))
-    energy = F.col("card").rlike(r"^Basic .*Energy$")
+    energy = F.contains("card", F.lit("Basic")) & F.contains("card", F.lit("Energy"))
     quantity = F.when(energy, F.when(F.col("attached") & F.lit(energy_four), 4).otherwise(2)).otherwise(F.least(F.lit(3), F.col("n")))
     return sets.select("battle_id", "player", "card", quantity.cast("int").alias("quantity"))
 
 
+def deck_lists(decks: DataFrame) -> DataFrame:
+    """battle_id, player, cards: each deck as a list, larger quantities first, then names as people sort them. A deck holds
+    at most as many names as its battle shows."""
+    entry = F.struct((-F.col("quantity")).alias("order"), F.collate("card", "UNICODE").alias("name"), "quantity", "card")
+    return decks.groupBy("battle_id", "player").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.struct(x["card"].alias("card"), x["quantity"].alias("quantity"))).alias("cards"))
+
+
 def counters(actions: DataFrame) -> DataFrame:
     """battle_id, player, deck, prizes, hand after the last action: clamped running counts as a fold over ordered actions.
 
@@ -148,61 +170,120 @@ def counters(actions: DataFrame) -> DataFrame:
 
 
 def boards(actions: DataFrame) -> DataFrame:
-    """battle_id, seq, turn, player, and for each side active, bench, discard after every action (a fold per battle)."""
+    """battle_id, step (from 0), n, seq, turn, player, stadium, and for each side (p1, p2) deck, prizes, hand, active, hp, damage
+    (counters), bench, n_discard and discarded (what went to the pile), after every action.
+
+    A fold per battle: one battle's actions are in one task's memory, bounded by its length of play.
+    """
     import pandas as pd
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
-        sides = {p: {"active": None, "bench": [], "discard": []} for p in ("player1", "player2")}
-        acts, out = rows.to_dict("records"), []
+        sides = {p: {"deck": 60, "prizes": 6, "hand": [], "active": None, "bench": [], "n_discard": 0} for p in ("player1", "player2")}
+        stadium, acts, out = None, rows.to_dict("records"), []
 
         def unit(side, name):
             return next((u for u in [side["active"], *side["bench"]] if u and u["name"] == name), None)
 
         def promote(player, at):
+            """The benched unit that the player's next attack or ability names, else the first on the bench."""
             side = sides[player]
-            if not side["bench"]:
-                side["active"] = None
-                return
-            later = (x["card"] for x in acts[at + 1 : at + 5] if x["player"] == player and x["type"] in ("ATTACK", "ABILITY"))
-            chosen = next((u for name in later for u in side["bench"] if u["name"] == name), side["bench"][0])
-            side["bench"].remove(chosen)
-            side["active"] = chosen
+            if side["bench"]:
+                later = (x["card"] for x in acts[at + 1 : at + 5] if x["player"] == player and x["type"] in ("ATTACK", "ABILITY"))
+                chosen = next((u for name in later for u in side["bench"] if u["name"] == name), side["bench"][0])
+                side["bench"].remove(chosen)
+                side["active"] = chosen
+
+        def drawn(side, a, unknown):
+            names = a["names"] if a["names"] is not None else []
+            side["hand"] += list(names) if len(names) else [unknown] * int(a["count"])
 
         for at, a in enumerate(acts):
-            own = sides[a["player"]]
-            other = sides["player2" if a["player"] == "player1" else "player1"]
-            kind = a["type"]
-            if kind == "PLAY_POKEMON":
-                new = {"name": a["card"], "counters": 0, "attached": []}
+            own, other = sides[a["player"]], sides["player2" if a["player"] == "player1" else "player1"]
+            kind, gone = a["type"], []
+            if kind in ("PLAY_POKEMON", "ATTACH_ENERGY", "ATTACH_TOOL", "EVOLVE", "PLAY_TRAINER", "DISCARD"):
+                own["hand"] = own["hand"][:-1]
+            if kind == "DRAW":
+                drawn(own, a, "Card")
+                own["deck"] = max(0, own["deck"] - int(a["count"]))
+            elif kind == "PRIZE":
+                own["prizes"] = max(0, own["prizes"] - int(a["count"]))
+                drawn(own, a, "Prize Card")
+            elif kind == "PLAY_POKEMON":
+                new = {"name": a["card"], "hp": 100, "counters": 0.0, "attached": []}
                 if a["position"] == "active":
                     own["active"] = new
                 else:
-                    own["bench"].append(new)
-            elif kind == "ATTACH_ENERGY" and (u := unit(own, a["target"])):
+                    own["bench"] = [*own["bench"], new]
+            elif kind in ("ATTACH_ENERGY", "ATTACH_TOOL") and (u := unit(own, a["target"])):
                 u["attached"].append(a["card"])
             elif kind == "EVOLVE" and (u := unit(own, a["target"])):
                 u["name"] = a["card"]
-            elif kind == "ATTACK" and (u := unit(other, a["target"])):
-                u["counters"] += int(a["damage"] or 0) // 10
+            elif kind == "ATTACK" and (u := unit(other, a["target"])) and a["damage"] and not pd.isna(a["damage"]):
+                u["counters"] += a["damage"] / 10
             elif kind == "KNOCKOUT" and (u := unit(own, a["card"])):
-                own["discard"] += [u["name"], *u["attached"]]
+                gone = [u["name"], *u["attached"]]
                 if u is own["active"]:
+                    own["active"] = None
                     promote(a["player"], at)
                 else:
                     own["bench"].remove(u)
-            elif kind == "RETREAT" and own["active"]:
-                old = own["active"]
+            elif kind == "RETREAT":
+                if own["active"]:
+                    own["bench"].append(own["active"])
+                    own["active"] = None
                 promote(a["player"], at)
-                own["bench"].append(old)
             elif kind in ("PLAY_TRAINER", "DISCARD"):
-                own["discard"].append(a["card"])
-            row = {"battle_id": a["battle_id"], "seq": a["seq"], "turn": a["turn"], "player": a["player"]}
+                gone = [a["card"]]
+                if kind == "PLAY_TRAINER" and "Stadium" in a["details"]:
+                    stadium = a["card"]
+            own["n_discard"] += len(gone)
+            row = {"battle_id": a["battle_id"], "step": at, "n": len(acts), "seq": a["seq"], "turn": a["turn"], "player": a["player"], "stadium": stadium}
             for n, s in (("p1", sides["player1"]), ("p2", sides["player2"])):
-                row |= {f"{n}_active": s["active"]["name"] if s["active"] else None, f"{n}_damage": s["active"]["counters"] if s["active"] else 0, f"{n}_bench": [u["name"] for u in s["bench"]], f"{n}_discard": list(s["discard"])}
+                active = s["active"] or {"name": None, "hp": None, "counters": 0.0}
+                row |= {f"{n}_deck": s["deck"], f"{n}_prizes": s["prizes"], f"{n}_hand": list(s["hand"]), f"{n}_active": active["name"], f"{n}_hp": active["hp"], f"{n}_damage": active["counters"]}
+                row |= {f"{n}_bench": [u["name"] for u in s["bench"]], f"{n}_n_discard": s["n_discard"], f"{n}_discarded": gone if s is own else []}
             out.append(row)
         return pd.DataFrame(out)
 
     kind = actions.schema["battle_id"].dataType.simpleString()
-    schema = f"battle_id {kind}, seq int, turn long, player string, " + ", ".join(f"{n}_active string, {n}_damage int, {n}_bench array<string>, {n}_discard array<string>" for n in ("p1", "p2"))
-    return actions.select("battle_id", "seq", "turn", "player", "type", "card", "target", "position", "damage").groupBy("battle_id").applyInPandas(fold, schema)
+    side = "{0}_deck int, {0}_prizes int, {0}_hand array<string>, {0}_active string, {0}_hp double, {0}_damage double, {0}_bench array<string>, {0}_n_discard int, {0}_discarded array<string>"
+    schema = f"battle_id {kind}, step int, n int, seq int, turn long, player string, stadium string, " + ", ".join(side.format(n) for n in ("p1", "p2"))
+    columns = ["battle_id", "seq", "turn", "player", "type", "card", "target", "position", "damage", "count", "names", "details"]
+    return actions.select(columns).groupBy("battle_id").applyInPandas(fold, schema)
+
+
+def state_at(boards: DataFrame, step: int) -> DataFrame:
+    """Each battle's state after its action ``step``, held within its first and last one, and how far that is along."""
+    at = F.least(F.greatest(F.lit(step), F.lit(0)), F.col("n") - 1)
+    return boards.where(F.col("step") == at).withColumn("progress", F.col("step") / F.col("n"))
+
+
+def view(boards: DataFrame, side: str) -> DataFrame:
+    """battle_id, step, slots (five places of the bench, null where free) and prizes (six flags) of one side."""
+    slots = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.get(f"{side}_bench", i))
+    return boards.select("battle_id", "step", slots.alias("slots"), F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: i < F.col(f"{side}_prizes")).alias("prizes"))
+
+
+def battles(logs: DataFrame, battle: str = "battle_id", text: str = "raw_log") -> DataFrame:
+    """Logs with players, winner, turn count and title read from their text; also what a new reading replaces."""
+    from marlstone.functions.scalars import versus
+
+    found = players(lines_of(logs, battle, text)).withColumn("title", versus(F.col("player1"), F.col("player2")))
+    new = ["player1", "player2", "winner", "turn_count", "title"]
+    return logs.drop(*new).join(found.select(F.col("battle_id").alias(battle), *new), battle, "left")
+
+
+def listed(battles: DataFrame, name: str | None = None, player1: str | None = None, player2: str | None = None, tournament=None) -> DataFrame:
+    """Battles of a player on either side, of players by side (texts held in names), and of a tournament."""
+    from marlstone.functions.scalars import contains_ci
+    from marlstone.operators.search import all_of, any_of
+
+    sides = {c: contains_ci(F.col(c), v) for c, v in (("player1", player1), ("player2", player2)) if v}
+    either = any_of([contains_ci(F.col(c), name) for c in ("player1", "player2")]) if name else None
+    return battles.where(all_of([*sides.values(), either, F.col("tournament_id") == tournament if tournament is not None else None]))
+
+
+def public(battles: DataFrame, text: str = "raw_log", times: tuple[str, ...] = ("created_at",)) -> DataFrame:
+    """Battles without their raw text, times in ISO form."""
+    return battles.drop(text).withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") for c in times if c in battles.columns})

@@ -229,7 +229,8 @@ def in_batches(rows: DataFrame, order: list[str], size: int, failing: Column) ->
     a whole, as one transaction does."""
     numbered = rows.withColumn("_key", F.struct(*order))
     # Places by range partitions and offsets: no task sorts everything.
-    dealt = numbered.repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_part", F.spark_partition_id())
+    # Kept, as ranges that were drawn anew for either use might differ.
+    dealt = numbered.repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_part", F.spark_partition_id()).persist()
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each partition
     placed = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy("_key"))).join(F.broadcast(offsets), "_part")
