@@ -39,8 +39,26 @@ def record(pages: DataFrame, html: str, patterns: dict[str, str], lists: dict[st
     return pages.select(*(c for c in pages.columns if c != html), *one, *many)
 
 
-def without_empty(columns: list[str], keep_zero: bool = True) -> Column:
-    """The columns as JSON without null, empty text and empty lists (and zeros, unless kept)."""
-    text = F.to_json(F.struct(*columns))
-    empty = r'"[^"]+":(?:""|\[\]|\{\}' + ("" if keep_zero else r"|0|false") + r"),?"
-    return F.regexp_replace(F.regexp_replace(text, empty, ""), r",\}$", "}")
+def without_empty(df: DataFrame, columns: list[str], keep_zero: bool = True) -> Column:
+    """The columns as JSON without nulls, empty texts, lists and objects, and (unless kept) zeros and false."""
+    from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StringType
+
+    def kept(name: str) -> Column:
+        c, kind = F.col(name), df.schema[name].dataType
+        if isinstance(kind, StringType):
+            return F.nullif(c, F.lit(""))
+        if isinstance(kind, (ArrayType, MapType)):
+            return F.when(F.size(c) > 0, c)
+        if isinstance(kind, BooleanType) and not keep_zero:
+            return F.when(c, c)
+        if isinstance(kind, NumericType) and not keep_zero:
+            return F.when(c != 0, c)
+        return c
+
+    return F.to_json(F.struct(*[kept(c).alias(c) for c in columns]))
+
+
+def offered(pages: DataFrame, key: str, html: str, pattern: str) -> DataFrame:
+    """key, code: the first group of every match in a page, not empty, trimmed, each place a row."""
+    codes = pages.select(key, F.explode(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).alias("code"))
+    return codes.select(key, F.trim("code").alias("code")).where("code <> ''")
