@@ -42,7 +42,8 @@ def lenient_json(column: Column) -> Column:
     fenced = F.nullif(F.regexp_extract(bare, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
     braces = F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))
     valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    return F.coalesce(valid(F.trim(bare)), valid(F.trim(fenced)), valid(braces), valid(F.nullif(F.regexp_extract(column, r"(?s)(\{.*\})", 1), F.lit(""))))
+    blank = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.coalesce(valid(blank(bare)), valid(blank(fenced)), valid(braces), valid(F.nullif(F.regexp_extract(column, r"(?s)(\{.*\})", 1), F.lit(""))))
 
 
 def leading_int(column: Column) -> Column:
@@ -134,3 +135,31 @@ def same_members(a: Column, b: Column) -> Column:
 
 def same_multiset(a: Column, b: Column) -> Column:
     return F.array_sort(a) == F.array_sort(b)
+
+
+def card_code(column: Column) -> Column:
+    """code and rest of 'CODE rest': letters and digits that begin with a letter, then what follows; null without both."""
+    pattern = r"^([A-Za-z][A-Za-z0-9]*)\s+(.+)$"
+    return F.when(column.rlike(pattern), F.struct(F.regexp_extract(column, pattern, 1).alias("code"), F.regexp_extract(column, pattern, 2).alias("rest")))
+
+
+def data_address(column: Column) -> Column:
+    """The bytes of a data address or of plain Base64."""
+    return F.unbase64(F.regexp_replace(column, r"^data:[^,]*,", ""))
+
+
+def attack_cost(column: Column) -> Column:
+    """The symbols of a cost: the members of a JSON list, else the characters of the text."""
+    listed = F.try_variant_get(F.try_parse_json(column), "$", "array<string>")
+    return F.coalesce(F.when(F.startswith(F.trim(column), F.lit("[")), listed), F.filter(F.split(column, ""), lambda x: x != ""))
+
+
+def same_text(a: Column, b: Column) -> Column:
+    """Equal as texts: 1 and 1.0 differ."""
+    return a.cast("string") == b.cast("string")
+
+
+def pixel_crop(box: Column, padding: Column, width: Column, height: Column) -> Column:
+    """left, top, right, bottom in pixels of a box in per cent, widened by a padding and held within the image."""
+    at = lambda i, size, sign: F.least(size, F.greatest(F.lit(0), (F.round(box[i] / 100 * size) + sign * padding).cast("int")))
+    return F.array(at(0, width, -1), at(1, height, -1), at(2, width, 1), at(3, height, 1))
