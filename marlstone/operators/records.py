@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.summaries import running
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in this order."""
@@ -54,13 +56,19 @@ def quarantined(df: DataFrame, problems: dict[str, Column]) -> tuple[DataFrame,
 
 
 def stratified_split(df: DataFrame, strata: list[str], order: list[Column], shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
-    """``split``: the first floor(n * 0.8) rows of each stratum train, the next floor(n * 0.1) validate, the rest test."""
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
-    counts = df.groupBy(*strata).agg(F.count("*").alias("_size"))
-    rows = df.withColumn("_rank", rank).join(counts, strata)
+    """``split``: the first floor(n * 0.8) rows of each stratum train, the next floor(n * 0.1) validate, the rest test.
+
+    Rows of an unknown stratum (null) are left out. Ranks come from running counts over ranges of rows, so no task sorts a
+    stratum.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in strata])
+    rows = df.where(known).withColumns(dict(zip(names, order, strict=True))).withColumn("_one", F.lit(1))
+    counts = df.where(known).groupBy(*strata).agg(F.count("*").alias("_size"))  # a row for each stratum
+    ranked = running(rows, strata, names, "_one", "_rank").join(F.broadcast(counts), strata)
     train, validation = (F.floor(F.col("_size") * s) for s in shares)
     split = F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= train + validation, "validation").otherwise("test")
-    return rows.withColumn("split", split).drop("_rank", "_size")
+    return ranked.withColumn("split", split).select(*df.columns, "split")
 
 
 def stratified_quota(df: DataFrame, strata: str, level: str, quotas: dict[str, int], order: list[Column]) -> DataFrame:

@@ -32,16 +32,17 @@ def variants(df: DataFrame, group: str, key: str, order: list[Column], n: int =
 def nearest(left: DataFrame, right: DataFrame, group: str, a: str, b: str, key: str, tie: str) -> DataFrame:
     """For each row of ``left`` the row of ``right`` in its group with the nearest value (columns a and b), smaller tie first.
 
-    Both sides go into one ordered list per group and look to the nearest right value below and above: no pair is formed.
+    Both sides go into one ordered list per group, sorted once, and look to the nearest right value below and above: no
+    pair is formed.
     """
     up = Window.partitionBy(group).orderBy("_v", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(group).orderBy(F.desc("_v"), "_side", F.desc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(group).orderBy("_v", "_side", "_tie").rowsBetween(0, Window.unboundedFollowing)
     # Of equal values the smallest tie must win in either direction, so right rows are cut to one for each value.
     firsts = right.groupBy(group, F.col(b).alias("_v")).agg(F.min(tie).alias("_tie"))
     rows = left.select(group, F.col(a).alias("_v"), F.col(key).alias("_key"), F.lit(None).cast(firsts.schema["_tie"].dataType).alias("_tie"), F.lit(1).alias("_side"))
     both = rows.unionByName(firsts.select(group, "_v", F.lit(None).cast(rows.schema["_key"].dataType).alias("_key"), "_tie", F.lit(0).alias("_side")))
     here = F.when(F.col("_side") == 0, F.struct("_v", "_tie"))
-    seen = both.withColumn("_below", F.last(here, ignorenulls=True).over(up)).withColumn("_above", F.last(here, ignorenulls=True).over(down)).where("_side = 1")
+    seen = both.withColumn("_below", F.last(here, ignorenulls=True).over(up)).withColumn("_above", F.first(here, ignorenulls=True).over(down)).where("_side = 1")
     far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._v") - F.col("_v")).alias("distance"), F.col(f"{c}._tie").alias("tie")))
     best = F.array_min(F.array_compact(F.array(far("_below"), far("_above"))))
     return seen.select(group, F.col("_key").alias(key), F.col("_v").alias(a), best["tie"].alias("nearest"), best["distance"].alias("distance"))
@@ -53,9 +54,21 @@ def member_edges(df: DataFrame, key: str, members: Column, names: DataFrame, nam
     return edges.join(names.select(F.col(name).alias("_member"), F.col(other).alias("other")), "_member").where(F.col(key) != F.col("other")).select(key, "other").distinct()
 
 
-def containing(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str, first_whole: bool = False) -> DataFrame:
-    """(needle_key, key) where the text holds the needle, ignoring case; with ``first_whole`` also the needle's first word
-    as a whole one somewhere. Null and empty needles are in no text.
+def member_counts(df: DataFrame, key: str, members: Column, names: DataFrame, name: str, other: str) -> DataFrame:
+    """key, n, total: how many others a member of a row's list names, and the sum of their (numeric) keys, without itself.
+
+    Names are counted before they are joined, so a common name costs one row and pairs are never formed.
+    """
+    named = names.groupBy(F.col(name).alias("_member")).agg(F.count("*").alias("_n"), F.sum(other).alias("_sum"))
+    own = names.select(F.col(other).alias(key), F.col(name).alias("_member"), F.lit(1).alias("_own"))
+    edges = df.select(key, F.explode(members).alias("_member")).distinct()
+    met = edges.join(named, "_member").join(own, [key, "_member"], "left")
+    less = F.coalesce("_own", F.lit(0))
+    return met.groupBy(key).agg(F.sum(F.col("_n") - less).alias("n"), F.sum(F.col("_sum") - less * F.col(key)).alias("total")).where("n > 0")
+
+
+def containing(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str) -> DataFrame:
+    """(needle_key, key) where the text holds the needle, ignoring case. Null and empty needles are in no text.
 
     Texts that hold a needle hold its inner words as whole ones, and its others within words. Texts are exploded to keys and
     distinct words, joined on the longest inner word of each needle, or else on all words of the texts around its longest
@@ -66,7 +79,7 @@ def containing(texts: DataFrame, key: str, text: str, needles: DataFrame, needle
     longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
     own = words(F.col(needle))
     inner = F.slice(own, F.lit(2), F.greatest(F.lit(0), F.size(own) - 2))
-    wanted = needles.where(F.col(needle) != "").select(needle_key, F.lower(needle).alias("_needle"), F.get(own, F.lit(0)).alias("_first"), longest(inner).alias("_word"), longest(own).alias("_part"))
+    wanted = needles.where(F.col(needle) != "").select(needle_key, F.lower(needle).alias("_needle"), longest(inner).alias("_word"), longest(own).alias("_part"))
     keyed = texts.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("_word"))
     grams = lambda w: F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, n)))))
     around = keyed.select("_word").distinct().select("_word", F.explode(grams(F.col("_word"))).alias("_gram"))
@@ -77,8 +90,6 @@ def containing(texts: DataFrame, key: str, text: str, needles: DataFrame, needle
     wordless = wanted.where("_part is null").drop("_word", "_part").withColumn("_sign", F.substring("_needle", 1, 1))
     met = keyed.join(routed, "_word").drop("_word").unionByName(signs.join(wordless, "_sign").drop("_sign"))
     rows = met.join(texts.select(key, F.lower(text).alias("_text")), key).where(F.contains("_text", F.col("_needle")))
-    if first_whole:
-        rows = rows.where(F.array_contains(words(F.col("_text")), F.col("_first")))
     return rows.select(needle_key, key).distinct()
 
 

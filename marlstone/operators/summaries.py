@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,17 +33,29 @@ def rank_value(values: Column, n: Column, share: float = 0.95, least: int = 20)
     return F.when(n >= least, F.element_at(ordered, (F.floor(n * share) + 1).cast("int"))).otherwise(F.array_max(values))
 
 
+def running(rows: DataFrame, by: list[str], order: list[str], n: str, upto: str) -> DataFrame:
+    """Rows with the sum of ``n`` from the first row of their group up to them, in ``order``.
+
+    Rows are dealt by ranges of (group, order), added up within each range, and shifted by what the ranges before hold of
+    their group, of which there is one number for each range and group: no task holds a group.
+    """
+    key = F.struct(*by, *order)
+    # Kept, as ranges that were drawn anew for either use might differ.
+    dealt = rows.withColumn("_key", key).repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_part", F.spark_partition_id()).persist()
+    own = Window.partitionBy("_part", *by).orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    sums = dealt.groupBy("_part", *by).agg(F.sum(n).alias("_sum"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    same = reduce(lambda x, y: x & y, [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ["_part", *by]])
+    out = dealt.withColumn("_own", F.sum(n).over(own)).alias("d").join(before.alias("b"), same)
+    return out.select(*[f"d.{c}" for c in rows.columns], (F.col("_own") + F.col("_before")).alias(upto))
+
+
 def timing(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, both standard deviations, min, max, median and the 95th place of a measure.
 
-    The place is exact without gathering a group: values are counted first, and the running count finds it.
+    Places are exact without gathering a group: values are counted first, and running counts find them.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy(value)
-    placed = counted.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(whole))
-    target = F.when(F.col("_all") >= 20, F.floor(F.col("_all") * 0.95) + 1).otherwise(F.col("_all"))
-    p95 = placed.where(F.col("_upto") >= target).groupBy(*by).agg(F.min(value).alias("p95"))
     stats = df.groupBy(*by).agg(
         F.count(value).alias("n"),
         F.round(F.avg(value), 6).alias("mean"),
@@ -49,9 +63,12 @@ def timing(df: DataFrame, by: list[str], value: str) -> DataFrame:
         F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("std_sample"),
         F.min(value).alias("least"),
         F.max(value).alias("most"),
-        F.round(F.median(value), 6).alias("median"),
-    )
-    return stats.join(p95, by, "left")
+    )
+    placed = running(counted, by, [value], "_n", "_upto").join(F.broadcast(stats.select(*by, F.col("n").alias("_all"))), by)  # a row for each group
+    at = lambda place: F.min(F.when(F.col("_upto") >= place, F.col(value)))
+    target = F.when(F.col("_all") >= 20, F.floor(F.col("_all") * 0.95) + 1).otherwise(F.col("_all"))
+    middle = (at(F.floor((F.col("_all") + 1) / 2)) + at(F.ceil((F.col("_all") + 1) / 2))) / 2
+    return stats.join(placed.groupBy(*by).agg(F.round(middle, 6).alias("median"), at(target).alias("p95")), by, "left")
 
 
 def field_accuracy(df: DataFrame, fields: dict[str, tuple[Column, Column]]) -> DataFrame:

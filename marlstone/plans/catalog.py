@@ -43,7 +43,9 @@ def facet_search_page(spark, sf_dir):
     facets = [F.col("o_orderpriority") == "1-URGENT", S.contains_ci(F.col("c_name"), "7"), search.between(F.col("o_totalprice"), 20000, 400000)]
     found = rows.where(search.all_of(facets)).select("o_orderkey", "c_name", "n_name", "r_name", "o_totalprice")
     order = search.ordering("price", "desc", {"price": F.col("o_totalprice")}, F.col("o_orderkey"), F.col("o_orderkey"))
-    total = search.envelope(found, 20, 50).select("total")
+    # The count needs the facets' tables only: nation and region are looked up, and drop no row.
+    counted = relations.with_dimensions(orders, [(customer, "o_custkey", "c_custkey")]).where(search.all_of(facets))
+    total = search.envelope(counted, 20, 50).select("total")
     return search.page(found, order, 20, 50).crossJoin(F.broadcast(total))  # one row
 
 
@@ -136,24 +138,36 @@ def nearest_match(spark, sf_dir):
 
 
 @query("""
-with needles as (select item_id, lower(trim(regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+'))) as needle from benchmark)
-select item_id, doc_id from needles join documents on needle <> '' and contains(lower(text), needle)
-  and list_contains(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), list_filter(regexp_split_to_array(needle, '[^\\p{L}\\p{N}]+'), lambda w: w <> '')[1])
-""".replace("\\\\", "\\"))
+with needles as (select item_id, lower(text) as needle from benchmark where text <> ''), words as (select distinct -c_custkey as item_id, lower(right(c_name, 2)) as needle from customer where c_custkey <= 5)
+select item_id, doc_id from (select * from needles union all select * from words) join documents on contains(lower(text), needle)
+""")
 def contains_join(spark, sf_dir):
-    """Documents with the first three words of a benchmark item."""
-    needles = _t(spark, sf_dir, "benchmark").select("item_id", F.trim(F.regexp_extract("text", "^[^ ]+ [^ ]+ [^ ]+", 0)).alias("needle")).where("needle <> ''")
-    return relations.containing(_t(spark, sf_dir, "documents"), "doc_id", "text", needles, "item_id", "needle", first_whole=True)
+    """Documents that hold a benchmark item, or one of some short texts."""
+    items = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
+    short = _t(spark, sf_dir, "customer").where("c_custkey <= 5").select((-F.col("c_custkey")).alias("item_id"), F.expr("right(c_name, 2)").alias("needle"))
+    return relations.containing(_t(spark, sf_dir, "documents"), "doc_id", "text", items.unionByName(short), "item_id", "needle")
 
 
 @query("""
-with e as (select distinct p_partkey, unnest(string_split(p_name, ' ')) as member from part), names as (select p_partkey as other, string_split(p_name, ' ')[1] as name from part where p_partkey % 20 = 0)
-select distinct p_partkey, other from e join names on member = name where p_partkey <> other
+with e as (select distinct p_partkey, unnest(string_split(p_name, ' ')) as member from part), names as (select p_partkey as other, string_split(p_name, ' ')[1] as name from part)
+select p_partkey, count(*) as n, sum(other)::bigint as total from (select distinct p_partkey, other from e join names on member = name where p_partkey <> other) group by 1
 """)
 def explode_edges_dedup(spark, sf_dir):
+    """For each part the others whose first word is one of its words."""
     part = _t(spark, sf_dir, "part")
-    names = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("o"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"))
-    return relations.member_edges(part, "p_partkey", F.split("p_name", " "), names, "name", "o")
+    names = part.select(F.col("p_partkey").alias("o"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"))
+    return relations.member_counts(part, "p_partkey", F.split("p_name", " "), names, "name", "o")
+
+
+@query("""
+with e as (select distinct o_orderkey, o_custkey % 7 as member from orders), names as (select c_custkey as other, c_custkey % 500 as name from customer where c_custkey % 500 < 7)
+select distinct o_orderkey, other from e join names on member = name where o_orderkey <> other
+""")
+def member_edges(spark, sf_dir):
+    """The pairs themselves, where names are few."""
+    orders, customer = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
+    names = customer.select(F.col("c_custkey").alias("o"), (F.col("c_custkey") % 500).alias("name")).where("name < 7")
+    return relations.member_edges(orders, "o_orderkey", F.array(F.col("o_custkey") % 7), names, "name", "o")
 
 
 @query("select coalesce(lang, 'unknown') as key, count(*) as n from documents group by all")
@@ -246,7 +260,7 @@ def first_per_group(spark, sf_dir):
 
 
 @query("""
-with r as (select doc_id, lang, row_number() over (partition by lang order by doc_id * 7919 % 10007, doc_id) as i, count(*) over (partition by lang) as n from documents)
+with r as (select doc_id, lang, row_number() over (partition by lang order by doc_id * 7919 % 10007, doc_id) as i, count(*) over (partition by lang) as n from documents where lang is not null)
 select doc_id, lang, case when i <= floor(n * 0.8) then 'train' when i <= floor(n * 0.8) + floor(n * 0.1) then 'validation' else 'test' end as split from r
 """)
 def stratified_split(spark, sf_dir):
@@ -286,9 +300,9 @@ def latest_wins_upsert(spark, sf_dir):
     return records.upsert(old, new, ["o_orderkey"], {"o_totalprice": "new"})
 
 
-@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'P')")
 def skip_existing(spark, sf_dir):
-    known = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    known = _t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return relations.not_yet(_t(spark, sf_dir, "customer"), known, ["c_custkey"]).select("c_custkey", "c_name")
 
 
@@ -329,15 +343,14 @@ def html_title_text(spark, sf_dir):
 
 @query("select p_brand, count(distinct o_orderkey) as n_orders, count(distinct l_partkey) as n_parts, round(sum(l_extendedprice * (1 - l_discount)), 2) as value, round(min(p_retailprice), 2) as least_price, round(max(p_retailprice), 2) as most_price from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey group by p_brand")
 def collection_stats(spark, sf_dir):
-    lineitem, part, orders = (_t(spark, sf_dir, n) for n in ("lineitem", "part", "orders"))
-    rows = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.groupBy("p_brand").agg(
-        F.countDistinct("o_orderkey").alias("n_orders"),
-        F.countDistinct("l_partkey").alias("n_parts"),
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("value"),
-        F.round(F.min("p_retailprice"), 2).alias("least_price"),
-        F.round(F.max("p_retailprice"), 2).alias("most_price"),
-    )
+    """By brand. Rows are added up by (brand, order) and (brand, part) first, so no distinct count expands them; every line
+    has its order, which is its key."""
+    lineitem, part = (_t(spark, sf_dir, n) for n in ("lineitem", "part"))
+    rows = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    orders = rows.groupBy("p_brand", "l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v")).groupBy("p_brand").agg(F.count("*").alias("n_orders"), F.round(F.sum("v"), 2).alias("value"))
+    prices = lineitem.select("l_partkey").distinct().join(part, F.col("l_partkey") == F.col("p_partkey"))
+    parts = prices.groupBy("p_brand").agg(F.count("*").alias("n_parts"), F.round(F.min("p_retailprice"), 2).alias("least_price"), F.round(F.max("p_retailprice"), 2).alias("most_price"))
+    return orders.join(parts, "p_brand")
 
 
 @query("""
