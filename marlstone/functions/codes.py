@@ -26,7 +26,6 @@ TYPE_NAMES = {"無色": "COLORLESS", "悪": "DARKNESS", "ドラゴン": "DRAGON"
 RARITY_NAMES = {"C": "COMMON", "U": "UNCOMMON", "R": "RARE", "RR": "DOUBLE_RARE", "RRR": "ULTRA_RARE", "AR": "ILLUSTRATION_RARE", "SAR": "SPECIAL_ILLUSTRATION_RARE", "UR": "HYPER_RARE", "PROMO": "PROMO", "SR": "SHINY_RARE", "ACE": "ACE_SPEC"}
 IMPORTED_VARIANTS = ["NORMAL", "REVERSE_HOLO", "HOLO", "AR", "SAR", "SSR", "SR", "UR", "MUR", "MA"]
 LOCALES = {"ja-JP": "JA_JP", "zh-HK": "ZH_TW", "en-US": "EN_US"}
-PRODUCT_LABELS = ["BOOSTER", "DECK", "SET", "SUPPLY"]
 PLACEHOLDER = "カード検索"
 
 

@@ -37,6 +37,7 @@ MARKER_STAGES = {"基礎": "BASIC", "Basic": "BASIC", "1階進化": "STAGE_1", "
 MARKER_WORDS = {"VMAX": "VMAX", "VSTAR": "VSTAR", "V-UNION": "V_UNION", "BREAK": "BREAK"}
 # Rule boxes by patterns of the name, in order.
 RULE_BOXES = {"EX": r"\bEX\b", "GX": r"\bGX\b", "V": r"\bV$", "VMAX": r"\bVMAX\b", "VSTAR": r"\bVSTAR\b"}
+# Headings, words and notices by which effect texts are told from others; texts of the terastal kind.
 JP_SECTIONS = ["グッズ", "サポート", "スタジアム", "ポケモンのどうぐ", "特殊エネルギー", "基本エネルギー"]
 HK_SECTIONS = ["物品", "支援者", "競技場", "寶可夢的道具", "特殊能量", "基本能量", "Item", "Supporter", "Stadium", "Pokémon Tool", "Special Energy", "Basic Energy"]
 JP_WORDS = ["このカード", "自分の番", "相手の", "ダメージ", "ポケモン", "トラッシュ", "手札", "山札"]

@@ -10,12 +10,23 @@ from pyspark.sql import functions as F
 from marlstone.functions import codes
 from marlstone.functions.scalars import collector_number, leading_int, mapped
 from marlstone.operators.records import latest, quarantined, upsert
+from marlstone.operators.search import patterns
 
-# Kinds of products by the label of a shop.
+# Codes of products by the label of a shop.
 PRODUCT_LABELS = {
-    "拡張パック": "BOOSTER", "強化拡張パック": "BOOSTER", "ハイクラスパック": "BOOSTER", "構築デッキ": "DECK", "スターターセット": "DECK", "スタートデッキ": "DECK", "デッキビルドBOX": "SET",
-    "スペシャルセット": "SET", "プレミアムトレーナーボックス": "SET", "周辺グッズ": "SUPPLY", "デッキシールド": "SUPPLY", "デッキケース": "SUPPLY", "コイン": "SUPPLY", "プレイマット": "SUPPLY",
+    "拡張パック": "expansion_pack", "強化拡張パック": "enhanced_expansion", "入門セット": "starter_set", "構築デッキ": "constructed_deck", "周辺グッズ": "accessories", "その他の商品": "special_products", "デッキ": "deck",
+    "Expansion Pack": "expansion_pack", "Enhanced Expansion Pack": "enhanced_expansion", "Starter Set": "starter_set", "Constructed Deck": "constructed_deck", "Accessories": "accessories", "Special Products": "special_products", "Deck": "deck",
 }
+# Labels of products by texts in their titles, and texts that speak against them; the first rule counts.
+PRODUCT_RULES = [
+    ("拡張パック", ["擴充包"], []),
+    ("拡張パック", ["Scarlet & Violet", "Sword & Shield", "Sun & Moon", "Mega Evolution"], ["Basic Energy", "Promo", "151", "Celebrations", "Pokémon GO"]),
+    ("強化拡張パック", ["強化擴充包", "高級擴充包"], []),
+    ("スターターセット", ["初階牌組", "挑戰牌組", "スターター", "スタートデッキ", "起始組合", "V起始牌組", "G超起始牌組"], []),
+    ("構築デッキ", ["構築デッキ", "デッキ", "牌組構築BOX", "戰術牌組", "VSTAR&VMAX 高級牌組"], []),
+    ("周辺グッズ", ["周辺グッズ", "デッキケース", "デッキシールド", "カードボックス", "Basic Energy"], []),
+    ("その他の商品", ["スペシャルカード", "その他の商品", "特別組合", "特典", "Trianers Camp", "特別牌組組合", "頂級訓練家收藏箱", "V-UNION", "寶可夢卡牌家庭組合", "Promo", "151", "Celebrations", "Pokémon GO"], []),
+]
 
 
 def signature(abilities: Column, attacks: Column, form: str = "object") -> Column:
@@ -204,7 +215,15 @@ def product_edit(products: DataFrame, edits: DataFrame, kinds: DataFrame) -> Dat
 
 
 def product_kind(label: Column) -> Column:
-    return mapped(label, PRODUCT_LABELS, codes.PRODUCT_LABELS)
+    return mapped(label, PRODUCT_LABELS, sorted(set(PRODUCT_LABELS.values())))
+
+
+def product_label(title: Column, label: Column) -> Column:
+    """The label by the first rule that a title meets, where it has none yet."""
+    out = label
+    for name, include, exclude in PRODUCT_RULES:
+        out = F.coalesce(out, F.when(patterns(title, include, exclude), name))
+    return out
 
 
 def reparsed(logs: DataFrame, parsed: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -221,7 +221,7 @@ def product_edit(spark, sf_dir):
     return imports.product_edit(products, edits, spark.createDataFrame([("known", 1)], "code string, kind_id int"))
 
 
-@query("select p_type as label, case p_type when 'SMALL' then 'DECK' end as kind, case p_type when 'LARGE' then 'JA_JP' else 'EN_US' end as language, count(*) as n from part group by all")
+@query("select p_type as label, case p_type when 'SMALL' then 'constructed_deck' end as kind, case p_type when 'LARGE' then 'JA_JP' else 'EN_US' end as language, count(*) as n from part group by all")
 def label_maps(spark, sf_dir):
     label = F.when(F.col("p_type") == "SMALL", "構築デッキ").otherwise(F.col("p_type"))
     place = F.when(F.col("p_type") == "LARGE", "ja-JP").otherwise("xx")
@@ -229,6 +229,17 @@ def label_maps(spark, sf_dir):
     return rows.groupBy("label", "kind", "language").agg(F.count("*").alias("n"))
 
 
+@query("""
+select p_partkey, case p_partkey % 6 when 0 then 'mine' when 1 then '拡張パック' when 2 then 'その他の商品' when 3 then '構築デッキ' when 4 then '周辺グッズ' end as label from part
+""")
+def product_labels(spark, sf_dir):
+    """Labels by title; products that have one keep it."""
+    n = F.col("p_partkey") % 6
+    title = F.when(n == 1, "Sun & Moon x").when(n == 2, "Sun & Moon Promo").when(n == 3, "デッキケース").when(n == 4, "Sun & Moon Basic Energy").otherwise("other")
+    label = imports.product_label(title, F.when(n == 0, "mine"))
+    return _t(spark, sf_dir, "part").select("p_partkey", label.alias("label"))
+
+
 @query("""
 with r as (select *, (row_number() over (order by p_name, p_partkey) - 1) // 50 as batch from part)
 select p_partkey, batch, case when max(cast(p_size = 13 as int)) over (partition by batch) = 1 then 'failed' else 'success' end as outcome from r

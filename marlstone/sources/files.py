@@ -50,10 +50,10 @@ def last_file_wins(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def html_cache(spark: SparkSession, path: str, name_first: bool = False) -> DataFrame:
+def html_cache(spark: SparkSession, path: str, name_first: bool = False, pattern: str = "*.html") -> DataFrame:
     """id, html, path of cached pages: the id is in the first 2,000 characters (/detail/ID/), else the file's name; with
     ``name_first`` the other way round."""
-    pages = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path)
+    pages = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.html$", 1)
     inside = F.regexp_extract(F.substring("value", 1, 2000), r"/detail/(\d+)/", 1)
     ways = [F.nullif(inside, F.lit("")), F.nullif(name, F.lit(""))]
