@@ -12,7 +12,7 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b): component is the smallest node it reaches.
 
     Alternates two star contractions, each a grouped minimum joined back to the links, until the links form stars; each
-    round is written to the shared folder. With ``rounds`` it stops after so many: nodes of one component may then have
+    round is written to the shared folder, and the one before removed. With ``rounds`` it stops after so many: nodes of one component may then have
     different names, each a node of that component. Null ends are ignored; loops give a component of one; no edges give
     no rows.
     """
@@ -23,12 +23,12 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.unionByName(current.where("u = v")).distinct(), "links")
+        large = written(large.unionByName(current.where("u = v")).distinct(), "links", (current,))
         # Small star: a node and its neighbours below are tied to the smallest of these.
         least = large.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         tied = large.join(least, "u")
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tied.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        current = written(small.unionByName(large.where("u = v")).distinct(), "links")
+        current = written(small.unionByName(large.where("u = v")).distinct(), "links", (large,))
         done += 1
         if rounds is None and _stars(current):
             break

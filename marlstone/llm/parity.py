@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.batches import gram_hashes, gram_valid, hot_keys, mixed, packed, repeated_keys, sliced, text_column, unpacked, word_hashes, words_of
 from marlstone.llm.components import components
-from marlstone.llm.shared import SAMPLE, written
+from marlstone.llm.shared import SAMPLE, forget, written
 
 #: Ratio of the ends of a size band; blocks beyond those that differences can touch; shingles of a small block.
 BAND, SPARE, FEW = 1.3, 0.12, 2
@@ -340,13 +340,15 @@ def linked_components(docs: DataFrame, shingle: int, percent: int, doc_id: str =
         ends = now.groupBy("key").agg((F.max if star else F.min)("doc_id").alias("end"))
         pairs = now.join(ends, "key").where("doc_id <> end").select(F.least("end", "doc_id").alias("a"), F.greatest("end", "doc_id").alias("b")).distinct()
         found = verified(_alike(pairs, sketched, percent), texts, shingle, percent)
-        links = written(found if links is None else links.unionByName(found), "found")
-        labels = written(components(links, rounds=1), "labels")
+        links = written(found if links is None else links.unionByName(found), "found", (links,) if links is not None else ())
+        labels = written(components(links, rounds=1), "labels", (labels,) if labels is not None else ())
     # What is left in a group with several components: documents of different components.
     rest = written(_apart(shared, labels).select("key", "doc_id", "label"), "rest")
     pairs = written(_within_groups(rest, sketched, percent), "pairs")
     if not pairs.isEmpty():
-        labels = components(written(links.unionByName(verified(pairs, texts, shingle, percent)), "found"))
+        links = written(links.unionByName(verified(pairs, texts, shingle, percent)), "found", (links, labels))
+        labels = components(links)
+    forget(shared, texts, sketched, rest, pairs)
     named = sizes.join(copies, "doc_id", "left").withColumn("node", first)
     return named.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 

@@ -50,7 +50,7 @@ def validity(entries: DataFrame) -> DataFrame:
 
 
 #: A rule with more requests than this, and than one in BUSY of all (so there are at most BUSY), is cut by time in CUTS.
-STRETCH, BUSY, CUTS = 100_000, 10_000, 64
+STRETCH, BUSY, CUTS = 1000, 10_000, 64
 
 
 def evaluate(captures: DataFrame, intervals: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
