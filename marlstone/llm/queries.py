@@ -9,6 +9,8 @@ from marlstone.llm.idstore import op10_query
 from marlstone.llm.langid import op8_query
 from marlstone.llm.lines import op7_query
 from marlstone.llm.mainpage import op9_query
+from marlstone.llm.middle import ORACLE as MIDDLE_SQL
+from marlstone.llm.middle import op12_query
 from marlstone.llm.parity import ORACLE as JACCARD_SQL
 from marlstone.llm.parity import op4_query
 from marlstone.llm.pieces import op3_query
@@ -28,10 +30,12 @@ QUERIES = {
     "op8_language_id": op8_query,
     "op9_main_text": op9_query,
     "op10_id_store": op10_query,
+    "op12_fill_in_middle": op12_query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": SUBSTRING_SQL,
     "op4_jaccard_join": JACCARD_SQL,
     "op5_url_filter": URL_SQL,
     "op6_exact_topk": TOPK_SQL,
+    "op12_fill_in_middle": MIDDLE_SQL,
 }
