@@ -5,6 +5,8 @@ from __future__ import annotations
 from marlstone.llm.decontaminate import op1_query
 from marlstone.llm.fmindex import ORACLE as SUBSTRING_SQL
 from marlstone.llm.fmindex import op2_query
+from marlstone.llm.heaplloyd import ORACLE as CODES_SQL
+from marlstone.llm.heaplloyd import op11_query
 from marlstone.llm.idstore import op10_query
 from marlstone.llm.langid import op8_query
 from marlstone.llm.lines import op7_query
@@ -30,6 +32,7 @@ QUERIES = {
     "op8_language_id": op8_query,
     "op9_main_text": op9_query,
     "op10_id_store": op10_query,
+    "op11_vector_codes": op11_query,
     "op12_fill_in_middle": op12_query,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -37,5 +40,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": JACCARD_SQL,
     "op5_url_filter": URL_SQL,
     "op6_exact_topk": TOPK_SQL,
+    "op11_vector_codes": CODES_SQL,
     "op12_fill_in_middle": MIDDLE_SQL,
 }
