@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from marlstone.llm.batches import list_array
-from marlstone.llm.shared import forget, joined_by_key, new_path, remove, without_shuffle_files, written
+from marlstone.llm.shared import bucketed, joined_by_key, written
 
 #: Vectors of a block at most; bytes of vectors that a bucket is to hold.
 BLOCK, BUCKET_BYTES = 8192, 64 << 20
@@ -228,24 +226,6 @@ def _vector_blocks(rows: DataFrame, parts: int, width: int, scale: int) -> DataF
     return rows.select("id", "label", "v").mapInArrow(run, schema)
 
 
-class _Buckets:
-    """Tables in buckets by block, for joins without a shuffle; ``drop`` removes them."""
-
-    def __init__(self, spark: SparkSession, number: int):
-        self.spark, self.number, self.paths = spark, number, {}
-
-    def put(self, df: DataFrame, deal: bool = False) -> str:
-        name, path = f"marlstone_{uuid.uuid4().hex}", new_path(self.spark, "buckets")
-        with without_shuffle_files(self.spark):
-            (df.repartition(self.number, "block") if deal else df).write.bucketBy(self.number, "block").option("path", path).saveAsTable(name)
-        self.paths[name] = path
-        return name
-
-    def drop(self, name: str) -> None:
-        self.spark.sql(f"drop table if exists {name}")
-        remove(self.spark, self.paths.pop(name))
-
-
 def _numbers(matrix: bytes, wide: bool, n: int, parts: int, width: int, scale: int) -> np.ndarray:
     values = whole_numbers(np.frombuffer(matrix, "<f8"), scale) if wide else np.frombuffer(matrix, "<i4").astype(np.float64)
     return values.reshape(n, parts, width)
@@ -277,8 +257,8 @@ def heap_lloyd(df: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6
         schema = StructType([StructField("vec_id", LongType()), StructField("label", rows.schema["label"].dataType), StructField("code", StructType.fromDDL("c string")["c"].dataType), StructField("error", LongType())])
         return Coded(spark.createDataFrame([], schema), books, [])
     k = len(starts)
-    tables = _Buckets(spark, max(spark.sparkContext.defaultParallelism, -(-total * parts * width * 4 // BUCKET_BYTES)))
-    vectors = tables.put(_vector_blocks(rows, parts, width, scale), deal=True)
+    number = max(spark.sparkContext.defaultParallelism, -(-total * parts * width * 4 // BUCKET_BYTES))
+    vectors = bucketed(_vector_blocks(rows, parts, width, scale).repartition(number, "block"), "vectors", ["block"], number)
     schema = "block long, rows binary, keys binary, sizes binary, compared long, won array<struct<place: int, limb: int, value: long>>"
 
     def one_round(books: np.ndarray, drifts: np.ndarray):
@@ -296,23 +276,19 @@ def heap_lloyd(df: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6
 
         return run
 
-    met = spark.table(vectors).select("block", "wide", "n", "matrix")
+    met = vectors.select("block", "wide", "n", "matrix")
     drifts, state, compared = np.zeros((parts, k)), None, []
     totals = np.zeros((parts, k, width + 1), dtype=object)
     for _ in range(rounds):
-        joined = met if state is None else met.join(spark.table(state).select("block", "rows", "keys", "sizes"), "block")
-        before, state = state, tables.put(joined.mapInArrow(one_round(books, drifts), schema))
-        if before:
-            tables.drop(before)
-        compared.append(spark.table(state).agg(F.sum("compared")).first()[0] or 0)
+        joined = met if state is None else met.join(state.select("block", "rows", "keys", "sizes"), "block")
+        state = bucketed(joined.mapInArrow(one_round(books, drifts), schema), "heaps", ["block"], number, (state,) if state else ())
+        compared.append(state.agg(F.sum("compared")).first()[0] or 0)
         # A row for each number of the codebooks and its digits, whatever the number of vectors.
-        for r in spark.table(state).select(F.explode("won").alias("w")).groupBy("w.place", "w.limb").agg(F.sum("w.value").alias("v")).collect():
+        for r in state.select(F.explode("won").alias("w")).groupBy("w.place", "w.limb").agg(F.sum("w.value").alias("v")).collect():
             totals.reshape(-1)[r["place"]] += int(r["v"]) << (32 * r["limb"])
         books, drifts = _moved(books, totals, drifts)
-    out = _final(spark, tables, vectors, state, books, drifts, parts, width, scale, rows.schema["label"].dataType)
+    out = _final(vectors, state, books, drifts, parts, width, scale, rows.schema["label"].dataType)
     compared.append(out.agg(F.sum("_compared")).first()[0] or 0)
-    for name in list(tables.paths):
-        tables.drop(name)
     return Coded(out.drop("_compared"), books, compared)
 
 
@@ -325,12 +301,10 @@ def _moved(books: np.ndarray, totals: np.ndarray, drifts: np.ndarray) -> tuple[n
     return new, (drifts + far + most) * (1 + _OFF)
 
 
-def _final(spark, tables: _Buckets, vectors: str, state: str | None, books: np.ndarray, drifts: np.ndarray, parts: int, width: int, scale: int, kind) -> DataFrame:
+def _final(vectors: DataFrame, state: DataFrame | None, books: np.ndarray, drifts: np.ndarray, parts: int, width: int, scale: int, kind) -> DataFrame:
     """vec_id, label, code, error, and in the first row of each block the number of parts that were compared."""
     schema = StructType([StructField("vec_id", LongType()), StructField("label", kind), *StructType.fromDDL("code string, error long, _compared long").fields])
-    joined = spark.table(vectors)
-    if state:
-        joined = joined.join(spark.table(state).select("block", "rows", "keys", "sizes"), "block")
+    joined = vectors if state is None else vectors.join(state.select("block", "rows", "keys", "sizes"), "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,7 +326,7 @@ def _final(spark, tables: _Buckets, vectors: str, state: str | None, books: np.n
                 columns = [ids[at].values, labels[at].values, pa.array([text[i : i + 2 * parts] for i in range(0, len(text), 2 * parts)]), pa.array([min(int(v), _HIGH) for v in error.tolist()], pa.int64()), pa.array([compared] + [0] * (row["n"] - 1), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "label", "code", "error", "_compared"])
 
-    return written(joined.mapInArrow(run, schema), "codes")
+    return written(joined.mapInArrow(run, schema), "codes", (vectors, state) if state else (vectors,))
 
 
 def with_label_error(coded: DataFrame) -> DataFrame:

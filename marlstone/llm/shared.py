@@ -62,6 +62,23 @@ def written(df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> DataF
     return out
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], number: int, done: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """``df`` written to the shared folder in buckets and read again: joins of such frames on ``keys`` need no shuffle.
+
+    Only the catalogue knows how files are dealt to buckets, so the table is entered there; the frame that is read keeps
+    that, and the entry is dropped at once (its files stay). Rows that come in ``number`` partitions by ``keys`` make one
+    file a bucket."""
+    spark = df.sparkSession
+    table, path = f"marlstone_{uuid.uuid4().hex}", new_path(spark, name)
+    with without_shuffle_files(spark):
+        df.write.bucketBy(number, *keys).option("path", path).saveAsTable(table)
+    forget(*done)
+    out = spark.table(table)
+    spark.sql(f"drop table {table}")
+    out._written_to = path
+    return out
+
+
 def forget(*frames: DataFrame) -> None:
     """Remove what ``written`` wrote for these frames."""
     for frame in frames:
