@@ -151,15 +151,16 @@ class _Frequent:
         return keys[kept], counts[kept]
 
 
-def sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit fingerprint of the set (f1, f2) of ``docs`` (doc_id, text); then, with a null
-    doc_id, shingles (f1) that are frequent in a task and their number there (n_shingles)."""
+def sets(docs: DataFrame, shingle: int, counted: bool = True) -> DataFrame:
+    """doc_id, n_shingles and a 128-bit fingerprint of the set (f1, f2) of ``docs`` (doc_id, text); then, if they are to be
+    counted, with a null doc_id, shingles (f1) that are frequent in a task and their number there (n_shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, frequent = ["doc_id", "n_shingles", "f1", "f2"], _Frequent()
         for batch in sliced(batches, "text"):
             flat, ends = shingle_sets(text_column(batch, "text"), shingle)
-            frequent.add(flat, len(ends))
+            if counted:
+                frequent.add(flat, len(ends))
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(flat + np.uint64(salt)), dtype=np.uint64)]) for salt in (3, 5)]
             begins = np.concatenate([[0], ends[:-1]])
             prints = [(x[ends] - x[begins]).view(np.int64) for x in sums]
@@ -170,14 +171,54 @@ def sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
 
 
-def block_rows(docs: DataFrame, shingle: int, percent: int, hot: dict[tuple[int, int, int], int], common) -> DataFrame:
+class Parity:
+    """How candidates are found and bounded: here by blocks of parity sketches, and their Hamming distance."""
+
+    #: Whether keys need the common shingles.
+    counted = True
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def keys(self, flat: np.ndarray, ends: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return block_keys(flat, ends, self.percent, common)
+
+    def sketches(self, flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """A bit for each place that an odd number of shingles hash to."""
+        place, out, begin = mixed(flat ^ np.uint64(0x5BD1E995)), [], 0
+        for end in ends.tolist():
+            bits = min(MOST_BITS, max(LEAST_BITS, 1 << (end - begin).bit_length()))
+            out.append(np.packbits((np.bincount((place[begin:end] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes())
+            begin = end
+        return out
+
+    def pairs(self, n: list[int], m: list[int], left: list[bytes], right: list[bytes]) -> list[bool]:
+        """Whether sets of these sizes and sketches may be linked."""
+        keep = []
+        for n_x, n_y, x, y in zip(n, m, left, right, strict=True):
+            if len(x) != len(y):
+                short = min(len(x), len(y))
+                x, y = (folded(np.frombuffer(z, np.uint8)[None], short).tobytes() for z in (x, y))
+            keep.append((int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count() <= allowed(n_x, n_y, self.percent))
+        return keep
+
+    def stacked(self, sketches: list[bytes]) -> np.ndarray:
+        """Sketches as rows of one length."""
+        short = min(map(len, sketches))
+        return np.concatenate([folded(np.frombuffer(x, np.uint8)[None], short) for x in sketches]).view(np.uint64)
+
+    def one_to_many(self, n: int, m: np.ndarray, one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(many ^ one).sum(axis=1) <= allowed(m, n, self.percent)
+
+
+def block_rows(docs: DataFrame, shingle: int, method: Parity, hot: dict[tuple[int, int, int], int], common) -> DataFrame:
     """(key, doc_id) of every used block; of the sets in ``hot`` only the named document gives rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             flat, ends = shingle_sets(text_column(batch, "text"), shingle)
             ids = np.asarray(batch.column(0), dtype=np.int64)
-            keys, counts = block_keys(flat, ends, percent, common.value)
+            keys, counts = method.keys(flat, ends, common.value)
             if hot:
                 begins = np.concatenate([[0], ends[:-1]])
                 known = {n for n, _, _ in hot}
@@ -193,20 +234,14 @@ def block_rows(docs: DataFrame, shingle: int, percent: int, hot: dict[tuple[int,
     return docs.mapInArrow(run, "key long, doc_id long")
 
 
-def parity_sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, size, sketch of ``texts`` (doc_id, packed): a bit for each place that an odd number of shingles hash to."""
+def sketched_texts(texts: DataFrame, shingle: int, method: Parity) -> DataFrame:
+    """doc_id, size, sketch of ``texts`` (doc_id, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
                 flat, ends = shingle_sets(unpacked(batch.column(1)), shingle)
-                place, out, begin = mixed(flat ^ np.uint64(0x5BD1E995)), [], 0
-                sizes = np.diff(np.concatenate([[0], ends]))
-                for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):
-                    bits = min(MOST_BITS, max(LEAST_BITS, 1 << size.bit_length()))
-                    out.append(np.packbits((np.bincount((place[begin:end] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes())
-                    begin = end
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(out, pa.binary())], names=["doc_id", "size", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends, prepend=0)), pa.array(method.sketches(flat, ends), pa.binary())], names=["doc_id", "size", "sketch"])
 
     return texts.mapInArrow(run, "doc_id long, size long, sketch binary")
 
@@ -223,25 +258,20 @@ def allowed(size_a, size_b, percent: int):
     return (100 - percent) * (size_a + size_b) // (100 + percent)
 
 
-def _alike(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+def _alike(pairs: DataFrame, sketched: DataFrame, percent: int, method: Parity) -> DataFrame:
     """Pairs whose sizes and sketches allow the similarity."""
     rows = pairs.join(sketched.toDF("a", "size_a", "sketch_a"), "a").join(sketched.toDF("b", "size_b", "sketch_b"), "b")
     rows = rows.where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                if len(x) != len(y):
-                    short = min(len(x), len(y))
-                    x, y = (folded(np.frombuffer(z, np.uint8)[None], short).tobytes() for z in (x, y))
-                keep.append((int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count() <= allowed(n, m, percent))
+            keep = method.pairs(*(batch.column(i).to_pylist() for i in range(2, 6)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def _within_groups(rest: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+def _within_groups(rest: DataFrame, sketched: DataFrame, percent: int, method: Parity) -> DataFrame:
     """(a, b): documents of different labels that share a key, as far as sizes and sketches allow the similarity.
 
     Groups of up to ``SMALL`` documents are paired by a join. The documents of a larger group are dealt to chunks of about
@@ -258,13 +288,11 @@ def _within_groups(rest: DataFrame, sketched: DataFrame, percent: int) -> DataFr
 
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
         own, doc, label, size = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4, 5, 6))
-        short = min(len(r[7]) for r in rows)
-        bits = np.concatenate([folded(np.frombuffer(r[7], np.uint8)[None], short) for r in rows]).view(np.uint64)
+        bits = method.stacked([r[7] for r in rows])
         cross, out = rows[0][1] != rows[0][2], []
         for x in range(len(rows) - 1):
             y = slice(x + 1, None)
-            far = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1)
-            good = (far <= allowed(size[y], size[x], percent)) & (label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))
+            good = method.one_to_many(size[x], size[y], bits[x], bits[y]) & (label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))
             if cross:
                 good &= own[y] != own[x]
             out += [(min(doc[x], d), max(doc[x], d)) for d in doc[y][good].tolist() if d != doc[x]]
@@ -284,7 +312,7 @@ def _within_groups(rest: DataFrame, sketched: DataFrame, percent: int) -> DataFr
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     found = cells.select(columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
-    return _alike(joined, sketched, percent).unionByName(found).distinct()
+    return _alike(joined, sketched, percent, method).unionByName(found).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -310,14 +338,16 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return rows.mapInArrow(run, "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
-def linked_components(docs: DataFrame, shingle: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def linked_components(docs: DataFrame, shingle: int, percent: int, doc_id: str = "doc_id", text: str = "text", method: Parity | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; documents link at a Jaccard similarity of ``percent`` or more.
+    Candidates are found by ``method``, parity sketches if there is no other.
 
     Documents with one set are a class, for which its smallest document stands. A class of at least one in ``HOT`` rows
     (there are at most ``HOT`` such classes) is known before blocks are dealt out, and only its document gives any.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    found = written(sets(docs, shingle), "sets")
+    method = method or Parity(percent)
+    found = written(sets(docs, shingle, method.counted), "sets")
     known = found.where("doc_id is not null")
     classes = known.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     total = known.count()
@@ -327,24 +357,24 @@ def linked_components(docs: DataFrame, shingle: int, percent: int, doc_id: str =
     common = docs.sparkSession.sparkContext.broadcast(np.sort(often.toPandas()["f1"].to_numpy(dtype=np.int64).view(np.uint64)))
     copies = written(known.join(classes.where("n > 1").drop("n"), ["n_shingles", "f1", "f2"]).where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
     first = F.coalesce("first", "doc_id")
-    some = block_rows(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), shingle, percent, hot, common)
-    met = written(repeated_keys(block_rows(docs, shingle, percent, hot, common), hot_keys(some, "key")), "met")
+    some = block_rows(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), shingle, method, hot, common)
+    met = written(repeated_keys(block_rows(docs, shingle, method, hot, common), hot_keys(some, "key")), "met")
     shared = written(met.join(copies, "doc_id", "left").select("key", first.alias("doc_id")).distinct(), "shared", (met,))
     sizes = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     texts = written(packed(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    sketched = written(parity_sketches(texts, shingle), "bits")
+    sketched = written(sketched_texts(texts, shingle, method), "bits")
 
     links = labels = None
     for star in range(STARS):
         now = shared if labels is None else _apart(shared, labels).drop("label")
         ends = now.groupBy("key").agg((F.max if star else F.min)("doc_id").alias("end"))
         pairs = now.join(ends, "key").where("doc_id <> end").select(F.least("end", "doc_id").alias("a"), F.greatest("end", "doc_id").alias("b")).distinct()
-        found = verified(_alike(pairs, sketched, percent), texts, shingle, percent)
+        found = verified(_alike(pairs, sketched, percent, method), texts, shingle, percent)
         links = written(found if links is None else links.unionByName(found), "found", (links,) if links is not None else ())
         labels = written(components(links, rounds=1), "labels", (labels,) if labels is not None else ())
     # What is left in a group with several components: documents of different components.
     rest = written(_apart(shared, labels).select("key", "doc_id", "label"), "rest")
-    pairs = written(_within_groups(rest, sketched, percent), "pairs")
+    pairs = written(_within_groups(rest, sketched, percent, method), "pairs")
     if not pairs.isEmpty():
         links = written(links.unionByName(verified(pairs, texts, shingle, percent)), "found", (links, labels))
         labels = components(links)

@@ -13,6 +13,8 @@ from marlstone.llm.lines import op7_query
 from marlstone.llm.mainpage import op9_query
 from marlstone.llm.middle import ORACLE as MIDDLE_SQL
 from marlstone.llm.middle import op12_query
+from marlstone.llm.minhash import ORACLE as NEAR_SQL
+from marlstone.llm.minhash import op13_query
 from marlstone.llm.parity import ORACLE as JACCARD_SQL
 from marlstone.llm.parity import op4_query
 from marlstone.llm.pieces import op3_query
@@ -34,6 +36,7 @@ QUERIES = {
     "op10_id_store": op10_query,
     "op11_vector_codes": op11_query,
     "op12_fill_in_middle": op12_query,
+    "op13_near_copies": op13_query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": SUBSTRING_SQL,
@@ -42,4 +45,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_exact_topk": TOPK_SQL,
     "op11_vector_codes": CODES_SQL,
     "op12_fill_in_middle": MIDDLE_SQL,
+    "op13_near_copies": NEAR_SQL,
 }
