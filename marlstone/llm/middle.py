@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.batches import sliced, text_column
-from marlstone.llm.shared import SHARE, written
+from marlstone.llm.shared import SHARE, bucketed
 
 # What stands before the prefix, the suffix and the middle.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Bytes of output that a task holds before it hands them on.
 OUT_BYTES = 4 << 20
+#: Bytes of text that a bucket is to hold.
+BUCKET_BYTES = 256 << 20
 
 
 class EliasFano:
@@ -73,7 +75,7 @@ def boundaries(text: bytes) -> EliasFano:
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """doc_id, h, salt, packed."""
+    """doc_id, key, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -81,22 +83,24 @@ def _packed(rows: DataFrame) -> DataFrame:
         press = zstandard.ZstdCompressor(level=3)
         for batch in sliced(batches, "text"):
             texts = pa.array([press.compress(t.encode()) for t in text_column(batch, "text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), texts], names=["doc_id", "h", "salt", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["doc_id", "key", "packed"])
 
-    return rows.select("doc_id", "h", "salt", "text").mapInArrow(run, "doc_id long, h long, salt int, packed binary")
+    return rows.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, packed binary")
 
 
 def text_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, entries), both read from one written table: members are doc_id, text_id of every row; entries are
-    text_id, n code points, special (a marker is in it), offsets (Elias-Fano), packed (zstd) of every distinct text."""
+    """(members, entries), both read from one written table: members are doc_id, key, text_id of every row; entries are
+    key, text_id, n code points, special (a marker is in it), offsets (Elias-Fano), packed (zstd) of every distinct text.
+    Both are in buckets by key, the hash that texts were shuffled by, so they are joined where they lie."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    counts = rows.groupBy("h").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    total, size = (x or 0 for x in counts.agg(F.sum("n"), F.sum("size")).first())
     part = max(total // SHARE, SHARE)
     # At most SHARE rows: hashes of texts that hold more than one in SHARE of all rows.
     hot = counts.where(F.col("n") > part).select("h", F.ceil(F.col("n") / part).cast("int").alias("salts"))
-    salted = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
-    schema = pa.schema([("text_id", pa.int64()), ("entry", pa.bool_()), ("doc_id", pa.int64()), ("n", pa.int64()), ("special", pa.bool_()), ("offsets", pa.binary()), ("packed", pa.binary())])
+    salted = rows.join(F.broadcast(hot), "h", "left")
+    salted = salted.withColumn("key", F.when(F.col("salts").isNull(), F.col("h")).otherwise(F.xxhash64("h", F.pmod(F.xxhash64("doc_id"), "salts"))))
+    schema = pa.schema([("key", pa.int64()), ("text_id", pa.int64()), ("entry", pa.bool_()), ("doc_id", pa.int64()), ("n", pa.int64()), ("special", pa.bool_()), ("offsets", pa.binary()), ("packed", pa.binary())])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -105,24 +109,25 @@ def text_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> t
         expand = zstandard.ZstdDecompressor()
         text_id, before, out, size = TaskContext.get().partitionId() << 36, None, [], 0
         for batch in batches:
-            for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if packed != before:
+            for doc, key, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, packed) != before:
                     plain = expand.decompress(packed)
-                    text_id, before, listed = text_id + 1, packed, boundaries(plain)
+                    text_id, before, listed = text_id + 1, (key, packed), boundaries(plain)
                     special = any(m.encode() in plain for m in (PREFIX, SUFFIX, MIDDLE))
                     offsets = listed.to_bytes()
-                    out.append((text_id, True, None, listed.n - 1, special, offsets, packed))
+                    out.append((key, text_id, True, None, listed.n - 1, special, offsets, packed))
                     size += len(packed) + len(offsets)
-                out.append((text_id, False, doc, None, None, None, None))
+                out.append((key, text_id, False, doc, None, None, None, None))
                 if size > OUT_BYTES or len(out) > 10000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                     out, size = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    dealt = _packed(salted).repartition("h", "salt").sortWithinPartitions("h", "packed").select("doc_id", "packed")
-    table = written(dealt.mapInArrow(group, "text_id long, entry boolean, doc_id long, n long, special boolean, offsets binary, packed binary"), "texts")
-    return table.where("not entry").select("doc_id", "text_id"), table.where("entry").select("text_id", "n", "special", "offsets", "packed")
+    number = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    dealt = _packed(salted).repartition(number, "key").sortWithinPartitions("key", "packed")
+    table = bucketed(dealt.mapInArrow(group, "key long, text_id long, entry boolean, doc_id long, n long, special boolean, offsets binary, packed binary"), "texts", ["key"], number)
+    return table.where("not entry").select("doc_id", "key", "text_id"), table.where("entry").select("key", "text_id", "n", "special", "offsets", "packed")
 
 
 def seeds(doc_id: Column, seed: str) -> list[Column]:
@@ -136,7 +141,9 @@ def fill_in_middle(docs: DataFrame, seed: str = "1", kept_plain: int = 10, suffi
     they are; of the others about ``suffix_first`` of a hundred have their suffix first (form spm, else psm)."""
     members, entries = text_index(docs, doc_id, text)
     h1, h2, h3, h4 = seeds(F.col("doc_id"), seed)
-    rows = members.select("doc_id", "text_id", h1.alias("h1"), h2.alias("h2"), (h3 % 100 >= 100 - kept_plain).alias("stays"), (h4 % 100 < suffix_first).alias("swaps")).join(entries, "text_id")
+    # Joined on the key alone, by which the buckets are; of texts with one key, the condition finds the right one.
+    same = F.col("text_id").between(F.col("entry_id"), F.col("entry_id"))
+    rows = members.select("doc_id", "key", "text_id", h1.alias("h1"), h2.alias("h2"), (h3 % 100 >= 100 - kept_plain).alias("stays"), (h4 % 100 < suffix_first).alias("swaps")).join(entries.withColumnsRenamed({"text_id": "entry_id", "key": "entry_key"}), (F.col("key") == F.col("entry_key")) & same)
     form = F.when((F.col("n") == 0) | F.col("special") | F.col("stays"), "plain").when(F.col("swaps"), "spm").otherwise("psm")
     a, b = F.col("h1") % (F.col("n") + 1), F.col("h2") % (F.col("n") + 1)
     asked = rows.select("doc_id", "n", form.alias("form"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), "offsets", "packed")
