@@ -259,8 +259,11 @@ def in_batches(rows: DataFrame, order: list[str], size: int, failing: Column) ->
     return rows.withColumn("outcome", F.when(failed, "failed").otherwise("success"))
 
 
-def attempted(rows: DataFrame, f, schema: str) -> DataFrame:
-    """``f`` on every row (a dict) where the rows lie; what it raises becomes the row's ``error``, and no other row fails."""
+def attempted(rows: DataFrame, f, schema: str, at_once: int = 1) -> DataFrame:
+    """``f`` on every row (a dict) where the rows lie; what it raises becomes the row's ``error``, and no other row fails.
+    A task has up to ``at_once`` calls running, and gives results in the order of its rows."""
+    from concurrent.futures import ThreadPoolExecutor
+
     import pandas as pd
 
     names = [part.split()[0] for part in schema.split(",")]
@@ -273,7 +276,13 @@ def attempted(rows: DataFrame, f, schema: str) -> DataFrame:
 
     columns = [c for c in rows.columns if c not in [*names, "error"]]
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields if x.name in columns)
-    return rows.select(columns).mapInPandas(lambda parts: (pd.DataFrame([one(r) for r in p.to_dict("records")], columns=[*columns, *names, "error"]) for p in parts), f"{fields}, {schema}, error string")
+
+    def run(parts):
+        with ThreadPoolExecutor(at_once) as pool:
+            for p in parts:
+                yield pd.DataFrame(pool.map(one, p.to_dict("records")), columns=[*columns, *names, "error"])
+
+    return rows.select(columns).mapInPandas(run, f"{fields}, {schema}, error string")
 
 
 def all_required(columns: list[str]) -> Column:
