@@ -44,9 +44,10 @@ def page(df: DataFrame, order: list[Column], skip: int = 0, take: int = DEFAULT_
     return df.orderBy(*order).offset(max(0, skip)).limit(max(0, min(take, MOST_ROWS)))
 
 
-def envelope(df: DataFrame, skip: int = 0, take: int = DEFAULT_ROWS) -> DataFrame:
-    """total, skip, take, has_more of a search as one row; the cap on ``take`` counts."""
-    took = max(0, min(take, MOST_ROWS))
+def envelope(df: DataFrame, skip: int = 0, take: int = DEFAULT_ROWS, capped: bool = True) -> DataFrame:
+    """total, skip, take, has_more of a search as one row; the cap on ``take`` counts, unless ``take`` is to count as asked
+    for (``capped`` is false)."""
+    took = max(0, min(take, MOST_ROWS) if capped else take)
     return df.agg(F.count("*").alias("total")).select("total", F.lit(skip).alias("skip"), F.lit(took).alias("take"), (F.lit(skip + took) < F.col("total")).alias("has_more"))
 
 
