@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators import dialects, html
+from marlstone.operators.jsonclean import without_empty_members
 from marlstone.plans.catalog import _t, query
 
 JP = {
@@ -125,3 +126,38 @@ def without_empty(spark, sf_dir):
 def expansion_links(spark, sf_dir):
     """Codes that a page's links and checkboxes offer, as rows."""
     return html.offered(_t(spark, sf_dir, "pages"), "page_id", "html", r'href="/([^"]*)"').groupBy("page_id").agg(F.count("*").alias("n_links"))
+
+
+#: A nested record in either dialect: what a part lacks is empty in it, at three depths and in a list. The sign ' is a ".
+_NESTED = "{'name': '<name>', 'size': <n>, 'tags': <tags>, 'inner': {'a': '<brand>', 'b': null, 'deep': {'c': [], 'z': 0}}, 'list': [{'a': '', 'b': <n>}, ''], 'odd': ':null,', 'flag': false}"
+
+
+def _nested_record() -> F.Column:
+    out = F.lit(_NESTED.replace("'", '"'))
+    n = F.col("p_partkey") % 3
+    for name, value in {"<name>": F.col("p_name"), "<n>": n.cast("string"), "<tags>": F.when(n == 1, '["x"]').otherwise("[]"), "<brand>": F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("")}.items():
+        out = F.replace(out, F.lit(name), value)
+    return out
+
+
+def _tidy(body: str) -> str:
+    """SQL for what must be left of it: between < and > stand expressions, ' is a quote."""
+    out = []
+    for i, piece in enumerate(body.split("<")):
+        expression, rest = ("", piece) if i == 0 else piece.split(">", 1)
+        out += ([f"({expression})"] if expression else []) + ["'" + rest.replace("'", '"') + "'"]
+    return " || ".join(out)
+
+
+_TAGS = "<case when p_partkey % 3 = 1 then ',\"tags\":[\"x\"]' else '' end>"
+_BRAND = "<case when p_partkey % 2 = 0 then '\"a\":\"' || p_brand || '\",' else '' end>"
+_SIZE = "<case p_partkey % 3 when 0 then '' else ',\"size\":' || p_partkey % 3 end>"
+_LEFT_JP = f"{{'name':'<p_name>','size':<p_partkey % 3>{_TAGS},'inner':{{{_BRAND}'deep':{{'z':0}}}},'list':[{{'b':<p_partkey % 3>}},''],'odd':':null,','flag':false}}"
+_LEFT_ASIA = f"{{'name':'<p_name>'{_SIZE}{_TAGS},'inner':{{{_BRAND}'deep':{{}}}},'list':[{{'a':'','b':<p_partkey % 3>}},''],'odd':':null,'}}"
+
+
+@query(f"select p_partkey, {_tidy(_LEFT_JP)} as jp, {_tidy(_LEFT_ASIA)} as asia from part")
+def nested_without_empty(spark, sf_dir):
+    """Nested records without empty members, in the way of either dialect."""
+    rows = _t(spark, sf_dir, "part").select("p_partkey", _nested_record().alias("j"))
+    return rows.select("p_partkey", without_empty_members(F.col("j"), "jp").alias("jp"), without_empty_members(F.col("j"), "asia").alias("asia"))
