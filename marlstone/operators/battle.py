@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.replay import BOARD, LOOKS, REPLAYED, SIDE, Replay
+
 # Single-word names that are played as trainers.
 TRAINERS = [
     "Dawn", "Hilda", "Iono", "Arven", "Artazon", "Nest Ball", "Ultra Ball", "Rare Candy", "Energy Switch", "Air Balloon", "Buddy-Buddy Poffin", "Battle Cage", "Explorer's Guidance", "Boss's Orders",
@@ -178,79 +180,11 @@ def boards(actions: DataFrame) -> DataFrame:
     import pandas as pd
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        sides = {p: {"deck": 60, "prizes": 6, "hand": [], "active": None, "bench": [], "n_discard": 0} for p in ("player1", "player2")}
-        stadium, acts, out = None, rows.to_dict("records"), []
-
-        def unit(side, name):
-            return next((u for u in [side["active"], *side["bench"]] if u and u["name"] == name), None)
-
-        def promote(player, at):
-            """The benched unit that the player's next attack or ability names, else the first on the bench."""
-            side = sides[player]
-            if side["bench"]:
-                later = (x["card"] for x in acts[at + 1 : at + 5] if x["player"] == player and x["type"] in ("ATTACK", "ABILITY"))
-                chosen = next((u for name in later for u in side["bench"] if u["name"] == name), side["bench"][0])
-                side["bench"].remove(chosen)
-                side["active"] = chosen
-
-        def drawn(side, a, unknown):
-            names = a["names"] if a["names"] is not None else []
-            side["hand"] += list(names) if len(names) else [unknown] * int(a["count"])
-
-        for at, a in enumerate(acts):
-            own, other = sides[a["player"]], sides["player2" if a["player"] == "player1" else "player1"]
-            kind, gone = a["type"], []
-            if kind in ("PLAY_POKEMON", "ATTACH_ENERGY", "ATTACH_TOOL", "EVOLVE", "PLAY_TRAINER", "DISCARD"):
-                own["hand"] = own["hand"][:-1]
-            if kind == "DRAW":
-                drawn(own, a, "Card")
-                own["deck"] = max(0, own["deck"] - int(a["count"]))
-            elif kind == "PRIZE":
-                own["prizes"] = max(0, own["prizes"] - int(a["count"]))
-                drawn(own, a, "Prize Card")
-            elif kind == "PLAY_POKEMON":
-                new = {"name": a["card"], "hp": 100, "counters": 0.0, "attached": []}
-                if a["position"] == "active":
-                    own["active"] = new
-                else:
-                    own["bench"] = [*own["bench"], new]
-            elif kind in ("ATTACH_ENERGY", "ATTACH_TOOL") and (u := unit(own, a["target"])):
-                u["attached"].append(a["card"])
-            elif kind == "EVOLVE" and (u := unit(own, a["target"])):
-                u["name"] = a["card"]
-            elif kind == "ATTACK" and (u := unit(other, a["target"])) and a["damage"] and not pd.isna(a["damage"]):
-                u["counters"] += a["damage"] / 10
-            elif kind == "KNOCKOUT" and (u := unit(own, a["card"])):
-                gone = [u["name"], *u["attached"]]
-                if u is own["active"]:
-                    own["active"] = None
-                    promote(a["player"], at)
-                else:
-                    own["bench"].remove(u)
-            elif kind == "RETREAT":
-                if own["active"]:
-                    own["bench"].append(own["active"])
-                    own["active"] = None
-                promote(a["player"], at)
-            elif kind in ("PLAY_TRAINER", "DISCARD"):
-                gone = [a["card"]]
-                if kind == "PLAY_TRAINER" and "Stadium" in a["details"]:
-                    stadium = a["card"]
-            own["n_discard"] += len(gone)
-            row = {"battle_id": a["battle_id"], "step": at, "n": len(acts), "seq": a["seq"], "turn": a["turn"], "player": a["player"], "stadium": stadium}
-            for n, s in (("p1", sides["player1"]), ("p2", sides["player2"])):
-                active = s["active"] or {"name": None, "hp": None, "counters": 0.0}
-                row |= {f"{n}_deck": s["deck"], f"{n}_prizes": s["prizes"], f"{n}_hand": list(s["hand"]), f"{n}_active": active["name"], f"{n}_hp": active["hp"], f"{n}_damage": active["counters"]}
-                row |= {f"{n}_bench": [u["name"] for u in s["bench"]], f"{n}_n_discard": s["n_discard"], f"{n}_discarded": gone if s is own else []}
-            out.append(row)
-        return pd.DataFrame(out)
+        acts, replay = rows.sort_values("seq").to_dict("records"), Replay()
+        return pd.DataFrame([{"battle_id": a["battle_id"], "n": len(acts), **replay.apply(a, acts[at + 1 : at + 1 + LOOKS])} for at, a in enumerate(acts)])
 
     kind = actions.schema["battle_id"].dataType.simpleString()
-    side = "{0}_deck int, {0}_prizes int, {0}_hand array<string>, {0}_active string, {0}_hp double, {0}_damage double, {0}_bench array<string>, {0}_n_discard int, {0}_discarded array<string>"
-    schema = f"battle_id {kind}, step int, n int, seq int, turn long, player string, stadium string, " + ", ".join(side.format(n) for n in ("p1", "p2"))
-    columns = ["battle_id", "seq", "turn", "player", "type", "card", "target", "position", "damage", "count", "names", "details"]
-    return actions.select(columns).groupBy("battle_id").applyInPandas(fold, schema)
+    return actions.select("battle_id", *REPLAYED).groupBy("battle_id").applyInPandas(fold, f"battle_id {kind}, n int, {BOARD}").select("battle_id", "step", "n", "seq", "turn", "player", "stadium", *[f"{p}_{c}" for p in ("p1", "p2") for c in SIDE])
 
 
 def state_at(boards: DataFrame, step: int) -> DataFrame:
