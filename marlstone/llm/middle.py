@@ -29,6 +29,8 @@ from marlstone.llm.shared import SHARE, bucketed
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Bytes of output that a task holds before it hands them on.
 OUT_BYTES = 4 << 20
+#: How hard texts are packed: they are moved once and stored once.
+LEVEL = 9
 #: Bytes of text that a bucket is to hold.
 BUCKET_BYTES = 256 << 20
 
@@ -80,7 +82,7 @@ def _packed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=LEVEL)
         for batch in sliced(batches, "text"):
             texts = pa.array([press.compress(t.encode()) for t in text_column(batch, "text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["doc_id", "key", "packed"])
@@ -90,7 +92,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 
 def text_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members, entries), both read from one written table: members are doc_id, key, text_id of every row; entries are
-    key, text_id, n code points, special (a marker is in it), offsets (Elias-Fano), packed (zstd) of every distinct text.
+    key, text_id, n code points, special (a marker is in it), offsets (Elias-Fano) and packed (both zstd) of every distinct text.
     Both are in buckets by key, the hash that texts were shuffled by, so they are joined where they lie."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     counts = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
@@ -106,7 +108,7 @@ def text_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> t
         import zstandard
         from pyspark import TaskContext
 
-        expand = zstandard.ZstdDecompressor()
+        expand, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=LEVEL)
         text_id, before, out, size = TaskContext.get().partitionId() << 36, None, [], 0
         for batch in batches:
             for doc, key, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -114,7 +116,7 @@ def text_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> t
                     plain = expand.decompress(packed)
                     text_id, before, listed = text_id + 1, (key, packed), boundaries(plain)
                     special = any(m.encode() in plain for m in (PREFIX, SUFFIX, MIDDLE))
-                    offsets = listed.to_bytes()
+                    offsets = press.compress(listed.to_bytes())
                     out.append((key, text_id, True, None, listed.n - 1, special, offsets, packed))
                     size += len(packed) + len(offsets)
                 out.append((key, text_id, False, doc, None, None, None, None))
@@ -161,7 +163,7 @@ def fill_in_middle(docs: DataFrame, seed: str = "1", kept_plain: int = 10, suffi
                 if kind == "plain":
                     out.append((doc, n, kind, None, None, plain.decode()))
                 else:
-                    listed = EliasFano.from_bytes(offsets)
+                    listed = EliasFano.from_bytes(expand.decompress(offsets))
                     i, j = listed.select(lo), listed.select(hi)
                     before, within, after = plain[:i], plain[i:j], plain[j:]
                     made = (s, after, p, before, m, within) if kind == "spm" else (p, before, s, after, m, within)
