@@ -1,8 +1,8 @@
 """Card records from pages of three regional sites, as expressions over the page's text.
 
 A dialect is a set of columns: names, numbers, types and lists are cut out by patterns on the JVM side, without a parser.
-Elements are found by tag and class; an element ends at the first end tag of its name, so a field that holds an element of
-its own kind is cut there.
+Elements are found by tag and class. Tags of elements that may lie in their own kind are numbered first by how deep they do,
+so an element ends at the end tag of its number, whatever lies in it; others end at the first end tag of their name.
 """
 
 from __future__ import annotations
@@ -54,11 +54,44 @@ def _class(name: str) -> str:
     return rf'class\s*=\s*["\'][^"\']*(?<![\w-]){name}(?![\w-])[^"\']*["\']'
 
 
+#: Elements that may hold their own kind.
+NESTING = ("div", "span", "section", "table", "td", "th")
+
+
+def numbered(page: Column) -> Column:
+    """The page without comments and scripts, with each tag of a nesting element as ``<div~n`` or ``</div~n``: n counts the
+    elements of its kind that are open there, with its own. Running counts over the page's tags give it."""
+    bare = F.regexp_replace(page, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    pattern = rf"(?i)</?(?:{'|'.join(NESTING)})(?=[\s>/])"
+    tags = F.transform(F.regexp_extract_all(bare, F.lit(pattern), F.lit(0)), lambda t: F.lower(t))
+    start = F.struct(F.array().cast("array<int>").alias("numbers"), *[F.lit(0).alias(t) for t in NESTING])
+
+    def step(acc: Column, tag: Column) -> Column:
+        number, open_now = F.lit(None).cast("int"), []
+        for t in NESTING:
+            begins, ends = tag == f"<{t}", tag == f"</{t}"
+            number = F.when(begins, acc[t] + 1).when(ends, acc[t]).otherwise(number)
+            open_now.append(F.greatest(F.lit(0), acc[t] + F.when(begins, 1).when(ends, -1).otherwise(0)).alias(t))
+        return F.struct(F.concat(acc["numbers"], F.array(number)).alias("numbers"), *open_now)
+
+    marks = F.zip_with(tags, F.aggregate(tags, start, step)["numbers"], lambda t, n: F.concat(t, F.lit("~"), n.cast("string")))
+    return F.array_join(F.zip_with(F.split(bare, pattern), marks, lambda p, m: F.concat(F.coalesce(p, F.lit("")), F.coalesce(m, F.lit("")))), "")
+
+
+def _element(tag: str, marked: str, group: int = 1) -> str:
+    """A pattern of an element with its inside; a nesting one's number is caught as ``group``, and its inside as the next."""
+    if tag in NESTING:
+        return rf"<{tag}~(\d+){marked}>(.*?)</{tag}~\{group}\s*>"
+    return rf"<{tag}{marked}>(.*?)</{tag}\s*>"
+
+
+_ANY = r"(?:\s[^>]*)?"
+
+
 def inner(page: Column, tag: str, cls: str | None = None) -> Column:
     """The inside of the first element of this tag and class, null without one."""
-    marked = rf"[^>]*{_class(cls)}[^>]*" if cls else r"(?:\s[^>]*)?"
-    pattern = rf"(?is)<{tag}{marked}>(.*?)</{tag}\s*>"
-    return F.when(page.rlike(pattern), F.regexp_extract(page, pattern, 1))
+    pattern = "(?is)" + _element(tag, rf"[^>]*{_class(cls)}[^>]*" if cls else _ANY)
+    return F.when(page.rlike(pattern), F.regexp_extract(page, pattern, 2 if tag in NESTING else 1))
 
 
 def every(page: Column, pattern: str, group: int = 1) -> Column:
@@ -120,11 +153,11 @@ def section(page: Column, title: str) -> Column:
 
 def cells(page: Column) -> Column:
     """Cells of the first table."""
-    return every(inner(page, "table"), r"(?is)<td(?:\s[^>]*)?>(.*?)</td\s*>")
+    return every(inner(page, "table"), "(?is)" + _element("td", _ANY), 2)
 
 
 def table_headers(page: Column) -> Column:
-    return F.transform(every(inner(page, "table"), r"(?is)<th(?:\s[^>]*)?>(.*?)</th\s*>"), text_of)
+    return F.transform(every(inner(page, "table"), "(?is)" + _element("th", _ANY), 2), text_of)
 
 
 def supertype(page: Column, name: Column, energy: Column, moves: list[str]) -> Column:
@@ -174,8 +207,9 @@ def effect(page: Column, sections: list[str], words: list[str], skip: Callable[[
 
 def jp_moves(page: Column, title: str) -> Column:
     """name, cost, damage, text of the moves in a section."""
-    blocks = every(section(page, title), r"(?is)(<h4(?:\s[^>]*)?>.*?</h4\s*>\s*(?:<(?:p|div)(?:\s[^>]*)?>.*?</(?:p|div)\s*>)?)")
-    damage = r'(?is)<span[^>]*class\s*=\s*["\'][^"\']*Text-fjalla[^"\']*["\'][^>]*>(.*?)</span\s*>'
+    below = rf"(?:{_element('p', _ANY)}|{_element('div', _ANY, 3)})"
+    blocks = every(section(page, title), rf"(?is)(<h4(?:\s[^>]*)?>.*?</h4\s*>\s*{below}?)")
+    damage = "(?is)" + _element("span", r"""[^>]*class\s*=\s*["'][^"']*Text-fjalla[^"']*["'][^>]*""")
     head = lambda b: inner(b, "h4")
     cost = lambda b: F.array_compact(F.transform(icons(head(b)), lambda k: F.element_at(lit_map(JP_SYMBOLS), k)))
     return F.transform(
@@ -183,14 +217,15 @@ def jp_moves(page: Column, title: str) -> Column:
         lambda b: F.struct(
             text_of(F.regexp_replace(head(b), damage, "")).alias("name"),
             F.when(F.size(cost(b)) > 0, cost(b)).alias("cost"),
-            told(F.nullif(F.regexp_extract(head(b), damage, 1), F.lit(""))).alias("damage"),
-            told(F.nullif(F.regexp_extract(b, r"(?is)</h4\s*>\s*<(?:p|div)(?:\s[^>]*)?>(.*)</(?:p|div)\s*>", 1), F.lit(""))).alias("effect"),
+            told(F.nullif(F.regexp_extract(head(b), damage, 2), F.lit(""))).alias("damage"),
+            told(F.nullif(F.regexp_extract(b, r"(?is)</h4\s*>\s*<(?:p|div~\d+)(?:\s[^>]*)?>(.*)</(?:p|div~\d+)\s*>", 1), F.lit(""))).alias("effect"),
         ),
     )
 
 
 def japanese(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Card records of Japanese pages with a name; ``url`` gives the id."""
+    pages = pages.withColumn(html, numbered(F.col(html)))
     page = F.col(html)
     name = text_of(inner(page, "h1"))
     rows = pages.where(inner(page, "h1").isNotNull())
@@ -199,7 +234,7 @@ def japanese(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
     rows = rows.select("*", name.alias("name"), web_id.alias("webCardId"), kind.alias("supertype"))
     own = F.col("supertype") == "POKEMON"
     only = lambda c: F.when(own, c)
-    bare = F.regexp_replace(page, r"(?is)<table\b.*?</table\s*>", "")
+    bare = F.regexp_replace(page, r"(?is)<table~(\d+)\b.*?</table~\1\s*>", "")
     top = inner(page, "div", "td-r")
     attacks, abilities = only(jp_moves(page, "ワザ")), only(jp_moves(page, "特性"))
     weak, resists, retreats = (F.get(cells(page), F.lit(i)) for i in range(3))
@@ -209,7 +244,7 @@ def japanese(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
     rarity = F.coalesce(F.element_at(lit_map(RARITY_FILES), file), F.when((part != "") & ~part.rlike(r"^\d+$"), F.upper(part)))
     code = F.coalesce(F.nullif(F.trim(F.regexp_extract(page, rf'(?is)<img\b(?=[^>]*{_class("img-regulation")})[^>]*\balt\s*=\s*["\']([^"\']*)', 1)), F.lit("")), first(page, r'(?is)<a\b[^>]*\bhref\s*=\s*["\']/ex/([^/"\']+)/'))
     image = first(page, r'(?is)<img\b[^>]*\bsrc\s*=\s*["\']([^"\']*/card_images/large/[^"\']*)')
-    links = every(F.regexp_extract(section(page, "進化"), r'(?is)^\s*((?:<div[^>]*evolution[^>]*>.*?</div\s*>\s*)*)', 1), r"(?is)<a\b[^>]*>(.*?)</a\s*>")
+    links = every(F.regexp_extract(section(page, "進化"), r"(?is)^\s*((?:<div~(\d+)[^>]*evolution[^>]*>.*?</div~\2\s*>\s*)*)", 1), r"(?is)<a\b[^>]*>(.*?)</a\s*>")
     evolves = F.filter(F.transform(links, text_of), lambda x: F.length(x) > 1)
     titles = headings(page)
     subtype = (
@@ -257,7 +292,7 @@ def japanese(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
 
 def skills(page: Column) -> Column:
     """name, cost, damage, effect of every skill on the page."""
-    blocks = every(F.regexp_extract(page, rf"(?is)<div[^>]*{_class('skillInformation')}[^>]*>(.*)", 1), rf"(?is)<div[^>]*{_class('skill')}[^>]*>(.*?)(?=<div[^>]*{_class('skill')}|</div\s*>)")
+    blocks = every(F.regexp_extract(page, rf"(?is)<div[^>]*{_class('skillInformation')}[^>]*>(.*)", 1), "(?is)" + _element("div", rf"[^>]*{_class('skill')}[^>]*"), 2)
     named = F.filter(blocks, lambda b: inner(b, "span", "skillName").isNotNull())
     cost = lambda b: F.array_compact(F.transform(sources(inner(b, "span", "skillCost")), image_symbol))
     return F.transform(
@@ -278,6 +313,7 @@ def asian(pages: DataFrame, site: str, html: str = "html", url: str = "url") ->
     all skills without damage for abilities. Empty values and zeros become null.
     """
     hk = site == "hk"
+    pages = pages.withColumn(html, numbered(F.col(html)))
     page = F.col(html)
     marker = told(inner(inner(page, "h1"), "span", "evolveMarker"))
     raw = text_of(inner(page, "h1"))
@@ -306,7 +342,7 @@ def asian(pages: DataFrame, site: str, html: str = "html", url: str = "url") ->
     number = F.coalesce(first(image, r"en(\d+)\.png" if not hk else r"(?:hk|default)(\d+)\.png"), first(F.col(url), r"/(?:detail|card)/(\d+)")).try_cast("int").cast("string")
     rarity_file = F.regexp_extract(page, r'(?is)<img\b[^>]*\bsrc\s*=\s*["\'][^"\']*/rarity/(?:[^"\']*/)?ic_rare_([^"\'/?.]+)', 1)
     header = "Rarity|稀有度" if hk else "Rarity"
-    rarity = F.coalesce(F.upper(F.nullif(rarity_file, F.lit(""))), F.upper(told(inner(page, "span", "rarity"))), F.upper(told(F.nullif(F.regexp_extract(page, rf"(?is)<th(?:\s[^>]*)?>[^<]*(?:{header})[^<]*</th\s*>\s*<td(?:\s[^>]*)?>(.*?)</td", 1), F.lit("")))))
+    rarity = F.coalesce(F.upper(F.nullif(rarity_file, F.lit(""))), F.upper(told(inner(page, "span", "rarity"))), F.upper(told(F.nullif(F.regexp_extract(page, rf"(?is)<th~\d+{_ANY}>[^<]*(?:{header})[^<]*</th~\d+\s*>\s*{_element('td', _ANY)}", 2), F.lit("")))))
     symbol = F.regexp_extract(inner(page, "span", "expansionSymbol"), r"expansion_mark_([A-Za-z0-9]+)\.png", 1)
     logo = F.trim(F.regexp_extract(page, rf'(?is)<img\b(?=[^>]*{_class("img-regulation")})[^>]*\balt\s*=\s*["\']([^"\']*)', 1))
     column = F.regexp_extract(inner(page, "section", "expansionColumn"), r'(?is)<img\b[^>]*\bsrc\s*=\s*["\'](?:[^"\']*/)?([A-Za-z0-9]+?)(?:_exp)?\.png', 1)
@@ -314,9 +350,9 @@ def asian(pages: DataFrame, site: str, html: str = "html", url: str = "url") ->
     mark = F.coalesce(*[F.when(t.rlike(r"^\p{L}$"), F.upper(t)) for t in (told(inner(page, "span", c)) for c in ("alpha", "regulationMark"))])
     stage = F.coalesce(F.element_at(lit_map(MARKER_STAGES), marker), *[F.when(F.contains(marker, F.lit(w)), v) for w, v in MARKER_WORDS.items()], F.lit("BASIC"))
     main = F.get(sources(inner(page, "p", "mainInfomation")), F.lit(0))
-    bare = F.regexp_replace(page, r"(?is)<table\b.*?</table\s*>", "")
-    weak = F.regexp_extract(inner(page, "table"), rf"(?is)<td[^>]*{_class('weakpoint')}[^>]*>(.*?)</td", 1)
-    escape = F.regexp_extract(inner(page, "table"), rf"(?is)<td[^>]*{_class('escape')}[^>]*>(.*?)</td", 1)
+    bare = F.regexp_replace(page, r"(?is)<table~(\d+)\b.*?</table~\1\s*>", "")
+    weak = F.regexp_extract(inner(page, "table"), "(?is)" + _element("td", rf"[^>]*{_class('weakpoint')}[^>]*"), 2)
+    escape = F.regexp_extract(inner(page, "table"), "(?is)" + _element("td", rf"[^>]*{_class('escape')}[^>]*"), 2)
     upper = F.upper("name")
     if hk:
         boxes = [(holds_any(upper, ["EX", "ＥＸ"]), "EX"), (holds_any(upper, ["GX", "ＧＸ"]), "GX"), (holds_any(upper, ["V-UNION"]), "V_UNION"), (holds_any(upper, ["VSTAR", "ＶＳＴＡＲ"]), "VSTAR"), (holds_any(upper, ["VMAX", "ＶＭＡＸ"]), "VMAX"), (upper.rlike("( V|Ｖ)$"), "V"), (holds_any(upper, ["RADIANT", "光輝"]), "RADIANT"), (holds_any(upper, ["ULTRA BEAST", "異獸"]), "ULTRA_BEAST")]
@@ -332,7 +368,7 @@ def asian(pages: DataFrame, site: str, html: str = "html", url: str = "url") ->
     subtype = F.when(own, F.when(F.coalesce(shielded, F.lit(False)) & F.lit(hk), "TERA")).when(F.col("supertype") == "ENERGY", F.when(basic, "BASIC_ENERGY").otherwise("SPECIAL_ENERGY")).otherwise(F.coalesce(*kinds, F.lit("ITEM")))
     measured = lambda t: F.lower(t).rlike("身高:|體重:|height:|weight:") | t.rlike("^(身高|體重|Height|Weight)")
     text = effect(page, HK_SECTIONS, HK_WORDS, measured, F.get("_skills", F.lit(0))["effect"]) if hk else effect(page, [], EN_WORDS, lambda t: F.lower(t).rlike("height:|weight:"))
-    extra = F.nullif(F.regexp_extract(page, rf"(?is)<div[^>]*{_class('extraInformation')}[^>]*>(.*?)</div", 1), F.lit(""))
+    extra = inner(page, "div", "extraInformation")
     flavor = F.nullif(F.concat_ws(" ", told(inner(extra, "p", "size")), told(inner(extra, "p", "discription"))), F.lit(""))
     evolves = F.array_compact(F.transform(every(inner(page, "div", "evolution"), r"(?is)<a\b[^>]*>(.*?)</a\s*>"), told))
     folder = F.when(english, "hk-en").otherwise("hk")
