@@ -3,11 +3,11 @@
 Two permutations give all coordinates of a signature: the first deals shingles to places, the second ranks the places, and
 coordinate k is the least rank of a document's places when all are shifted by k. So a shingle's ranks for all coordinates
 are one stretch of the second permutation, and a signature is the minimum of such stretches. Coordinates are cut into
-bands; documents that share a band are candidates, of which those whose signatures agree in too few coordinates are left
-out, and the others are compared on their whole sets.
+bands; documents that share a band are candidates and are compared on their whole sets, unless wide parity sketches, with
+16 bits or more for each shingle, show already that they differ in too many: they never show too much.
 
-Bands and the least agreement are set by the similarity so that a link is missed with a probability of about ``MISSED``:
-the longest bands are taken of which enough fit ``COORDINATES``. Nothing is capped: the documents of a band are compared
+Bands are set by the similarity so that a link is missed with a probability of at most about ``MISSED``: the longest bands
+are taken of which enough fit ``COORDINATES``. Nothing is capped: the documents of a band are compared
 with its smallest and largest one and, as far as they are still apart, with each other (see ``parity``, whose groups,
 components and verification these are). Places are ``PLACES`` in number; shingles that fall to one make sets no less alike.
 
@@ -65,16 +65,14 @@ def signatures(flat: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
 
 
 class Circulant(parity.Parity):
-    """Candidates by bands of circulant signatures, bounded by the number of coordinates in which these agree."""
+    """Candidates by bands of circulant signatures, bounded by parity sketches that are wide enough to be near exact."""
 
-    counted = False
+    counted, bits_each = False, 16
 
     def __init__(self, percent: int):
         super().__init__(percent)
         self.bands, self.width = layout(percent)
-        self.size, p = self.bands * self.width, percent / 100
-        #: Signatures of linked sets agree in fewer coordinates with a probability far below ``MISSED``.
-        self.least = max(0, math.floor(self.size * p - 6.5 * math.sqrt(self.size * p * (1 - p))))
+        self.size = self.bands * self.width
 
     def keys(self, flat: np.ndarray, ends: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = np.flatnonzero(np.diff(ends, prepend=0))
@@ -88,20 +86,6 @@ class Circulant(parity.Parity):
         counts[own] = self.bands
         return keys.ravel(), counts
 
-    def sketches(self, flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        """The last eight bits of each coordinate."""
-        return [row.tobytes() for row in signatures(flat, ends, self.size).astype(np.uint8)]
-
-    def pairs(self, n: list[int], m: list[int], left: list[bytes], right: list[bytes]) -> list[bool]:
-        a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, self.size) for x in (left, right))
-        return ((a == b).sum(axis=1) >= self.least).tolist()
-
-    def stacked(self, sketches: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, self.size)
-
-    def one_to_many(self, n: int, m: np.ndarray, one: np.ndarray, many: np.ndarray) -> np.ndarray:
-        return (many == one).sum(axis=1) >= self.least
-
 
 def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document: of the documents that links connect the first is kept."""

@@ -16,8 +16,9 @@ their small blocks as well, with all shingles in the fingerprint. Which shingles
 each task and adding up; it decides speed, never results.
 
 Only components are wanted, so a group of documents with a common block is not paired out: everyone is compared with
-the group's smallest document, then, where several components seem to be left in a group, with its largest, and only
-documents that are still apart are compared with each other, by whole sketches first: those of a large group in cells that give
+the document that shares most blocks with others (of near copies, the one that they were made of), then, where several
+components are left in a group, with the first one that is apart from that, and only documents that are still apart are
+compared with each other, by whole sketches first: those of a large group in cells that give
 only the pairs that pass. A whole sketch has a bit for each hash place; longer ones are folded to the shorter's size.
 
 Defined results: null or empty text, or text without words, has the empty set and no link; a text of fewer words than a
@@ -174,8 +175,8 @@ def sets(docs: DataFrame, shingle: int, counted: bool = True) -> DataFrame:
 class Parity:
     """How candidates are found and bounded: here by blocks of parity sketches, and their Hamming distance."""
 
-    #: Whether keys need the common shingles.
-    counted = True
+    #: Whether keys need the common shingles; bits of a sketch for each shingle, about.
+    counted, bits_each = True, 1
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -187,7 +188,7 @@ class Parity:
         """A bit for each place that an odd number of shingles hash to."""
         place, out, begin = mixed(flat ^ np.uint64(0x5BD1E995)), [], 0
         for end in ends.tolist():
-            bits = min(MOST_BITS, max(LEAST_BITS, 1 << (end - begin).bit_length()))
+            bits = min(MOST_BITS, self.bits_each * max(LEAST_BITS, 1 << (end - begin).bit_length()))
             out.append(np.packbits((np.bincount((place[begin:end] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes())
             begin = end
         return out
@@ -289,13 +290,17 @@ def _within_groups(rest: DataFrame, sketched: DataFrame, percent: int, method: P
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
         own, doc, label, size = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4, 5, 6))
         bits = method.stacked([r[7] for r in rows])
-        cross, out = rows[0][1] != rows[0][2], []
-        for x in range(len(rows) - 1):
-            y = slice(x + 1, None)
-            good = method.one_to_many(size[x], size[y], bits[x], bits[y]) & (label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))
-            if cross:
-                good &= own[y] != own[x]
-            out += [(min(doc[x], d), max(doc[x], d)) for d in doc[y][good].tolist() if d != doc[x]]
+        # Most rows may be of one component already: these are compared with the others only.
+        names, which, counts = np.unique(label, return_inverse=True, return_counts=True)
+        order = np.argsort(which != counts.argmax(), kind="stable")
+        own, doc, label, size, bits = own[order], doc[order], label[order], size[order], bits[order]
+        cross, out, most = rows[0][1] != rows[0][2], [], int(counts.max())
+        for x in range(most, len(rows)):
+            for y in (slice(0, most), slice(x + 1, None)):
+                good = method.one_to_many(size[x], size[y], bits[x], bits[y]) & (label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))
+                if cross:
+                    good &= own[y] != own[x]
+                out += [(min(doc[x], d), max(doc[x], d)) for d in doc[y][good].tolist() if d != doc[x]]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,19 +364,18 @@ def linked_components(docs: DataFrame, shingle: int, percent: int, doc_id: str =
     first = F.coalesce("first", "doc_id")
     some = block_rows(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), shingle, method, hot, common)
     met = written(repeated_keys(block_rows(docs, shingle, method, hot, common), hot_keys(some, "key")), "met")
-    shared = written(met.join(copies, "doc_id", "left").select("key", first.alias("doc_id")).distinct(), "shared", (met,))
+    grouped = written(met.join(copies, "doc_id", "left").select("key", first.alias("doc_id")).distinct(), "grouped", (met,))
+    shared = written(_scored(grouped), "shared", (grouped,))
     sizes = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     texts = written(packed(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sketched = written(sketched_texts(texts, shingle, method), "bits")
 
     links = labels = None
-    for star in range(STARS):
-        now = shared if labels is None else _apart(shared, labels).drop("label")
-        ends = now.groupBy("key").agg((F.max if star else F.min)("doc_id").alias("end"))
-        pairs = now.join(ends, "key").where("doc_id <> end").select(F.least("end", "doc_id").alias("a"), F.greatest("end", "doc_id").alias("b")).distinct()
+    for star in range(1, STARS + 1):
+        pairs = _with_centres(shared, labels)
         found = verified(_alike(pairs, sketched, percent, method), texts, shingle, percent)
         links = written(found if links is None else links.unionByName(found), "found", (links,) if links is not None else ())
-        labels = written(components(links, rounds=1), "labels", (labels,) if labels is not None else ())
+        labels = written(components(links, rounds=1 if star < STARS else None), "labels", (labels,) if labels is not None else ())
     # What is left in a group with several components: documents of different components.
     rest = written(_apart(shared, labels).select("key", "doc_id", "label"), "rest")
     pairs = written(_within_groups(rest, sketched, percent, method), "pairs")
@@ -383,6 +387,27 @@ def linked_components(docs: DataFrame, shingle: int, percent: int, doc_id: str =
     return named.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
+def _scored(grouped: DataFrame) -> DataFrame:
+    """key, doc_id, score: the score of a document counts those it shares keys with, key by key. Near copies of a document
+    share more keys with it than with each other, so it has the highest score of its groups."""
+    sized = grouped.join(grouped.groupBy("key").agg(F.count("*").alias("n")), "key")
+    return sized.select("key", "doc_id").join(sized.groupBy("doc_id").agg(F.sum("n").alias("score")), "doc_id").select("key", "doc_id", "score")
+
+
+def _with_centres(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(a, b): each document with the one of the highest score in its group; once there are labels, in groups of several
+    components, those of another component with the highest of those that are apart from that one."""
+    highest = lambda what: F.max_by(what, F.struct("score", -F.col("doc_id")))
+    if labels is None:
+        met = shared.join(shared.groupBy("key").agg(highest("doc_id").alias("end")), "key").where("doc_id <> end")
+    else:
+        now = _apart(shared, labels)
+        far = now.join(now.groupBy("key").agg(highest("label").alias("centre")), "key").where("label <> centre")
+        ends = far.groupBy("key").agg(highest(F.struct("doc_id", "label")).alias("e")).select("key", F.col("e.doc_id").alias("end"), F.col("e.label").alias("end_label"))
+        met = now.join(ends, "key").where("label <> end_label")
+    return met.select(F.least("end", "doc_id").alias("a"), F.greatest("end", "doc_id").alias("b")).distinct()
+
+
 def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the groups whose documents are in several components, with the label of each."""
     named = shared.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
