@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import imports
 from marlstone.operators.records import latest, upsert
-from marlstone.sources.tables import StoredTable
+from marlstone.sources.tables import Folder, StoredTable
 
 
 def put_primary_cards(table: StoredTable, cards: DataFrame, base: int | None = None) -> int:
@@ -136,3 +136,35 @@ class Records:
         """A version whose files hold the last versions only."""
         rows = self.table.read()
         return self.table.merge(rows.select("id").distinct(), lambda old, _: self.last(old))
+
+
+# -- battles read from logs
+
+
+BATTLES = "battle_id {0}, player1 string, player2 string, winner string, turn_count int, title string, text_hash string, reader int, read_in int"
+
+
+def battle_table(spark: SparkSession, path: str, id_type: str = "string", buckets: int = 16) -> StoredTable:
+    """An empty table of what was read from logs: with the hash of the text, the reader's version, and the run."""
+    return StoredTable.create(path, spark.createDataFrame([], BATTLES.format(id_type)), ["battle_id"], buckets)
+
+
+def reread(table: StoredTable, logs: DataFrame, reader: int, text: str = "raw_log") -> int:
+    """Read the logs that are new, have another text than before, or were read by another version of the reader; the number
+    of these. All other logs are compared by hash and not read, and their rows stay as they are."""
+    from marlstone.operators import battle
+
+    hashed = logs.select("battle_id", text, F.sha2(F.coalesce(text, F.lit("")), 256).alias("text_hash"))
+    known = table.read().select("battle_id", "text_hash", F.col("reader").alias("_reader"))
+    todo = hashed.join(known.where(F.col("_reader") == reader), ["battle_id", "text_hash"], "left_anti")
+    staged = f"{table.folder.path}/changed/{uuid.uuid4().hex}"
+    todo.write.parquet(staged)
+    changed = table.spark.read.schema(hashed.schema).parquet(staged)
+    number = changed.count()
+    if number:
+        run = table.version() + 1
+        rows = battle.battles(changed, text=text).withColumns({"reader": F.lit(reader), "read_in": F.lit(run)})
+        columns = [f["name"] for f in table.manifest()["schema"]["fields"]]
+        put_rows(table, rows.select(columns), dict.fromkeys(columns, "new"))
+    Folder(table.spark, staged).remove()
+    return number

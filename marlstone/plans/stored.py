@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from marlstone.operators import imports, stored
 from marlstone.plans import etl
 from marlstone.plans.catalog import SQL, _t, query
-from marlstone.sources import files
-from marlstone.sources.tables import Conflict, StoredTable
+from marlstone.plans.battles import ACTIONS, logs
+from marlstone.sources import files, retention
+from marlstone.sources.tables import Conflict, Folder, StoredTable
 
 
 @query("""
@@ -166,3 +167,49 @@ def stored_records_compacted(spark, sf_dir):
     log = _event_records(spark, sf_dir)
     log.compact()
     return log.table.read().groupBy("stage").agg(F.count("*").alias("n"), F.countDistinct("body").alias("bodies"))
+
+
+@query(f"""{ACTIONS}, m as (select battle_id, count(*) filter (marker) as n from f group by 1)
+select battle_id, case when battle_id % 3 = 0 then 'Eve vs Bob' else 'Ann vs Bob' end as title, case when battle_id % 3 = 0 then 2 else 1 end as read_in, ceil(n / 2.0)::int as turn_count,
+  (select count(*) from m where battle_id % 3 = 0) as n_again, 0::bigint as n_third from m
+""")
+def reread_battles(spark, sf_dir):
+    """Battles of a table after every third log has changed: only these were read again, and none when nothing had changed."""
+    before = logs(spark, sf_dir)
+    after = before.withColumn("raw_log", F.when(F.col("battle_id") % 3 == 0, F.replace("raw_log", F.lit("Ann"), F.lit("Eve"))).otherwise(F.col("raw_log")))
+    table = stored.battle_table(spark, files.scratch(spark, "battles"), before.schema["battle_id"].dataType.simpleString(), 8)
+    stored.reread(table, before, 1)
+    again, third = (stored.reread(table, after, 1) for _ in range(2))
+    return table.read().select("battle_id", "title", "read_in", "turn_count", F.lit(again).cast("long").alias("n_again"), F.lit(third).cast("long").alias("n_third"))
+
+
+@query("""
+with m as (select strftime(o_orderdate, '%Y-%m') as month, count(*) as n, date_trunc('month', min(o_orderdate)) as modified from orders group by 1)
+select month, n, case when substr(month, 1, 4) = '1996' then 'archive/1996' else 'active' end as place from m where not (modified < timestamp '1995-01-01' - interval '30 days') or substr(month, 1, 4) = '1996'
+""")
+def archived_tree(spark, sf_dir):
+    """Orders in a folder for each month: one year's are moved to the archive, old ones removed, by a job that is stopped
+    half-way and finished by the next."""
+    root = files.scratch(spark, "months")
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    _t(spark, sf_dir, "orders").select(month.alias("month"), F.col("o_orderkey").cast("string").alias("value")).repartition("month").write.partitionBy("month").text(f"{root}/active")
+    names = [n.split("=")[1] for n in Folder(spark, f"{root}/active").names() if n.startswith("month=")]
+    index = spark.createDataFrame([(f"{root}/active/month={n}", n) for n in names], "path string, name string").withColumn("modified", F.to_timestamp("name", "yyyy-MM").cast("timestamp_ntz"))
+    journal = retention.Journal(spark, f"{root}/journal")
+    journal.plan(retention.archiving(index, 1996, f"{root}/archive"))
+    journal.plan(retention.removing(index, F.lit("1995-01-01").cast("timestamp_ntz"), 30))
+
+    def fails(kind: str, path: str, target: str | None) -> None:
+        if path[-1] in "05":
+            raise OSError("stopped")
+        retention.perform(kind, path, target)
+
+    try:
+        journal.finish(fails)
+    except Exception as e:
+        if "stopped" not in str(e):
+            raise
+    journal.finish()
+    lines = spark.read.option("recursiveFileLookup", True).text([f"{root}/active", f"{root}/archive"]).select(F.input_file_name().alias("file"))
+    place = F.when(F.contains("file", F.lit("/archive/")), F.concat(F.lit("archive/"), F.regexp_extract("file", "/archive/([0-9]+)/", 1))).otherwise("active")
+    return lines.select(F.regexp_extract("file", "([0-9]{4}-[0-9]{2})/[^/]*$", 1).alias("month"), place.alias("place")).groupBy("month", "place").agg(F.count("*").alias("n"))

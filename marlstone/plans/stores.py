@@ -14,40 +14,34 @@ from marlstone.sources import files
 PART = StructType([StructField("p_partkey", LongType()), StructField("p_name", StringType())])
 
 
-def _put(rows: DataFrame, root: str, name: str) -> None:
-    """One text file from the only column of the only row."""
-    rows.coalesce(1).write.mode("overwrite").text(f"{root}/{name}")
-
-
-def _array(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows as one JSON array; for fixtures of a bounded size."""
-    return rows.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(*columns)))), ","), F.lit("]")).alias("value"))
+#: Parts of each JSON file of a region, and which files hold an object or are broken.
+_FILE, _BAD = "p_partkey // 500", "p_partkey // 500 % 5 = 3"
 
 
 def _json_tree(spark: SparkSession, sf_dir: str) -> str:
-    """Two regions of JSON arrays, with a file that holds an object and one that is broken."""
-    root, part = files.scratch(spark, "tree"), _t(spark, sf_dir, "part").select("p_partkey", "p_name").where("p_partkey <= 60")
-    _put(_array(part.where("p_partkey <= 40"), ["p_partkey", "p_name"]), root, "japan")
-    _put(_array(part.where("p_partkey > 30"), ["p_partkey", "p_name"]), root, "hongkong")
-    _put(spark.range(1).select(F.lit('{"p_partkey": 1}').alias("value")), root, "hongkong/object")
-    _put(spark.range(1).select(F.lit("[{").alias("value")), root, "japan/broken")
+    """Two regions of files with a JSON array of parts each; every fifth file holds something else."""
+    root, part = files.scratch(spark, "tree"), _t(spark, sf_dir, "part").select("p_partkey", "p_name", F.floor(F.col("p_partkey") / 500).alias("file"))
+    for region, other in (("japan", 0), ("hongkong", 1)):
+        rows = part.where(F.col("p_partkey") % 3 != other).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("l"))  # a file holds 500 keys at most
+        bad = F.when(F.col("file") % 2 == 0, '{"p_partkey": 1}').otherwise("[{")
+        rows.select("file", F.when(F.col("file") % 5 == 3, bad).otherwise(F.to_json("l")).alias("value")).repartition("file").write.partitionBy("file").text(f"{root}/{region}")
     return root
 
 
-@query("select p_partkey, p_name, r as _region from part, (select unnest(['japan', 'hongkong']) as r) where p_partkey <= 60 and (r = 'japan' and p_partkey <= 40 or r = 'hongkong' and p_partkey > 30)")
+@query(f"select p_partkey, p_name, r as _region from part, (select unnest(['japan', 'hongkong']) as r) where p_partkey % 3 <> case r when 'japan' then 0 else 1 end and not ({_BAD})")
 def json_regions(spark, sf_dir):
     """Arrays of both regions' folders; files of other shapes are left out."""
     rows, _ = files.regional_arrays(spark, _json_tree(spark, sf_dir), PART, {"japan": "*.txt", "hongkong": "*.txt"})
     return rows.select("p_partkey", "p_name", "_region")
 
 
-@query("select 'hongkong' as _region, 1 as n union all select 'japan', 1")
+@query(f"select r as _region, count(distinct {_FILE}) as n from part, (select unnest(['japan', 'hongkong']) as r) where {_BAD} and p_partkey % 3 <> case r when 'japan' then 0 else 1 end group by 1")
 def json_skipped(spark, sf_dir):
     _, skipped = files.regional_arrays(spark, _json_tree(spark, sf_dir), PART, {"japan": "*.txt", "hongkong": "*.txt"})
     return skipped.groupBy("_region").agg(F.count("*").alias("n"))
 
 
-@query("select p_partkey, p_name from part where p_partkey <= 60")
+@query(f"select p_partkey, p_name from part where not ({_BAD})")
 def json_last_wins(spark, sf_dir):
     """One row for each key of all files, the last one by file and place."""
     rows = files.json_arrays(spark, _json_tree(spark, sf_dir), PART, "*.txt").where("_bad is null")
@@ -67,28 +61,29 @@ def json_lines(spark, sf_dir):
 def _cache(spark: SparkSession, sf_dir: str) -> str:
     """Pages as files: those with an even id say it inside, all are in folders named by it."""
     root = files.scratch(spark, "cache")
-    pages = _t(spark, sf_dir, "pages").where("page_id < 20").select("page_id", F.concat(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<a href='/detail/9"), F.col("page_id").cast("string"), F.lit("/'>"))).otherwise(""), F.lit("page")).alias("value"))
+    inside = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<a href='/detail/9"), F.col("page_id").cast("string"), F.lit("/'>"))).otherwise("")
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.concat(inside, "html").alias("value"))
     pages.repartition("page_id").write.partitionBy("page_id").text(root)
     return root
 
 
-@query("select case when page_id % 2 = 0 then '9' || page_id else cast(page_id as varchar) end as id from pages where page_id < 20")
+@query("select case when page_id % 2 = 0 then '9' || page_id else cast(page_id as varchar) end as id from pages")
 def cached_pages(spark, sf_dir):
     """Ids of cached pages: what the page says, else what its folder's name says."""
     found = files.html_cache(spark, _cache(spark, sf_dir), pattern="*.txt")
     return found.select(F.coalesce("id", F.regexp_extract("path", r"page_id=(\d+)", 1)).alias("id"))
 
 
-@query("select page_id as id, page_id < 20 as cached, case when page_id < 20 and page_id % 2 = 0 then 'flat' when page_id < 20 then 'index' end as place from pages where page_id < 25")
+@query("select page_id as id, page_id % 5 <> 4 as cached, case when page_id % 5 = 4 then null when page_id % 2 = 0 then 'flat' else 'index' end as place from pages")
 def cache_ladder(spark, sf_dir):
     """Ids with their page in the flat folder, else in the index, else none."""
-    ids = _t(spark, sf_dir, "pages").where("page_id < 25").select(F.col("page_id").alias("id"))
+    ids = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("id"))
     some = lambda which, text: ids.where(which).select("id", F.lit(text).alias("html"), F.lit("p").alias("path"))
-    rows, _ = files.cached_first(ids, some("id < 20 and id % 2 = 0", "flat"), some("id < 20", "index"))
+    rows, _ = files.cached_first(ids, some("id % 5 <> 4 and id % 2 = 0", "flat"), some("id % 5 <> 4", "index"))
     return rows.select("id", F.col("html").isNotNull().alias("cached"), F.col("html").alias("place"))
 
 
-@query("select 'pages' as kind, 20 as n, true as some union all select 'images', 0, false")
+@query("select 'pages' as kind, count(*)::int as n, count(*) > 0 as some from pages union all select 'images', 0, false")
 def storage_counts(spark, sf_dir):
     root = _cache(spark, sf_dir)
     index = files.file_index(spark, root)
@@ -96,7 +91,7 @@ def storage_counts(spark, sf_dir):
     return files.file_counts(index, {"pages": (folder, "txt"), "images": (folder, "png")}).select("kind", F.col("n").cast("int").alias("n"), (F.col("bytes") > 0).alias("some"))
 
 
-@query("select 20 as n_folders, 0 as n_flat")
+@query("select count(*)::int as n_folders, 0 as n_flat from pages")
 def cache_structure(spark, sf_dir):
     """Folders of a cache, and files beside them (marks of finished jobs, whose names begin with _, don't count)."""
     root = _cache(spark, sf_dir)

@@ -26,7 +26,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def json_arrays(spark: SparkSession, path: str, schema, pattern: str = "*.json") -> DataFrame:
     """Records of files that hold a JSON array each, with ``_file`` and their place ``_index`` in it. A file that holds
     something else is one row with its text in ``_bad``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     is_array = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("value")), F.lit("ARRAY<")), F.lit(False))
     rows = files.select(F.col("_metadata.file_path").alias("_file"), F.when(~is_array, F.col("value")).alias("_bad"), F.when(is_array, F.from_json("value", ArrayType(schema))).alias("_rows"))
     out = rows.select("_file", "_bad", F.posexplode_outer("_rows").alias("_index", "_row"))
@@ -53,7 +53,7 @@ def last_file_wins(df: DataFrame, key: str) -> DataFrame:
 def html_cache(spark: SparkSession, path: str, name_first: bool = False, pattern: str = "*.html") -> DataFrame:
     """id, html, path of cached pages: the id is in the first 2,000 characters (/detail/ID/), else the file's name; with
     ``name_first`` the other way round."""
-    pages = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    pages = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.html$", 1)
     inside = F.regexp_extract(F.substring("value", 1, 2000), r"/detail/(\d+)/", 1)
     ways = [F.nullif(inside, F.lit("")), F.nullif(name, F.lit(""))]
