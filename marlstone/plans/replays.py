@@ -62,3 +62,42 @@ def stream_replay_whole(spark, sf_dir):
     rows = streamed(spark, actions).select(whole.columns)
     unlike = rows.exceptAll(whole).unionByName(whole.exceptAll(rows))
     return rows.agg(F.count("*").alias("n")).crossJoin(F.broadcast(unlike.agg(F.count("*").alias("n_unlike"))))  # one row each
+
+
+def _units_sql() -> str:
+    """The units of both sides action by action, by recursion over a battle's actions."""
+    unit = lambda n, c, k: f"{{'n': {n}, 'c': {c}, 'k': {k}}}"
+    new, kind = unit("card", "0.0::double", "0"), "struct(n varchar, c double, k integer)"
+    helpers, out = [], []
+    for s in (1, 2):
+        held = f"case when type = 'RETREAT' and a{s} is not null and player = 'player{s}' then list_append(b{s}, a{s}) else b{s} end"
+        helpers += [f"coalesce(list_position(list_transform(b{s}, lambda u: u.n), x), 0) as i{s}", f"{held} as h{s}", f"list_filter(later, lambda m: list_contains(list_transform({held}, lambda u: u.n), m)) as f{s}"]
+        changed = lambda where, n, c, k, s=s: f"list_transform(b{s}, lambda u, q: case when q = i{s} then {unit(n, c, k)} else u end)"
+        mine, own = f"player = 'player{s}'", f"coalesce(a{s}.n = x, false)"
+        j = f"case when len(f{s}) > 0 then list_position(list_transform(h{s}, lambda u: u.n), f{s}[1]) else 1 end"
+        out += [
+            f"""case when {mine} then case when type = 'PLAY_POKEMON' and position = 'active' then {new} when type = 'ATTACH_ENERGY' and {own} then {unit(f'a{s}.n', f'a{s}.c', f'a{s}.k + 1')} when type = 'EVOLVE' and {own} then {unit('card', f'a{s}.c', f'a{s}.k')}
+              when type = 'RETREAT' or type = 'KNOCKOUT' and {own} then h{s}[{j}] else a{s} end when type = 'ATTACK' and {own} then {unit(f'a{s}.n', f'a{s}.c + shown_damage / 10', f'a{s}.k')} else a{s} end as a{s}""",
+            f"""case when {mine} then case when type = 'PLAY_POKEMON' and coalesce(position, '') <> 'active' then list_append(b{s}, {new}) when type = 'ATTACH_ENERGY' and not {own} and i{s} > 0 then {changed('', 'u.n', 'u.c', 'u.k + 1')}
+              when type = 'EVOLVE' and not {own} and i{s} > 0 then {changed('', 'card', 'u.c', 'u.k')} when type = 'RETREAT' or type = 'KNOCKOUT' and {own} then list_filter(h{s}, lambda u, q: q <> ({j})) when type = 'KNOCKOUT' and i{s} > 0 then list_filter(b{s}, lambda u, q: q <> i{s}) else b{s} end
+              when type = 'ATTACK' and not {own} and i{s} > 0 then {changed('', 'u.n', 'u.c + shown_damage / 10', 'u.k')} else b{s} end as b{s}""",
+            f"d{s} + case when not ({mine}) then 0 when type in ('PLAY_TRAINER', 'DISCARD') then 1 when type = 'KNOCKOUT' and {own} then 1 + a{s}.k when type = 'KNOCKOUT' and i{s} > 0 then 1 + b{s}[i{s}].k else 0 end as d{s}",
+        ]
+    ahead = ", ".join(f"case when lead(player, {n}) over w = player and lead(type, {n}) over w in ('ATTACK', 'ABILITY') then lead(card, {n}) over w end" for n in range(1, 5))
+    shown = ", ".join(f"a{s}.n as p{s}_active, coalesce(a{s}.c, 0.0) as p{s}_damage, array_to_string(list_transform(b{s}, lambda u: u.n), ',') as p{s}_bench, d{s}::int as p{s}_n_discard" for s in (1, 2))
+    return f"""{ACTIONS.replace('with e as', 'with recursive e as', 1)},
+o as (select battle_id, row_number() over w - 1 as step, player, type, card, position, shown_damage, case when type = 'KNOCKOUT' then card else target end as x, list_filter([{ahead}], lambda m: m is not null) as later from actions window w as (partition by battle_id order by seq)),
+s as (
+  select distinct battle_id, -1::bigint as step, null::{kind} as a1, []::{kind}[] as b1, 0 as d1, null::{kind} as a2, []::{kind}[] as b2, 0 as d2 from o
+  union all
+  select battle_id, step, {', '.join(out)} from (select *, {', '.join(helpers)} from (select s.* exclude (step), o.* exclude (battle_id) from s join o on o.battle_id = s.battle_id and o.step = s.step + 1))
+)
+select battle_id, step::int as step, {shown} from s where step >= 0"""
+
+
+@query(_units_sql())
+def replay_units(spark, sf_dir):
+    """The active unit, its damage, the bench and the pile of both sides after every action."""
+    rows = battle.boards(parsed(spark, sf_dir))
+    sides = [c for p in ("p1", "p2") for c in (F.col(f"{p}_active"), F.col(f"{p}_damage"), F.array_join(f"{p}_bench", ",").alias(f"{p}_bench"), F.col(f"{p}_n_discard"))]
+    return rows.select("battle_id", "step", *sides)
