@@ -91,6 +91,24 @@ def coverage(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
     return rates(joined, [by], {"covered": F.col("_has").isNotNull()}).withColumn("n_missing", F.col("n") - F.col("n_covered"))
 
 
+def missing_lists(left: DataFrame, right: DataFrame, key: str, by: str, most: int = 20) -> DataFrame:
+    """For each group of ``left``: rows, rows without a partner in ``right``, and the first ``most`` of their keys. Keys are
+    cut to so many before they are listed, so a list has a bounded size."""
+    gone = left.join(right.select(key).distinct(), key, "left_anti")
+    first = F.row_number().over(Window.partitionBy(by).orderBy(key))
+    listed = gone.withColumn("_n", first).where(F.col("_n") <= most).groupBy(by).agg(F.array_sort(F.collect_list(key)).alias("missing"))
+    counts = left.groupBy(by).agg(F.count("*").alias("n")).join(gone.groupBy(by).agg(F.count("*").alias("n_missing")), by, "left")
+    return counts.join(listed, by, "left").select(by, "n", F.coalesce("n_missing", F.lit(0)).alias("n_missing"), F.coalesce("missing", F.array().cast(f"array<{left.schema[key].dataType.simpleString()}>")).alias("missing"))
+
+
+def timing_of_successes(df: DataFrame, by: list[str], value: str, success: Column) -> DataFrame:
+    """Timing of the rows that succeeded, for every group, with the number of its rows and the share that did; a group without
+    a success has no times."""
+    counts = df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.round(100.0 * F.count_if(success) / F.count("*"), 6).alias("success_pct"))
+    good = timing(df.where(success), by, value)
+    return counts.join(good, by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def leaderboard(df: DataFrame, by: str, success: Column, seconds: Column) -> DataFrame:
     """Success percentage, mean of positive times to one decimal (half to even), and rank by (rate, time)."""
     table = df.groupBy(by).agg(
