@@ -138,13 +138,13 @@ def nearest_match(spark, sf_dir):
 
 
 @query("""
-with needles as (select item_id, lower(text) as needle from benchmark where text <> ''), words as (select distinct -c_custkey as item_id, lower(right(c_name, 2)) as needle from customer where c_custkey <= 5)
+with needles as (select item_id, lower(text) as needle from benchmark where text <> ''), words as (select -1 - n_nationkey as item_id, lower(right(n_name, 2)) as needle from nation)
 select item_id, doc_id from (select * from needles union all select * from words) join documents on contains(lower(text), needle)
 """)
 def contains_join(spark, sf_dir):
     """Documents that hold a benchmark item, or one of some short texts."""
     items = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
-    short = _t(spark, sf_dir, "customer").where("c_custkey <= 5").select((-F.col("c_custkey")).alias("item_id"), F.expr("right(c_name, 2)").alias("needle"))
+    short = _t(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("item_id"), F.expr("right(n_name, 2)").alias("needle"))
     return relations.containing(_t(spark, sf_dir, "documents"), "doc_id", "text", items.unionByName(short), "item_id", "needle")
 
 
@@ -160,14 +160,14 @@ def explode_edges_dedup(spark, sf_dir):
 
 
 @query("""
-with e as (select distinct o_orderkey, o_custkey % 7 as member from orders), names as (select c_custkey as other, c_custkey % 500 as name from customer where c_custkey % 500 < 7)
-select distinct o_orderkey, other from e join names on member = name where o_orderkey <> other
+with e as (select distinct o_orderkey, unnest([o_custkey, o_custkey + 1, o_custkey % 7]) as member from orders)
+select distinct o_orderkey, c_custkey as other from e join customer on member = c_custkey where o_orderkey <> c_custkey
 """)
 def member_edges(spark, sf_dir):
-    """The pairs themselves, where names are few."""
-    orders, customer = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
-    names = customer.select(F.col("c_custkey").alias("o"), (F.col("c_custkey") % 500).alias("name")).where("name < 7")
-    return relations.member_edges(orders, "o_orderkey", F.array(F.col("o_custkey") % 7), names, "name", "o")
+    """The pairs themselves, where few rows have one name."""
+    names = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o"), F.col("c_custkey").alias("name"))
+    members = F.array(F.col("o_custkey"), F.col("o_custkey") + 1, F.col("o_custkey") % 7)
+    return relations.member_edges(_t(spark, sf_dir, "orders"), "o_orderkey", members, names, "name", "o")
 
 
 @query("select coalesce(lang, 'unknown') as key, count(*) as n from documents group by all")
