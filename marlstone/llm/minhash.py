@@ -67,7 +67,7 @@ def signatures(flat: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
 class Circulant(parity.Parity):
     """Candidates by bands of circulant signatures, bounded by parity sketches that are wide enough to be near exact."""
 
-    counted, bits_each = False, 16
+    counted = False
 
     def __init__(self, percent: int):
         super().__init__(percent)

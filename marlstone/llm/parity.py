@@ -5,7 +5,7 @@ two sketches is at most the symmetric difference of the sets. In a band of set s
 differ in at most D shingles; the sketch is cut into more than D blocks, so some block is equal (pigeonhole). The sketch
 of the pigeonhole join has a bit for every 64-bit place, so it is never written out: a block is the range of places that a
 shingle's hash falls to, and is keyed by the XOR of the shingles in it, each stretched to 64 random bits. Documents that
-share a block of a band are candidates; a second, short sketch with real bits bounds their distance from below, and those
+share a block of a band are candidates; a second sketch with real bits bounds their distance from below, and those
 left are verified on their whole sets.
 
 Common shingles (lines and passages that many documents hold) would make blocks equal that say nothing, so the
@@ -42,9 +42,9 @@ from marlstone.llm.shared import SAMPLE, forget, written
 BAND, SPARE, FEW = 1.3, 0.12, 2
 #: Star rounds before documents that are still apart are compared with each other.
 STARS = 2
-#: Bits of a whole sketch, between which it has one or two for each shingle (unrelated sets then differ in far more bits
-#: than linked ones can); documents of a group that is paired by a join, and of a chunk of a larger one.
-LEAST_BITS, MOST_BITS = 256, 1 << 18
+#: Bits of a whole sketch, which has BITS_EACH or more for each shingle up to the largest size: so wide, its distances are
+#: nearly the differences of the sets. Documents of a group that is paired by a join, and of a chunk of a larger one.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 4096, 1 << 18
 SMALL, CHUNK = 12, 1024
 #: A class of copies with at least one in HOT of all rows is hot.
 HOT = 1000
@@ -175,8 +175,8 @@ def sets(docs: DataFrame, shingle: int, counted: bool = True) -> DataFrame:
 class Parity:
     """How candidates are found and bounded: here by blocks of parity sketches, and their Hamming distance."""
 
-    #: Whether keys need the common shingles; bits of a sketch for each shingle, about.
-    counted, bits_each = True, 1
+    #: Whether keys need the common shingles.
+    counted = True
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -188,7 +188,7 @@ class Parity:
         """A bit for each place that an odd number of shingles hash to."""
         place, out, begin = mixed(flat ^ np.uint64(0x5BD1E995)), [], 0
         for end in ends.tolist():
-            bits = min(MOST_BITS, self.bits_each * max(LEAST_BITS, 1 << (end - begin).bit_length()))
+            bits = min(MOST_BITS, max(LEAST_BITS, BITS_EACH << (end - begin).bit_length()))
             out.append(np.packbits((np.bincount((place[begin:end] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes())
             begin = end
         return out
