@@ -44,7 +44,7 @@ BAND, SPARE, FEW = 1.3, 0.12, 2
 STARS = 2
 #: Bits of a whole sketch, which has BITS_EACH or more for each shingle up to the largest size: so wide, its distances are
 #: nearly the differences of the sets. Documents of a group that is paired by a join, and of a chunk of a larger one.
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 4096, 1 << 18
+BITS_EACH, LEAST, MOST_BITS = 16, 8, 1 << 18
 SMALL, CHUNK = 12, 1024
 #: A class of copies with at least one in HOT of all rows is hot.
 HOT = 1000
@@ -178,8 +178,8 @@ class Parity:
     #: Whether keys need the common shingles.
     counted = True
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, percent: int, bits_each: int = BITS_EACH):
+        self.percent, self.bits_each = percent, bits_each
 
     def keys(self, flat: np.ndarray, ends: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return block_keys(flat, ends, self.percent, common)
@@ -188,7 +188,7 @@ class Parity:
         """A bit for each place that an odd number of shingles hash to."""
         place, out, begin = mixed(flat ^ np.uint64(0x5BD1E995)), [], 0
         for end in ends.tolist():
-            bits = min(MOST_BITS, max(LEAST_BITS, BITS_EACH << (end - begin).bit_length()))
+            bits = min(MOST_BITS, self.bits_each << max(LEAST, (end - begin).bit_length()))
             out.append(np.packbits((np.bincount((place[begin:end] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes())
             begin = end
         return out
