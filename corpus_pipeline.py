@@ -33,7 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more)."""
-    groups = parity.linked_components(docs, 5, 80)
+    # Narrow sketches: here many pairs of long documents are bounded, and each takes its sketches along.
+    groups = parity.linked_components(docs, 5, 80, method=parity.Parity(80, 4))
     firsts = groups.where("doc_id = component_id").select("doc_id")
     return docs.join(firsts, "doc_id", "left_semi").select(docs.columns)
 
