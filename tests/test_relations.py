@@ -1,6 +1,7 @@
 """Joins between records against plain versions."""
 
 from marlstone.operators import relations
+from marlstone.plans import catalog
 
 
 def test_containing(spark):
@@ -13,3 +14,16 @@ def test_containing(spark):
     want = {(i, d) for i, x in enumerate(needles) if x for d, y in texts.items() if y and x.lower() in y.lower()}
     assert {(r.item_id, r.doc_id) for r in got} == want
     assert len(got) == len(want)
+
+
+def test_member_edges_names_in_common(spark):
+    """Customers are found by a name that others share as well as by their own."""
+    folder = "/root/testdata/sf0.01"
+    orders = [(r.o_orderkey, r.o_custkey) for r in spark.read.parquet(f"{folder}/orders.parquet").collect()]
+    customers = {r.c_custkey for r in spark.read.parquet(f"{folder}/customer.parquet").collect()}
+    sharing = {}
+    for c in customers:
+        sharing.setdefault(c % 500, []).append(c)
+    want = {(o, x) for o, c in orders for m in (c, c + 1, c % 7) for x in [m] * (m in customers) + sharing.get(m, []) if x != o}
+    got = [tuple(r) for r in catalog.member_edges(spark, folder).collect()]
+    assert set(got) == want and len(got) == len(want)
