@@ -12,8 +12,10 @@ Common shingles (lines and passages that many documents hold) would make blocks
 fingerprint of a block covers its other shingles, and a block with fewer than ``FEW`` of these is small and goes unused.
 No link is lost: ``SPARE`` blocks beyond D + 1 are dealt, so linked documents have more than that many blocks with the
 same shingles. Either one of them is not small, or both documents have more small blocks than spare ones; then both use
-their small blocks as well, with all shingles in the fingerprint. Which shingles count as common is found by counting in
-each task and adding up; it decides speed, never results.
+those with one other shingle less as well, with all shingles in the fingerprint, and so on. Where all of the same blocks
+are without a shingle, both documents have more such blocks than spare ones; these say nothing, so both are dealt out
+again by another hash, and use them in the last of ``DEALINGS`` only. Which shingles count as common is found by counting
+in each task and adding up; it decides speed, never results.
 
 Only components are wanted, so a group of documents with a common block is not paired out: everyone is compared with
 the document that shares most blocks with others (of near copies, the one that they were made of), then, where several
@@ -40,6 +42,8 @@ from marlstone.llm.shared import SAMPLE, forget, written
 
 #: Ratio of the ends of a size band; blocks beyond those that differences can touch; shingles of a small block.
 BAND, SPARE, FEW = 1.3, 0.12, 2
+#: Ways in which shingles are dealt to blocks.
+DEALINGS = 4
 #: Star rounds before documents that are still apart are compared with each other.
 STARS = 2
 #: Bits of a whole sketch, which has BITS_EACH or more for each shingle up to the largest size: so wide, its distances are
@@ -86,35 +90,41 @@ def block_keys(flat: np.ndarray, ends: np.ndarray, percent: int, common: np.ndar
     """Hashed (band, block, fingerprint) keys of each set, flat, and their number; ``common``: shingles, ascending."""
     sizes = np.diff(np.concatenate([[0], ends]))
     row = np.repeat(np.arange(len(ends)), sizes)
-    place, bit = mixed(flat + np.uint64(0x51)), mixed(flat ^ np.uint64(0xA5A5A5A5))
+    places, bit = [mixed(flat + np.uint64(0x51 + 0x10001 * d)) for d in range(DEALINGS)], mixed(flat ^ np.uint64(0xA5A5A5A5))
     rare = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] != flat if len(common) else np.ones(len(flat), bool)
     keys, owners = [], []
     for number, (low, high, most) in enumerate(bands(percent, int(sizes.max(initial=0)) + 1)):
         part = np.flatnonzero((sizes >= low) & (sizes <= 100 * high // percent))
-        if not len(part):
-            continue
         spare = int(np.ceil(SPARE * most))
         blocks = most + 1 + spare
-        inside = np.zeros(len(ends), dtype=bool)
-        inside[part] = True
-        at = np.flatnonzero(inside[row])
-        cell = row[at] * blocks + (place[at] % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        at, cell = at[order], cell[order]
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        whole = np.bitwise_xor.reduceat(bit[at], first)
-        sparse = np.bitwise_xor.reduceat(np.where(rare[at], bit[at], np.uint64(0)), first)
-        counts, cell = np.add.reduceat(rare[at].astype(np.int64), first), cell[first]
-        owner, block = cell // blocks, (cell % blocks).astype(np.uint64)
-        # Blocks without a shingle are small too.
-        small = np.bincount(owner[counts < FEW], minlength=len(ends)) + (blocks - np.bincount(owner, minlength=len(ends)))
-        every = small > spare
-        salt = np.uint64(number << 40)
-        big = counts >= FEW
-        tiny = ~big & every[owner]
-        keys += [mixed(sparse[big] + mixed(block[big] + salt + np.uint64(1))), mixed(whole[tiny] + mixed(block[tiny] + salt + np.uint64(1 << 32)))]
-        owners += [owner[big], owner[tiny]]
-        empty = [(r, b) for r in part[every[part]].tolist() for b in np.setdiff1d(np.arange(blocks), block[owner == r].astype(np.int64)).tolist()]
+        for dealing, place in enumerate(places):
+            if not len(part):
+                break
+            inside = np.zeros(len(ends), dtype=bool)
+            inside[part] = True
+            at = np.flatnonzero(inside[row])
+            cell = row[at] * blocks + (place[at] % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(cell, kind="stable")
+            at, cell = at[order], cell[order]
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            whole = np.bitwise_xor.reduceat(bit[at], first)
+            sparse = np.bitwise_xor.reduceat(np.where(rare[at], bit[at], np.uint64(0)), first)
+            counts, cell = np.add.reduceat(rare[at].astype(np.int64), first), cell[first]
+            owner, block = cell // blocks, (cell % blocks).astype(np.uint64)
+            salt = np.uint64((number << 40) + (dealing << 34))
+            big = counts >= FEW
+            keys.append(mixed(sparse[big] + mixed(block[big] + salt + np.uint64(1))))
+            owners.append(owner[big])
+            none = blocks - np.bincount(owner, minlength=len(ends))
+            for few in range(FEW - 1, -1, -1):
+                # Blocks of so few rare shingles are used where those of more may all be different.
+                short = np.bincount(owner[counts <= few], minlength=len(ends)) + none > spare
+                tiny = (counts == few) & short[owner]
+                keys.append(mixed(whole[tiny] + mixed(block[tiny] + salt + np.uint64(1 << 32))))
+                owners.append(owner[tiny])
+            part = part[none[part] > spare]
+        # Documents that have too many blocks without a shingle, however they are dealt.
+        empty = [(r, b) for r in part.tolist() for b in np.setdiff1d(np.arange(blocks), block[owner == r].astype(np.int64)).tolist()]
         if empty:
             r, b = np.array(empty).T
             keys.append(mixed(mixed(b.astype(np.uint64) + salt + np.uint64(1 << 32))))

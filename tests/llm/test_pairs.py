@@ -1,6 +1,7 @@
 """Operators on copies, near copies and shared passages against plain versions."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -193,3 +194,21 @@ def test_repeated_rows_and_null_ids(spark):
     rows = rows.unionByName(rows).unionByName(rows.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     got = {r.doc_id: r.component_id for r in parity.linked_components(rows, 4, 85).collect()}
     assert got == {1: 1, 2: 1}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_blocks_without_a_shingle_make_no_candidates(percent):
+    """Linked sets share a key whatever their sizes; sets without a shingle in common share hardly any."""
+    rng = np.random.default_rng(5)
+    drawn = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    keys = lambda some: parity.block_keys(np.concatenate([np.sort(s) for s in some]), np.cumsum([len(s) for s in some]), percent, np.zeros(0, np.uint64))
+    split = lambda flat, counts: [set(x.tolist()) for x in np.split(flat, np.cumsum(counts)[:-1])]
+    for size in [*range(1, 40), 60, 100, 333] * 3:
+        gone = size * (100 - percent) // 100
+        one = drawn(size)
+        for other in (one[gone:], np.concatenate([one[gone // 2 :], drawn(max(0, (100 * (size - gone // 2) // percent) - size))])):
+            both = len(np.intersect1d(one, other))
+            assert 100 * both < percent * (size + len(other) - both) or set.intersection(*split(*keys([one, other])))
+    apart = split(*keys([drawn(n) for n in rng.integers(4, 600, 800)]))
+    often = Counter(k for s in apart for k in s)
+    assert sum(n > 1 for n in often.values()) <= len(apart) // 100
