@@ -2,7 +2,7 @@
 
 ``tokenize`` encodes texts; ``write_store`` cuts each document's ids into chunks where a rolling hash of the last ids
 matches, stores every distinct chunk once under its SHA-256, and keeps a recipe (the digests in order) per document;
-``read_store`` rebuilds the ids. A store is a folder of Parquet tables:
+``write_texts`` does both in one pass; ``read_store`` rebuilds the ids. A store is a folder of Parquet tables:
 
 * ``chunks``: digest, packed (a byte ``width``, then the ids as little-endian integers of that many bytes, zstd), n (how
   often recipes name it), bucketed by digest, so that reading it back moves no chunk before it meets its recipes;
@@ -34,7 +34,7 @@ from marlstone.llm.batches import mixed, sliced, text_column
 from marlstone.llm.shared import joined_by_key, new_path, remove
 
 #: Distinct text units a task remembers; the older half is forgotten beyond that.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: A chunk ends where the hash of the last WINDOW ids has MEAN_BITS zero bits; LEAST and MOST bound its ids.
 WINDOW, MEAN_BITS, LEAST, MOST = 4, 11, 512, 16384
 FAN = 1024
@@ -96,7 +96,8 @@ class _Encoder:
     def encode(self, column: pa.Array) -> list[bytes]:
         odd = [True] * len(column) if not self.byte_level else pc.match_substring_regex(column, _ODD_SPACE).to_pylist()
         if len(self.units) > REMEMBERED // 2:
-            self.units = _Units(self, dict(self.units))
+            self.units.older = {}
+            self.units = _Units(self, self.units)
         ids = self.units.__getitem__
         return [(self.direct(t) if t else b"") if o else b"".join(map(ids, _UNITS.findall(t))) for t, o in zip(column.to_pylist(), odd, strict=True)]
 
@@ -110,17 +111,21 @@ def _encoder(path: str) -> _Encoder:
     return _ENCODERS[path]
 
 
-def tokenize(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = 0) -> DataFrame:
-    """doc_id, width int, ids binary: the ids of each text, ``end_id`` appended, as little-endian integers of ``width`` bytes."""
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
+    encoder = _encoder(tokenizer_path)
+    end = b"" if end_id is None else np.array([end_id], dtype=encoder.kind).tobytes()
+    for batch in sliced(batches, "text", 1 << 20):
+        ids = [x + end for x in encoder.encode(text_column(batch, "text"))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "width", "ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
-        end = b"" if end_id is None else np.array([end_id], dtype=encoder.kind).tobytes()
-        for batch in sliced(batches, "text", 1 << 20):
-            ids = [x + end for x in encoder.encode(text_column(batch, "text"))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "width", "ids"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, width int, ids binary")
+def _texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def tokenize(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = 0) -> DataFrame:
+    """doc_id, width int, ids binary: the ids of each text, ``end_id`` appended, as little-endian integers of ``width`` bytes."""
+    return _texts(df, doc_id, text).mapInArrow(lambda batches: _encoded(batches, tokenizer_path, end_id), "doc_id long, width int, ids binary")
 
 
 _SALTED = mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
@@ -156,27 +161,27 @@ def unpack(packed: bytes, expand) -> tuple[np.ndarray, bytes]:
     return np.frombuffer(raw, dtype=f"<u{packed[0]}").astype("<u4"), hashlib.sha256(packed[:1] + raw).digest()
 
 
-def _chunked(ids: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+_CHUNKED = "doc_id long, n_ids long, digests array<binary>, packed array<binary>, leaf binary"
+
 
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in sliced(batches, "ids"):
-            counts, digests, packed, leaves = [], [], [], []
-            for doc, width, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = raw or b""
-                ends = cuts(np.frombuffer(raw, dtype=f"<u{width}"))
-                parts = [raw[a * width : b * width] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-                counts.append(len(raw) // width)
-                digests.append([hashlib.sha256(bytes([width]) + p).digest() for p in parts])
-                packed.append([pack(p, width, press) for p in parts])
-                leaves.append(hashlib.sha256(f"{doc},{counts[-1]},".encode() + b"".join(digests[-1])).digest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(packed, pa.list_(pa.binary())), pa.array(leaves, pa.binary())],
-                names=["doc_id", "n_ids", "digests", "packed", "leaf"],
-            )
-
-    return ids.select("doc_id", "width", "ids").mapInArrow(run, "doc_id long, n_ids long, digests array<binary>, packed array<binary>, leaf binary")
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in sliced(batches, "ids"):
+        counts, digests, packed, leaves = [], [], [], []
+        for doc, width, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = raw or b""
+            ends = cuts(np.frombuffer(raw, dtype=f"<u{width}"))
+            parts = [raw[a * width : b * width] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            counts.append(len(raw) // width)
+            digests.append([hashlib.sha256(bytes([width]) + p).digest() for p in parts])
+            packed.append([pack(p, width, press) for p in parts])
+            leaves.append(hashlib.sha256(f"{doc},{counts[-1]},".encode() + b"".join(digests[-1])).digest())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(packed, pa.list_(pa.binary())), pa.array(leaves, pa.binary())],
+            names=["doc_id", "n_ids", "digests", "packed", "leaf"],
+        )
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -194,9 +199,18 @@ def _table(path: str) -> str:
 
 def write_store(ids: DataFrame, path: str) -> None:
     """Write the store of ``tokenize``'s rows to ``path``, a folder that all executors share."""
-    spark = ids.sparkSession
+    _write(ids.select("doc_id", "width", "ids").mapInArrow(_chunked, _CHUNKED), path)
+
+
+def write_texts(df: DataFrame, tokenizer_path: str, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = 0) -> None:
+    """``write_store`` of what ``tokenize`` gives; a task encodes and cuts in one Python worker instead of two."""
+    _write(_texts(df, doc_id, text).mapInArrow(lambda batches: _chunked(_encoded(batches, tokenizer_path, end_id)), _CHUNKED), path)
+
+
+def _write(chunked: DataFrame, path: str) -> None:
+    spark = chunked.sparkSession
     staged = f"{path}/staged"
-    _chunked(ids).write.parquet(staged)
+    chunked.write.parquet(staged)
     rows = spark.read.parquet(staged)
     pairs = rows.select(F.explode(F.arrays_zip("digests", "packed")).alias("c")).select("c.digests", "c.packed").toDF("digest", "packed")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -294,7 +308,7 @@ def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = new_path(spark, "idstore")
-    write_store(tokenize(docs, public_tokenizers.path("byte_bpe_50k.json")), path)
+    write_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), path)
     if not damaged(spark, path).isEmpty():
         raise ValueError("the recipes do not match the manifest")
     return read_store(spark, path).select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

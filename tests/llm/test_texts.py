@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +254,22 @@ def test_main_text(spark):
     assert got[2] == got[3] == ""
     digest = lambda rows: hashlib.sha256("".join(sorted(r.text for r in rows)).encode()).hexdigest()
     assert digest(mainpage.main_text(pages, scores).collect()) == digest(mainpage.main_text(pages.repartition(3), scores).collect())
+
+
+def test_store_of_texts_in_one_pass(spark, tmp_path):
+    """Texts encoded on the way to the store give the store of their ids, by one Python worker a task."""
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, "".join(f" word{i * j} \n" for j in range(i * 40)) if i % 5 else None) for i in range(40)], "doc_id long, text string")
+    idstore.write_store(idstore.tokenize(docs, path), f"{tmp_path}/a")
+    idstore.write_texts(docs, path, f"{tmp_path}/b")
+    a, b = (sorted(map(tuple, idstore.read_store(spark, f"{tmp_path}/{x}").collect())) for x in "ab")
+    assert a == b and len(a) == 40
+    assert idstore.damaged(spark, f"{tmp_path}/b").isEmpty()
+
+
+def test_forgotten_units_are_not_held(monkeypatch):
+    monkeypatch.setattr(idstore, "REMEMBERED", 20)
+    encoder = idstore._Encoder(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    for i in range(20):
+        encoder.encode(pa.array([" ".join(f"unit{i}x{j}" for j in range(15))]))
+        assert not getattr(encoder.units.older, "older", None) and len(encoder.units) + len(encoder.units.older) <= 20 + 60
