@@ -62,8 +62,8 @@ def wide_integers(row: np.ndarray, scale: int) -> list[int]:
 
 
 def _blocks(rows: DataFrame, most: int, scale: int, name: str) -> DataFrame:
-    """block, dim, wide, ids binary, matrix binary of (id, v): rows of whole numbers below ``most_of`` as they are used,
-    those with larger ones (wide) as doubles before scaling."""
+    """block, dim, wide, ids binary, matrix binary of (id, v): rows of whole numbers up to ``most_of`` in two or four bytes
+    each, those with larger ones (wide) as doubles before scaling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -76,7 +76,10 @@ def _blocks(rows: DataFrame, most: int, scale: int, name: str) -> DataFrame:
             nonlocal number
             ids, parts = zip(*held.pop(key), strict=True)
             number += 1
-            return pa.RecordBatch.from_pydict({"block": [number], "dim": [key[0]], "wide": [key[1]], "ids": [np.concatenate(ids).tobytes()], "matrix": [np.concatenate(parts).tobytes()]}, schema=schema)
+            matrix = np.concatenate(parts)
+            if not key[1] and np.abs(matrix).max() < 1 << 15:
+                matrix = matrix.astype("<i2")
+            return pa.RecordBatch.from_pydict({"block": [number], "dim": [key[0]], "wide": [key[1]], "ids": [np.concatenate(ids).tobytes()], "matrix": [matrix.tobytes()]}, schema=schema)
 
         for batch in batches:
             ids, sizes = np.asarray(batch.column(0), dtype="<i8"), np.asarray(batch.column(1).value_lengths(), dtype=np.int64)
@@ -91,7 +94,7 @@ def _blocks(rows: DataFrame, most: int, scale: int, name: str) -> DataFrame:
                     pick = np.flatnonzero(which)
                     for cut in range(0, len(pick), most):
                         part = pick[cut : cut + most]
-                        held.setdefault((dim, wide), []).append((ids[at[part]], values[part]))
+                        held.setdefault((dim, wide), []).append((ids[at[part]], values[part] if wide else values[part].astype("<i4")))
                         if sum(len(x[0]) for x in held[dim, wide]) >= most:
                             yield out((dim, wide))
         for key in list(held):
@@ -124,13 +127,27 @@ def _wide_scores(q: np.ndarray, v: np.ndarray, q_wide: bool, v_wide: bool, scale
     return np.clip(whole(q, q_wide) @ whole(v, v_wide).T, _LOW, _HIGH).astype(np.int64)
 
 
-def _met(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each vector block with each query block of its length, on a pair of group numbers."""
+def _matrix(raw: bytes, n: int, dim: int) -> np.ndarray:
+    """The rows of a block in double."""
+    return np.frombuffer(raw, {2: "<i2", 4: "<i4", 8: "<f8"}[len(raw) // (n * dim)]).reshape(n, dim).astype("<f8", copy=False)
+
+
+def _met(vectors: DataFrame, queries: DataFrame, k: int, scale: int, phase: int) -> DataFrame:
+    """The scores of a phase: vector blocks and query blocks of one length meet on a pair of group numbers. Either side of
+    a pair is sent to the worker once, so it holds these blocks, and no pairs of them."""
     n_vectors, n_queries = (max(1, min(most, df.count())) for df, most in ((vectors, 100 * COPIES), (queries, COPIES)))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     v = vectors.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(n_vectors)).cast("int")).withColumn("q_group", all_of(n_queries))
     q = queries.withColumn("q_group", F.pmod(F.xxhash64("q_block"), F.lit(n_queries)).cast("int")).withColumn("group", all_of(n_vectors))
-    return v.join(q, ["group", "q_group", "dim"])
+    sides = (x.groupBy("group", "q_group", "dim") for x in (v, q))
+    scores = pa.schema([(c, pa.int64()) for c in ("query_id", "vec_id", "score")])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        blocks = left.to_pylist()
+        pairs = (block | asked for asked in right.to_pylist() for block in blocks)
+        return pa.Table.from_batches(_scored(pairs, k, scale, phase), schema=scores)
+
+    return next(sides).cogroup(next(sides)).applyInArrow(run, "query_id long, vec_id long, score long")
 
 
 def _best(score: np.ndarray, i: np.ndarray, ids: np.ndarray, k: int, n: int) -> np.ndarray:
@@ -140,37 +157,35 @@ def _best(score: np.ndarray, i: np.ndarray, ids: np.ndarray, k: int, n: int) ->
     return order[np.arange(len(order)) - first[i[order]] < k]
 
 
-def _scored(batches: Iterator[pa.RecordBatch], k: int, scale: int, phase: int) -> Iterator[pa.RecordBatch]:
+def _scored(pairs: Iterator[dict], k: int, scale: int, phase: int) -> Iterator[pa.RecordBatch]:
     """query_id, vec_id, score of phase 1 (the entries with the k largest bounds of each pair of blocks) or of phases 2
     and 3 (the k best of those that reach the cutoff)."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            row = {name: batch.column(c)[at].as_py() for c, name in enumerate(batch.schema.names)}
-            dim, wide = row["dim"], row["wide"] or row["q_wide"]
-            v_ids, v = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["matrix"], "<f8").reshape(-1, dim)
-            all_ids, all_q = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["q_matrix"], "<f8").reshape(-1, dim)
-            cutoffs = dict(zip(row["cut_ids"], row["cutoffs"], strict=True)) if row.get("cut_ids") else {}
-            for begin in range(0, len(all_ids), AT_ONCE):
-                q_ids, q = all_ids[begin : begin + AT_ONCE], all_q[begin : begin + AT_ONCE]
-                cut = np.array([cutoffs.get(i, NO_CUTOFF) for i in q_ids.tolist()], dtype=np.int64)
-                own = q_ids[:, None] == v_ids[None, :]
-                if wide:
-                    i, j = np.nonzero(~own)
-                    score = _wide_scores(q, v, row["q_wide"], row["wide"], scale)[i, j]
+    for row in pairs:
+        dim, wide = row["dim"], row["wide"] or row["q_wide"]
+        v_ids, all_ids = (np.frombuffer(row[c], "<i8") for c in ("ids", "q_ids"))
+        v, all_q = _matrix(row["matrix"], len(v_ids), dim), _matrix(row["q_matrix"], len(all_ids), dim)
+        cutoffs = dict(zip(row["cut_ids"], row["cutoffs"], strict=True)) if row.get("cut_ids") else {}
+        for begin in range(0, len(all_ids), AT_ONCE):
+            q_ids, q = all_ids[begin : begin + AT_ONCE], all_q[begin : begin + AT_ONCE]
+            cut = np.array([cutoffs.get(i, NO_CUTOFF) for i in q_ids.tolist()], dtype=np.int64)
+            own = q_ids[:, None] == v_ids[None, :]
+            if wide:
+                i, j = np.nonzero(~own)
+                score = _wide_scores(q, v, row["q_wide"], row["wide"], scale)[i, j]
+            else:
+                pair = _Pair(q, v)
+                if phase == 1:
+                    bound = np.where(own, -np.inf, pair.bound)
+                    top = np.argpartition(-bound, k, axis=1)[:, :k] if bound.shape[1] > k else np.tile(np.arange(bound.shape[1]), (len(q), 1))
+                    i, j = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
+                    i, j = i[~own[i, j]], j[~own[i, j]]
                 else:
-                    pair = _Pair(q, v)
-                    if phase == 1:
-                        bound = np.where(own, -np.inf, pair.bound)
-                        top = np.argpartition(-bound, k, axis=1)[:, :k] if bound.shape[1] > k else np.tile(np.arange(bound.shape[1]), (len(q), 1))
-                        i, j = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
-                        i, j = i[~own[i, j]], j[~own[i, j]]
-                    else:
-                        i, j = np.nonzero((pair.bound >= cut[:, None].astype(np.float64)) & ~own)
-                    score = pair.exact(i, j)
-                enough = score >= cut[i]
-                i, j, score = i[enough], j[enough], score[enough]
-                kept = _best(score, i, v_ids[j], k, len(q_ids))
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i[kept]]), pa.array(v_ids[j[kept]]), pa.array(score[kept])], names=["query_id", "vec_id", "score"])
+                    i, j = np.nonzero((pair.bound >= cut[:, None].astype(np.float64)) & ~own)
+                score = pair.exact(i, j)
+            enough = score >= cut[i]
+            i, j, score = i[enough], j[enough], score[enough]
+            kept = _best(score, i, v_ids[j], k, len(q_ids))
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[i[kept]]), pa.array(v_ids[j[kept]]), pa.array(score[kept])], names=["query_id", "vec_id", "score"])
 
 
 def top_k(df: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -180,12 +195,8 @@ def top_k(df: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embeddin
     asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     queries = _blocks(asked, QUERIES, scale, "queries").toDF("q_block", "dim", "q_wide", "q_ids", "q_matrix")
 
-    def phase(number: int):
-        return lambda batches: _scored(batches, k, scale, number)
-
-    schema = "query_id long, vec_id long, score long"
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    local = _met(vectors, queries).mapInArrow(phase(1), schema)
+    local = _met(vectors, queries, k, scale, 1)
     cutoffs = local.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", F.col("score").alias("cutoff"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +208,7 @@ def top_k(df: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embeddin
     of_block = queries.select("q_block", "q_ids").mapInArrow(listed, "q_block long, query_id long").join(cutoffs, "query_id")
     sent = of_block.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "cutoff")).alias("c")).select("q_block", F.col("c.query_id").alias("cut_ids"), F.col("c.cutoff").alias("cutoffs"))
     with_cutoff = written(queries.join(sent, "q_block", "left"), "cutoffs")
-    found = written(_met(vectors, with_cutoff).mapInArrow(phase(2), schema), "scores", (vectors, queries, with_cutoff))
+    found = written(_met(vectors, with_cutoff, k, scale, 2), "scores", (vectors, queries, with_cutoff))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

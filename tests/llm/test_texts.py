@@ -273,3 +273,15 @@ def test_forgotten_units_are_not_held(monkeypatch):
     for i in range(20):
         encoder.encode(pa.array([" ".join(f"unit{i}x{j}" for j in range(15))]))
         assert not getattr(encoder.units.older, "older", None) and len(encoder.units) + len(encoder.units.older) <= 20 + 60
+
+
+def test_top_k_sends_narrow_blocks_once(spark):
+    """Whole numbers travel in as few bytes as they need, and no row has both a vector block and a query block."""
+    rows = spark.createDataFrame([(i, [float(i), -1.0, x]) for i, x in enumerate([0.5, 2.0, 3e4, 1e300])], "id long, v array<double>").coalesce(1)
+    for part, width in (("id < 2", 2), ("id = 2", 4), ("id = 3", 8)):
+        blocks = topk._blocks(rows.where(part), 100, 1024, "blocks")
+        assert [len(r.matrix) for r in blocks.collect()] == [width * 3 * len(r.ids) // 8 for r in blocks.collect()]
+        met = topk._met(blocks, blocks.toDF("q_block", "dim", "q_wide", "q_ids", "q_matrix"), 10, 1024, 1)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+        assert met.count() == (2 if width == 2 else 0)
