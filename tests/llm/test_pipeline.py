@@ -106,3 +106,25 @@ def test_as_sql(spark, name):
     want = con.execute(queries.ORACLE_SQL[name]).fetch_df()
     got = queries.QUERIES[name](spark, folder).select(*want.columns).toPandas()
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
+def test_batches_are_bounded(spark):
+    """Texts reach Python in small batches, so that an executor never holds many times ten thousand of them."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('x', 5000) as text")
+    own = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        spark.conf.unset(own)
+        corpus_pipeline.line_dedup(spark, spark.createDataFrame([], SCHEMA), "")
+        seen = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(seen) == 4000 and max(seen) * 5000 < 3 << 20
+        spark.conf.set(own, "1m")
+        corpus_pipeline.line_dedup(spark, spark.createDataFrame([], SCHEMA), "")
+        assert spark.conf.get(own) == "1m"
+    finally:
+        spark.conf.unset(own)
