@@ -210,7 +210,7 @@ def write_texts(df: DataFrame, tokenizer_path: str, path: str, doc_id: str = "do
 def _write(chunked: DataFrame, path: str) -> None:
     spark = chunked.sparkSession
     staged = f"{path}/staged"
-    chunked.write.parquet(staged)
+    chunked.write.option("compression", "uncompressed").parquet(staged)  # chunks are pressed already
     rows = spark.read.parquet(staged)
     pairs = rows.select(F.explode(F.arrays_zip("digests", "packed")).alias("c")).select("c.digests", "c.packed").toDF("digest", "packed")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -283,16 +283,17 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         expand = zstandard.ZstdDecompressor()
         for whole in batches:
             for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
-                ids = []
-                for doc, n, leaf, parts in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                ids, ends = [], np.cumsum(pc.list_value_length(batch.column(4))).tolist()
+                wanted, stored = (x.to_pylist() for x in batch.column(4).flatten().flatten()[1:])
+                for doc, n, leaf, begin, end in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), [0, *ends[:-1]], ends, strict=True):
                     flat, digests = [], b""
-                    for p in parts:
-                        if p["digest"] is None:
+                    for at in range(begin, end):
+                        if wanted[at] is None:
                             continue
-                        one, digest = unpack(p["packed"], expand)
-                        if digest != p["digest"]:
+                        one, digest = unpack(stored[at], expand)
+                        if digest != wanted[at]:
                             raise ValueError(f"a chunk of document {doc} does not have its digest")
-                        digests += p["digest"]
+                        digests += digest
                         flat.append(one.tobytes())
                     ids.append(b"".join(flat))
                     if len(ids[-1]) != 4 * n or hashlib.sha256(f"{doc},{n},".encode() + digests).digest() != leaf:
