@@ -7,9 +7,11 @@ matches, stores every distinct chunk once under its SHA-256, and keeps a recipe
 * ``chunks``: digest, packed (a byte ``width``, then the ids as little-endian integers of that many bytes, zstd), n (how
   often recipes name it), bucketed by digest, so that reading it back moves no chunk before it meets its recipes;
 * ``buckets``: their number, as ``chunks`` is in no catalogue for longer than it takes to plan a query;
-* ``recipes``: doc_id, start, n_ids, digests, leaf, part, block; in ascending doc_id order over files;
+* ``recipes``: doc_id, begin (ids before it in its part), n_ids, digests, leaf, part, block; in ascending doc_id order
+  over files;
 * ``manifest``: a Merkle tree of fan-out ``FAN``: level 0 a digest per block of documents, level 1 per part, level 2
-  the whole store, each over the digests below it in order; a leaf covers doc_id, n_ids and the chunk digests.
+  the whole store, each over the digests below it in order, with the number of documents and ids; a leaf covers doc_id,
+  n_ids and the chunk digests. Where a part starts follows from level 1.
 
 Defined results: null text counts as the empty text; an empty document has only the end id; documents with the same
 doc_id keep a recipe each (ties in any order, starts consistent with that order); an empty table gives an empty store
@@ -30,11 +32,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import mixed, sliced, text_column
-from marlstone.llm.shared import joined_by_key, new_path, remove
+from marlstone.llm.batches import mixed, sliced, string_bytes, text_column
+from marlstone.llm.shared import joined_by_key, new_path, remove, small_batches
 
 #: Distinct text units a task remembers; the older half is forgotten beyond that.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: A chunk ends where the hash of the last WINDOW ids has MEAN_BITS zero bits; LEAST and MOST bound its ids.
 WINDOW, MEAN_BITS, LEAST, MOST = 4, 11, 512, 16384
 FAN = 1024
@@ -46,6 +48,10 @@ _LATIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 #: The byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+#: Texts are cut first, all bytes at once, where another byte meets white space and where an ASCII letter or digit meets
+#: ASCII punctuation: no token crosses these places either.
+_KINDS = np.array([1 if c in b" \n" else 2 if chr(c).isalnum() and c < 128 else 3 if 0x21 <= c < 0x7F else 0 for c in range(256)], dtype=np.uint8)
+_CUT = np.array([b == 1 and a != 1 or a == 2 and b == 3 for a in range(4) for b in range(4)])
 #: White space other than the space and the line feed, as either library may see it.
 _ODD_SPACE = "[\t\x0b\x0c\r\x1c-\x1f\u0085  ᠎ -‍    ⁠　﻿]"
 
@@ -78,14 +84,15 @@ class _Encoder:
         self.merge, self.code = self.tokenizer.model.tokenize, "<%dH" if self.width == 2 else "<%dI"
         setup = json.loads(self.tokenizer.to_str())
         before = setup["pre_tokenizer"] or {}
-        added = [t["content"] for t in setup["added_tokens"]]
+        self.added = added = [t["content"] for t in setup["added_tokens"]]
         self.byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not setup["normalizer"] and not any(_LATIN.fullmatch(s) or any(c in " \n" for c in s) for s in added)
         self.units = _Units(self, {})
 
     def direct(self, text: str) -> bytes:
         # A Latin word with at most a space before it is one token of the byte-level pattern: its merges alone are asked for.
-        if self.byte_level and _LATIN.fullmatch(text):
-            shown = text.replace(" ", "Ġ") if text.isascii() else text.encode().decode("latin-1").translate(_SHOWN)
+        plain = text.isascii()
+        if self.byte_level and (plain and text.removeprefix(" ").isalpha() or _LATIN.fullmatch(text)):
+            shown = text.replace(" ", "Ġ") if plain else text.encode().decode("latin-1").translate(_SHOWN)
             ids = [t.id for t in self.merge(shown)]
         elif self.byte_level and text[0] == "\n" and _LATIN.fullmatch(text, 1) and text[1] != " ":
             return self.units["\n"] + self.units[text[1:]]
@@ -93,13 +100,36 @@ class _Encoder:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(self.code % len(ids), *ids)
 
+    def piece(self, piece: str) -> bytes:
+        """Ids of what stands between two cuts: one unit as a rule, or several."""
+        found = self.units.get(piece)
+        if found is None:
+            units = [piece] if piece.isascii() and piece.removeprefix(" ").isalpha() else _UNITS.findall(piece)
+            found = self.units[piece] if len(units) == 1 else b"".join(map(self.units.__getitem__, units))
+        return found
+
     def encode(self, column: pa.Array) -> list[bytes]:
-        odd = [True] * len(column) if not self.byte_level else pc.match_substring_regex(column, _ODD_SPACE).to_pylist()
         if len(self.units) > REMEMBERED // 2:
             self.units.older = {}
             self.units = _Units(self, self.units)
-        ids = self.units.__getitem__
-        return [(self.direct(t) if t else b"") if o else b"".join(map(ids, _UNITS.findall(t))) for t, o in zip(column.to_pylist(), odd, strict=True)]
+        # Whole texts go to the library where white space is odd or an added token stands, which a cut might split.
+        odd = np.ones(len(column), bool) if not self.byte_level else np.array(pc.match_substring_regex(column, _ODD_SPACE))
+        for token in self.added:
+            odd |= np.asarray(pc.match_substring(column, token))
+        raw, rows = string_bytes(pc.if_else(pa.array(odd), "", column) if odd.any() else column)
+        kinds = _KINDS[raw]
+        cut = np.zeros(len(raw) + 1, dtype=bool)
+        cut[1:-1] = _CUT[kinds[:-1] * 4 + kinds[1:]]
+        cut[rows] = True
+        places = np.flatnonzero(cut).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.string(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(raw)]).dictionary_encode()
+        ids = pa.array([self.piece(x) for x in pieces.dictionary.to_numpy(zero_copy_only=False)], pa.large_binary()).take(pieces.indices)
+        ends, data = (np.frombuffer(x or b"", dtype=kind) for x, kind in zip(ids.buffers()[1:], (np.int64, np.uint8), strict=True))
+        at = ends[np.searchsorted(places, rows)].tolist() if len(ids) else [0] * len(rows)
+        out = [data[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.direct(text) if (text := column[i].as_py()) else b""
+        return out
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -111,10 +141,16 @@ def _encoder(path: str) -> _Encoder:
     return _ENCODERS[path]
 
 
+def _forget() -> None:
+    """Workers outlive their tasks: what is remembered goes where a worker meets a stage that encodes nothing."""
+    for encoder in _ENCODERS.values():
+        encoder.units = _Units(encoder, {})
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(tokenizer_path)
     end = b"" if end_id is None else np.array([end_id], dtype=encoder.kind).tobytes()
-    for batch in sliced(batches, "text", 1 << 20):
+    for batch in sliced(batches, "text"):
         ids = [x + end for x in encoder.encode(text_column(batch, "text"))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "width", "ids"])
 
@@ -222,6 +258,7 @@ def _write(chunked: DataFrame, path: str) -> None:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        _forget()
         part, upto, row = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             counts = np.asarray(batch.column(1), dtype=np.int64)
@@ -232,16 +269,9 @@ def _write(chunked: DataFrame, path: str) -> None:
 
     ordered = rows.drop("packed").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     numbered = ordered.mapInArrow(number, "doc_id long, n_ids long, digests array<binary>, leaf binary, begin long, part long, block long")
-    numbered.write.parquet(f"{path}/numbered")
-    numbered = spark.read.parquet(f"{path}/numbered")
-    # One row per range partition: their number is that of the shuffle partitions, whatever the size of the data.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = numbered.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    numbered.join(F.broadcast(offsets), "part").select("doc_id", (F.col("begin") + F.col("offset")).alias("start"), "n_ids", "digests", "leaf", "part", "block").write.parquet(f"{path}/recipes")
+    numbered.select("doc_id", "begin", "n_ids", "digests", "leaf", "part", "block").write.parquet(f"{path}/recipes")
     _merkle(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
     remove(spark, staged)
-    remove(spark, f"{path}/numbered")
 
 
 def _merkle(recipes: DataFrame) -> DataFrame:
@@ -249,7 +279,7 @@ def _merkle(recipes: DataFrame) -> DataFrame:
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*([*order, column])))), lambda x: F.lower(F.hex(x[column]))), "")
         return F.unhex(F.sha2(joined.cast("binary"), 256))
 
-    order = ["start", "doc_id"]
+    order = ["begin", "doc_id"]
     blocks = recipes.groupBy("part", "block").agg(digest("leaf").alias("digest"), F.count("*").alias("n_docs"), F.sum("n_ids").alias("n_ids"))
     order = ["block"]
     parts = blocks.groupBy("part").agg(digest("digest").alias("top"), F.sum("n_docs").alias("n_docs"), F.sum("n_ids").alias("n_ids")).withColumnRenamed("top", "digest")
@@ -272,7 +302,11 @@ def damaged(spark: SparkSession, path: str) -> DataFrame:
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_ids, ids binary (little-endian unsigned 32-bit); each chunk and recipe is held against its digest."""
-    recipes = spark.read.parquet(f"{path}/recipes")
+    # One row per range partition: their number is that of the shuffle partitions, whatever the size of the data.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = spark.read.parquet(f"{path}/manifest").where("level = 1")
+    offsets = parts.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("offset"))
+    recipes = spark.read.parquet(f"{path}/recipes").join(F.broadcast(offsets), "part").withColumn("start", F.col("begin") + F.col("offset"))
     chunks = _chunks(spark, path)
     wanted = recipes.select("doc_id", "start", "n_ids", "leaf", F.posexplode_outer("digests").alias("k", "digest"))
     found = joined_by_key(wanted, chunks, ["digest"], "n", "left").groupBy("doc_id", "start", "n_ids", "leaf").agg(F.sort_array(F.collect_list(F.struct("k", "digest", "packed"))).alias("parts"))
@@ -280,6 +314,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        _forget()
         expand = zstandard.ZstdDecompressor()
         for whole in batches:
             for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
@@ -309,6 +344,7 @@ def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = new_path(spark, "idstore")
+    small_batches(spark)
     write_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), path)
     if not damaged(spark, path).isEmpty():
         raise ValueError("the recipes do not match the manifest")

@@ -275,6 +275,51 @@ def test_forgotten_units_are_not_held(monkeypatch):
         assert not getattr(encoder.units.older, "older", None) and len(encoder.units) + len(encoder.units.older) <= 20 + 60
 
 
+def test_pieces_between_cuts_as_the_library():
+    """Texts cut by bytes give the library's ids, wherever white space, punctuation and other scripts meet."""
+    library = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    known, encoder = library.Tokenizer.from_file(path), idstore._Encoder(path)
+    parts = ["a", "Word", "don't", "I'll", "'s", "x's", "é", "né", "ß", "ñ!", "日本", "語。", "5", "12a", "a12", "_", "__x", "#", "(b)", "...", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t", "\r\n", "\u00a0", "\u3000", "\u0301", "🙂", "½", "ⅷ", "\x00", "\x7f", "<|endoftext|>", "-", "'", '"', "`", "~", "{", "@me"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(4000)] + ["", " ", "\n", None, *parts] + [f"{a}{b}{c}" for a in parts for b in parts for c in ("", " x")]
+    want = [known.encode(t or "", add_special_tokens=False).ids for t in texts]
+    batches = [pa.record_batch({"doc_id": range(len(some)), "text": some}) for at in range(0, len(texts), 700) if (some := pa.array(texts[at : at + 700], pa.string()))]
+    got = [list(np.frombuffer(x, f"<u{encoder.width}")) for b in batches for x in encoder.encode(idstore.text_column(b.slice(3), "text"))]
+    assert got == [w for at in range(0, len(texts), 700) for w in want[at + 3 : at + 700]]
+
+
+def test_repeated_units_are_looked_up_once(monkeypatch):
+    """What a slice repeats is one lookup, and a worker keeps nothing once it meets a stage that encodes nothing."""
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    encoder, seen = idstore._Encoder(path), []
+    monkeypatch.setattr(encoder, "piece", lambda x, f=encoder.piece: seen.append(x) or f(x))
+    monkeypatch.setitem(idstore._ENCODERS, path, encoder)
+    encoder.encode(pa.array(["one two, two\n three"] * 500))
+    assert sorted(seen) == sorted({"one", " two", ",", "\n three"}) and len(encoder.units) == 4
+    idstore._forget()
+    assert not encoder.units and not encoder.units.older and idstore._encoder(path) is encoder
+
+
+def test_store_bounds_batches_and_writes_recipes_once(spark, monkeypatch):
+    """What an executor holds: batches of 2 MB, no second table of recipes; starts follow from the manifest."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(idstore, "FAN", 3)
+    paths, before = [], spark.conf.get(bound, None)
+    spark.conf.unset(bound)
+    try:
+        monkeypatch.setattr(idstore, "remove", lambda s, x: paths.append(x))
+        got = {r.doc_id: r for r in idstore.op10_query(spark, SMALL).collect()}
+        assert spark.conf.get(bound) == str(2 << 20)
+    finally:
+        spark.conf.unset(bound) if before is None else spark.conf.set(bound, before)
+    assert [x.rsplit("/", 1)[1] for x in paths] == ["staged"]
+    start = 0
+    for i in sorted(got):
+        assert got[i].start == start
+        start += got[i].n_tokens
+
+
 def test_top_k_sends_narrow_blocks_once(spark):
     """Whole numbers travel in as few bytes as they need, and no row has both a vector block and a query block."""
     rows = spark.createDataFrame([(i, [float(i), -1.0, x]) for i, x in enumerate([0.5, 2.0, 3e4, 1e300])], "id long, v array<double>").coalesce(1)
