@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first(html: Column, pattern: str) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(html, pattern, 1)), F.lit(""))
+    return once(F.trim(F.regexp_extract(html, pattern, 1)), lambda x: F.nullif(x, F.lit("")))
 
 
 def text_of(html: Column) -> Column:

@@ -45,7 +45,9 @@ def _filled(templates: dict[int, str], values: dict[str, Column]) -> Column:
 
 def _pages(spark: SparkSession, sf_dir: str, templates: dict[int, str], url: Column, **more: str) -> DataFrame:
     values = {"name": F.col("p_name"), "hp": (F.col("p_size") * 10).cast("string"), "n": F.col(_N).cast("string"), "code": F.concat(F.lit("SV"), F.substring("p_brand", -1, 1)), **{k: F.lit(v) for k, v in more.items()}}
-    return _t(spark, sf_dir, "part").select(_filled(templates, values).alias("html"), url.alias("url"))
+    # A page takes a hundred times as long to read as its part, so parts are dealt to all cores first, whatever files they lie in.
+    part = _t(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism)
+    return part.select(_filled(templates, values).alias("html"), url.alias("url"))
 
 
 def _flat(cards: DataFrame) -> DataFrame:
