@@ -18,7 +18,7 @@ def plan_of(spark, df):
         spark.conf.set(name, before)
 
 
-@pytest.mark.parametrize("name", ["card_pages_en", "card_pages_en_nested", "card_pages_hk", "card_pages_jp", "card_pages_hk_nested"])
+@pytest.mark.parametrize("name", ["card_pages_en", "card_pages_en_nested", "card_pages_hk", "card_pages_jp", "card_pages_hk_nested", "card_pages_jp_nested"])
 def test_a_page_is_worked_through_once(spark, name):
     """Its tags are numbered once, not again in the filter for pages with a name, and pages in one file are dealt to all
     cores."""
