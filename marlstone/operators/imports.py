@@ -232,9 +232,13 @@ def reparsed(logs: DataFrame, parsed: DataFrame, key: str, columns: list[str]) -
 
 
 def detected(images: DataFrame, boxes: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """One row for each detected box with its result, null where none came; an image without boxes gives no row."""
+    """One row for each detected box with its result, null where none came; an image without boxes gives no row.
+
+    Results are as many as boxes, or more, so they are never sent to the driver and every task, however small the files
+    that they were made from.
+    """
     found = images.join(boxes, key).withColumn("box", F.row_number().over(Window.partitionBy(key).orderBy("top", "left")))
-    return found.join(results, [key, "box"], "left")
+    return found.join(results.hint("merge"), [key, "box"], "left")
 
 
 def per_file(rows: DataFrame, file: str, problems: Column) -> DataFrame:
